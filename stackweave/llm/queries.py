@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import bpe
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -32,3 +33,8 @@ SELECT doc_id,
        sha256(norm) AS text_sha256
 FROM d
 """
+
+
+@query("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
