@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, decontaminate
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -38,3 +38,11 @@ FROM d
 @query("op6_bpe")
 def op6_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op7_decontamination"] = decontaminate.ORACLE_SQL
