@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, language_id, ngram_join
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -46,3 +46,13 @@ def op7_decontamination(spark, sf_dir):
 
 
 ORACLE["op7_decontamination"] = decontaminate.ORACLE_SQL
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"))
