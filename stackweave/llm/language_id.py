@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,11 +119,11 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sha
     return {"langs": langs, "rows": table.astype(kind), "hashes": hashes, "false": false}
 
 
-def identify(model: dict, text: str) -> tuple[str, float]:
-    """The language, and the part of the text's n-grams that are its own, from 0 to 1."""
+def identify(model: dict, text: str) -> tuple[str, float, int]:
+    """The language, the part of the text's n-grams that are its own, from 0 to 1, and how many n-grams there are."""
     keys = ngrams(text)
     if not len(keys) or not model["langs"]:
-        return "und", 0.0
+        return "und", 0.0, len(keys)
     at = places(keys, len(model["rows"]), model["hashes"])
     mask = model["rows"][at[0]]
     for a in at[1:]:
@@ -131,20 +132,24 @@ def identify(model: dict, text: str) -> tuple[str, float]:
     counts = np.array([np.count_nonzero(mask & model["rows"].dtype.type(1 << k)) for k in range(len(false))])
     corrected = (counts - len(keys) * false) / np.maximum(1 - false, 1e-9)
     best = int(np.argmax(corrected))
-    return model["langs"][best], float(min(1, max(0, corrected[best] / len(keys))))
+    return model["langs"][best], float(min(1, max(0, corrected[best] / len(keys)))), len(keys)
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of each document; `und` and 0 for a text without letters, a null one included."""
-    texts = rows(docs, id_col, text_col)
+def annotate(docs: DataFrame, model: dict, name: str, text_col: str = "text") -> DataFrame:
+    """Adds a struct of lang_pred, score and n_grams; `und`, 0 and 0 for a text without letters, a null one included."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for b in batches:
-            found = [identify(shared.value, t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["id", "lang_pred", "score"])
+    @F.pandas_udf("lang_pred string, score double, n_grams long")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([identify(shared.value, t or "") for t in texts], columns=["lang_pred", "score", "n_grams"])
 
-    return texts.mapInArrow(run, "id long, lang_pred string, score double")
+    return docs.withColumn(name, found(F.col(text_col).cast("string")))
+
+
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score, n_grams of each document, see annotate()."""
+    return annotate(rows(docs, id_col, text_col), model, "found").select("id", "found.*")
 
 
 def held_out(doc_id):

@@ -45,4 +45,4 @@ def test_filter_has_no_false_negatives():
     for at in language_id.places(keys, len(table), 3):
         table[at] = 1
     model = {"langs": ["en"], "rows": table, "hashes": 3, "false": [0.0]}
-    assert language_id.identify(model, "THE quick, brown fox jumps over the lazy dog!") == ("en", 1.0)
+    assert language_id.identify(model, "THE quick, brown fox jumps over the lazy dog!") == ("en", 1.0, len(keys))
