@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, ngram_join
+from . import bpe, decontaminate, language_id, ngram_join, pii
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -56,3 +56,8 @@ def op3_language_id(spark, sf_dir):
 @query("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pii")
+def op4_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
