@@ -64,6 +64,13 @@ def id_back(col: str = "id", name: str = "doc_id"):
     return F.nullif(F.col(col), F.lit(NULL_ID)).alias(name)
 
 
+def slices(batches, most: int = 512):
+    """The batches in pieces of a few rows, which bounds what a Python worker holds at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, most):
+            yield b.slice(k, most)
+
+
 class Scratch:
     """Tables written to the folder that all machines share, which cut lineage and survive lost executors.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows
+from .common import Scratch, id_back, rows, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct blocks that a task remembers at once.
@@ -31,7 +31,7 @@ def _cut(block_bytes: int):
     def cut(batches):
         first: dict[bytes, tuple[int, int]] = {}
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in _ARROW]
             size = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -103,8 +103,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     scratch = Scratch(docs.sparkSession)
     named = scratch.keep(identities(rows(docs, id_col, text_col), scratch, block_bytes, buckets))
-    best = named.groupBy("n_blocks", "name").agg(F.max(F.struct("n_points", (-F.col("id") - 1).alias("r"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    best = best.select("n_blocks", "name", (-F.col("best.r") - 1).alias("keep"), "group_size")
+    best = named.groupBy("n_blocks", "name").agg(F.max(F.struct("n_points", F.bitwise_not("id").alias("r"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join deals out both sides anew and a large group can be split
+    best = scratch.keep(best.select("n_blocks", "name", F.bitwise_not(F.col("best.r")).alias("keep"), "group_size"))
     return named.join(best, ["n_blocks", "name"]).select(
         id_back("id", "doc_id"), id_back("keep", "keep_id"), "group_size", (F.col("id") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("n_blocks").cast("long").alias("n_blocks")
     )
