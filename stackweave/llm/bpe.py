@@ -15,7 +15,6 @@ every scan splits, or inside a run of letters, of digits or of punctuation, whic
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, rows
+from .common import id_back, rows, slices
 
 #: Code points that both sides of a window have to agree on.
 MARGIN = 16
@@ -44,12 +43,9 @@ class Codec:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
-        spec = json.loads(self.exact.to_str())
+        with open(path) as f:
+            spec = json.load(f)
         chars, model = byte_of_char(), spec["model"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(chars[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
@@ -150,7 +146,7 @@ _CODED = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
 def _split(most: int):
     def split(batches):
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = halves(text, most)
                 yield pa.record_batch([pa.array([doc] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], schema=_PIECES)
@@ -163,7 +159,7 @@ def _encode(path: str, at: int):
 
     def encode(batches):
         own = codec(path)
-        for b in batches:
+        for b in slices(batches):
             ids = pa.array([own.encode(t).tobytes() for t in b.column(at).to_pylist()], pa.binary())
             kept = [*range(at)] + [at] * (at == 2)
             yield pa.record_batch([*(b.column(k) for k in kept), ids], names=[*(b.schema.names[k] for k in kept), "ids"])
@@ -198,7 +194,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for b in batches:
+        for b in slices(batches):
             texts = pa.array([own.decode(np.frombuffer(i, "<u4")) for i in b.column(1).to_pylist()], pa.string())
             yield pa.record_batch([b.column(0), b.column(1), texts], names=["id", "ids", "text"])
 
@@ -216,6 +212,3 @@ def default_path() -> str:
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
-
-def sha(ids: np.ndarray) -> str:
-    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, rows, ship
+from .common import id_back, rows, ship, slices
 
 LENGTH = 4
 #: A language is a bit of a long.
@@ -71,7 +71,7 @@ def _count(batches):
             keys, counts = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "key", "n"])
 
-    for b in batches:
+    for b in slices(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             keys = ngrams(text)
             held.setdefault(lang, []).append(keys)
@@ -84,7 +84,7 @@ def _count(batches):
 
 def _filter_rows(size: int, hashes: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at = places(b.column(0).to_numpy().view(np.uint64), size, hashes)
             yield pa.record_batch([pa.array(np.concatenate(at)), pa.concat_arrays([b.column(1)] * hashes)], names=["place", "mask"])
 

@@ -12,9 +12,9 @@ out: each set is verified against the bucket's smallest id, and only buckets tha
 * in a small bucket, sets of different components are paired;
 * in a large one, each set is written as its difference from the bucket's smallest id, the centre. For a pair of
   which one is not linked with the centre the differences overlap, by an amount that follows from the sizes, so a
-  prefix join over the differences, rarest shingles first, finds it.
+  prefix join over the differences, what the centre lacks first, finds it.
 
-Every pair that is found is verified exactly. No candidate is dropped and no bucket is capped.
+Every pair that is found is compared by sketches of the whole sets first, and verified exactly if those allow it. No candidate is dropped and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows
+from .common import Scratch, id_back, rows, slices
 from .components import components
 
 #: Bits of a sketch part, as a power of two.
@@ -142,12 +142,30 @@ def sketch_keys(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def bit_sketch(u: np.ndarray) -> np.ndarray:
+    """A sketch of the whole set for a first look at pairs: as many bits as four times the set's size or more, packed.
+
+    A sketch of half as many bits is the sum of both halves modulo 2, so sketches of sets of any sizes can be compared.
+    """
+    bits = 1 << max(9, (4 * len(u) - 1).bit_length())
+    return np.packbits((np.bincount(((u >> _U(7)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> int:
+    """The Hamming distance of two sketches, at most the symmetric difference of their sets."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _signs(n: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, n) for t in b.column(1).to_pylist()]
             signs = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in sets]
-            yield pa.record_batch([b.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(signs, pa.binary())], names=["id", "n", "sign"])
+            sketches = pa.array([bit_sketch(u).tobytes() for u in sets], pa.binary())
+            yield pa.record_batch([b.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(signs, pa.binary()), sketches], names=["id", "n", "sign", "sketch"])
 
     return run
 
@@ -161,7 +179,7 @@ def _counted(n: int, percent: int):
 
     def run(batches):
         seen: set[bytes] = set()
-        for b in batches:
+        for b in slices(batches):
             out = [np.zeros(0, _U)]
             for text in b.column(1).to_pylist():
                 u = shingles(text, n)
@@ -184,7 +202,7 @@ def _bits(keys: np.ndarray, size: int) -> list[np.ndarray]:
 
 def _words(size: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at = np.concatenate(_bits(b.column(0).to_numpy().view(_U), size))
             yield pa.record_batch([pa.array((at >> _U(6)).astype(np.int32)), pa.array((_U(1) << (at & _U(63))).view(np.int64))], names=["word", "bits"])
 
@@ -203,7 +221,7 @@ def bloom(keys: DataFrame) -> np.ndarray:
 def _passing(n: int, percent: int, shared):
     def run(batches):
         table = shared.value
-        for b in batches:
+        for b in slices(batches):
             ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = sketch_keys(shingles(text, n), percent)
@@ -218,12 +236,34 @@ def _passing(n: int, percent: int, shared):
     return run
 
 
+def _prefix(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) -> list:
+    """The size of a set's difference from its bucket's centre, and the first elements of that difference.
+
+    What the centre lacks comes first, the rarer part. Let x and y be the differences' sizes of two linked sets A and B
+    of which not both are linked with the centre C, d the size of their own difference and o what their differences
+    share: o = (x + y - d) / 2. With c = (100 - percent) / (100 + percent), d <= c (|A| + |B|), and y > c (|B| + |C|) if B
+    is not linked with C. So o > (x + c (|C| - |A|)) / 2 for a linked A, o >= x - |A| (100 - percent) / (2 percent) if x <= y,
+    and o >= y - |B| (100 - percent) / percent. Two sets that share o elements share one of the first x - o + 1 of A
+    and y - o + 1 of B. A linked set needs the first bound only, against partners that aren't; others the second one
+    for the set of the smaller x and the third one for its partner. `short` elements hold for the first two.
+    """
+    more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
+    x, a, c = len(more) + len(less), len(own), len(centre)
+    if linked:
+        least = (x * (100 + percent) + (100 - percent) * (c - a)) // (2 * (100 + percent)) + 1
+    else:
+        least = x - a * (100 - percent) // (2 * percent)
+    short = x - max(1, least) + 1
+    long = short if linked else x - max(1, x - a * (100 - percent) // percent) + 1
+    return [x, short, np.concatenate([more, less])[:long].view(np.int64).tolist()]
+
+
 def _compare(n: int, percent: int, differences: bool):
-    names = ["a", "b", "na", "nb", "linked", *["delta"] * differences]
+    names = ["a", "b", "na", "nb", "linked", *["x", "short", "prefix"] * differences]
 
     def run(batches):
         now, other = None, None
-        for b in batches:
+        for b in slices(batches):
             out = [[] for _ in names]
             for doc, anchor, salt, kind, text in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 own = shingles(text, n)
@@ -237,19 +277,19 @@ def _compare(n: int, percent: int, differences: bool):
                 linked = 100 * common >= percent * (len(both) - common) and common > 0
                 row = [doc, anchor, len(own), len(other), linked]
                 if differences:
-                    row.append(np.setxor1d(own, other, assume_unique=True).view(np.int64).tolist())
+                    row += _prefix(own, other, linked, percent)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names=names)
 
     return run
 
 
-def compare(texts: DataFrame, pairs: DataFrame, scratch: Scratch, n: int, percent: int, differences: bool = False) -> DataFrame:
-    """Verifies each pair (a, b): a, b, na, nb, linked and, if asked for, delta, the shingles of only one of both.
+def _beside(held: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of `held` (id, ...) that the pairs (a, b) need: partitions sorted by b, salt and kind, b's own row first.
 
-    Each text goes to its partners' task once for RUN of them, so a partner of many is dealt to many tasks.
+    A row goes to its partners' task once for RUN of them, so a partner of many is dealt to many tasks.
     """
     runs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
     runs = scratch.keep(runs)
@@ -257,9 +297,40 @@ def compare(texts: DataFrame, pairs: DataFrame, scratch: Scratch, n: int, percen
     anchors = runs.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.lit(0).alias("kind"))
     asked = scratch.keep(pieces.unionByName(anchors))
     small = asked.count() <= SENT_ROWS
-    rows_ = texts.join(F.broadcast(asked) if small else asked, "id").select("id", "b", "salt", "kind", "text")
-    rows_ = rows_.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
-    return rows_.mapInArrow(_compare(n, percent, differences), "a long, b long, na long, nb long, linked boolean" + ", delta array<long>" * differences)
+    found = held.join(F.broadcast(asked) if small else asked, "id").select("id", "b", "salt", "kind", *(c for c in held.columns if c != "id"))
+    return found.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+
+
+def compare(texts: DataFrame, pairs: DataFrame, scratch: Scratch, n: int, percent: int, differences: bool = False) -> DataFrame:
+    """Verifies each pair (a, b): a, b, na, nb, linked and, if asked for, what _prefix() says of their difference."""
+    kind = "a long, b long, na long, nb long, linked boolean" + ", x long, short long, prefix array<long>" * differences
+    return _beside(texts, pairs, scratch).mapInArrow(_compare(n, percent, differences), kind)
+
+
+def _near(percent: int):
+    def run(batches):
+        now, other = None, None
+        for b in slices(batches):
+            out = [[], []]
+            for doc, anchor, salt, kind, size, sketch in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                own = (size, np.frombuffer(sketch, np.uint8))
+                if not kind:
+                    now, other = (anchor, salt), own
+                    continue
+                assert now == (anchor, salt)
+                if distance(own[1], other[1]) <= largest_difference(size + other[0], percent):
+                    out[0].append(doc)
+                    out[1].append(anchor)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return run
+
+
+def linked(texts: DataFrame, sketches: DataFrame | None, pairs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Sketches (id, n, sketch), where there are any, spare texts that are too far apart."""
+    if sketches is not None:
+        pairs = scratch.keep(_beside(sketches, pairs, scratch).mapInArrow(_near(percent), "a long, b long"))
+    return scratch.keep(compare(texts, pairs, scratch, n, percent).where("linked").select("a", "b"))
 
 
 def _across(open_rows: DataFrame) -> DataFrame:
@@ -270,20 +341,37 @@ def _across(open_rows: DataFrame) -> DataFrame:
 
 def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """Pairs of different components within large buckets, from the differences to the buckets' centres."""
-    members = scratch.keep(large.where("id <> centre").select("id", "centre", "component").distinct())
-    found = compare(texts, members.select(F.col("id").alias("a"), F.col("centre").alias("b")), scratch, n, percent, True)
-    found = scratch.keep(found.join(members.select(F.col("id").alias("a"), F.col("centre").alias("b"), "component"), ["a", "b"]))
-    each = found.select("a", "b", "na", "component", F.size("delta").alias("x"), F.explode("delta").alias("e"))
-    often = scratch.keep(each.groupBy("b", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    # an element of one set only is the rarest of all: it takes its place in the prefix and joins with nothing
-    ranked = each.join(often, ["b", "e"], "left").withColumn("r", F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("df", F.lit(1)), "e")))
-    ranked = scratch.keep(ranked.where(f"df is not null and r <= floor(na * {100 - percent} / {percent}) + 1").drop("df"))
-    less = ranked.where(f"r <= floor(na * {100 - percent} / {2 * percent}) + 1").select("b", "e", F.col("a").alias("p"), F.col("na").alias("np"), F.col("x").alias("xp"), F.col("component").alias("cp"))
-    near = (F.col("x") - F.col("xp")) * (100 + percent) <= (F.col("na") + F.col("np")) * (100 - percent)
-    pairs = less.join(ranked, ["b", "e"]).where((F.col("x") >= F.col("xp")) & (F.col("component") != F.col("cp")) & near)
+    members = scratch.keep(large.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "component").distinct())
+    found = compare(texts, members.select("a", "b"), scratch, n, percent, True)
+    found = scratch.keep(found.join(members, ["a", "b"]))
+    each = found.select("a", "b", "na", "component", "linked", "x", "short", F.posexplode("prefix").alias("r", "e"))
+    first = each.where("r < short").select("b", "e", F.col("a").alias("p"), F.col("na").alias("np"), F.col("x").alias("xp"), F.col("component").alias("cp"), F.col("linked").alias("lp"))
+    near = F.abs(F.col("x") - F.col("xp")) * (100 + percent) <= (F.col("na") + F.col("np")) * (100 - percent)
+    pairs = first.join(each.where("not linked"), ["b", "e"]).where((F.col("lp") | (F.col("x") >= F.col("xp"))) & (F.col("component") != F.col("cp")) & near)
     return pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct()
 
 
+def buckets_of(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds to (id, key) the bucket's number of members and its centre, the smallest id, where there are several."""
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("centre")).where("members > 1")
+    return scratch.keep(keys.join(scratch.keep(several), "key"))
+
+
+def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """id, component of the sets that link with another one of the same bucket (key, id, members, centre)."""
+    star = scratch.keep(buckets.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+    links = linked(texts, sketches, star, scratch, n, percent)
+    first = scratch.keep(components(links, scratch))
+    placed = buckets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = scratch.keep(placed)
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    still = scratch.keep(placed.join(several, "key"))
+    pairs = _across(still.where(F.col("members") <= SMALL)).union(_around(texts, still.where(F.col("members") > SMALL), scratch, n, percent)).distinct()
+    pairs = scratch.keep(pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    more = linked(texts, sketches, pairs, scratch, n, percent)
+    return components(links.union(more), scratch)
+
+
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of each document.
 
@@ -298,28 +386,17 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark)
     texts = rows(docs, id_col, text_col)
     # copies: one class for each set
-    signs = scratch.keep(texts.mapInArrow(_signs(n), "id long, n long, sign binary"))
+    signs = scratch.keep(texts.mapInArrow(_signs(n), "id long, n long, sign binary, sketch binary"))
     some = signs.where("n > 0")
     classes = scratch.keep(some.groupBy("n", "sign").agg(F.min("id").alias("class")))
-    member = scratch.keep(some.join(classes, ["n", "sign"]).select("id", "n", "class"))
+    member = scratch.keep(some.drop("sketch").join(classes, ["n", "sign"]).select("id", "n", "class"))
     # buckets: keys are counted first, and only those that occur again are dealt out with their ids
     again = texts.mapInArrow(_counted(n, percent), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     shared = spark.sparkContext.broadcast(bloom(scratch.keep(again)))
     keys = texts.mapInArrow(_passing(n, percent, shared), "id long, key long")
     keys = scratch.keep(keys.join(classes.select(F.col("class").alias("id")), "id", "left_semi"))
-    twice = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("centre")).where("members > 1")
-    buckets = scratch.keep(keys.join(scratch.keep(twice), "key"))
-    star = scratch.keep(buckets.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
-    links = scratch.keep(compare(texts, star, scratch, n, percent).where("linked").select("a", "b"))
-    first = scratch.keep(components(links, scratch))
-    placed = buckets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = scratch.keep(placed)
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    still = scratch.keep(placed.join(several, "key"))
-    pairs = _across(still.where(F.col("members") <= SMALL)).union(_around(texts, still.where(F.col("members") > SMALL), scratch, n, percent)).distinct()
-    pairs = scratch.keep(pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    more = scratch.keep(compare(texts, pairs, scratch, n, percent).where("linked").select("a", "b"))
-    found = components(links.union(more), scratch).select(F.col("id").alias("class"), "component")
+    buckets = buckets_of(keys, scratch)
+    found = resolve(texts, signs.select("id", "n", "sketch"), buckets, scratch, n, percent).withColumnRenamed("id", "class")
     whole = member.join(found, "class", "left").select("id", "n", "class", F.coalesce("component", "class").alias("component"))
     none = signs.where("n = 0").select("id", "n", F.col("id").alias("class"), F.col("id").alias("component"))
     return whole.unionByName(none).select(id_back("id", "doc_id"), F.col("n").alias("n_shingles"), id_back("class", "class_id"), id_back("component", "component_id"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows
+from .common import Scratch, id_back, rows, slices
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "handle", "person")
@@ -162,7 +162,7 @@ _FOUND = pa.schema(
 
 
 def _extract(batches):
-    for b in batches:
+    for b in slices(batches):
         out = [[] for _ in _FOUND]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             base = base_spans(text)

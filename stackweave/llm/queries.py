@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, ngram_join, pii
+from . import bpe, chat, decontaminate, importance, language_id, line_dedup, ngram_join, pii, substring_dedup
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -61,3 +61,23 @@ def op5_ngram_jaccard_join(spark, sf_dir):
 @query("op4_pii")
 def op4_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chat_format")
+def op8_chat_format(spark, sf_dir):
+    return chat.report(table(spark, sf_dir, "conversations"))

@@ -6,6 +6,7 @@ import numpy as np
 import corpus_pipeline
 from stackweave.llm import bpe
 
+from .test_bpe import exact as tokens
 from .test_decontaminate import brute as leaks
 from .test_ngram_join import brute as components
 
@@ -29,7 +30,7 @@ def test_stages_and_whole_run(spark, tmp_path):
         assert got == kept, (name, set(got) ^ set(kept))
     want = set()
     for d, text in kept.items():
-        ids = bpe.codec(bpe.default_path()).exact.encode(text, add_special_tokens=False).ids
+        ids = tokens(text)
         want.add((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
     assert len(want) < docs.count()
