@@ -534,3 +534,30 @@ def ema_rate(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("t"), F.sum(F.when(F.col("value") > 0, F.col("value")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
     return window.ema_rate(e, ["user_id"], "t", "total").select("user_id", "t", "ema")
+
+
+@query("page_manifest", "SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, sha512_256 AS hash FROM (SELECT page_id, html, sha256(html) AS sha512_256 FROM pages)")
+def page_manifest(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("hash"))
+
+
+@query("encoded_roundtrip", f"WITH {U0} SELECT n, CAST(c AS BIGINT) AS c, y, x, round(v * 255, 6) AS v FROM u")
+def encoded_roundtrip(spark, sf_dir):
+    """Frames encoded and decoded again."""
+    from .sources import encoded
+
+    bytes_ = unit(spark, sf_dir) | (lambda v: F.round(v * 255))
+    back = encoded.encode(bytes_).select("n", F.posexplode(encoded._decode("uint8")("payload")).alias("p", "v"))
+    return back.select("n", F.lit(0).cast("long").alias("c"), F.floor(F.col("p") / 8).alias("y"), (F.col("p") % 8).cast("long").alias("x"), "v")
+
+
+@query("image_digest_per_frame", f"WITH {E0} SELECT n, round(sum(v * (y * 8 + x + 1)), 6) AS v, count(*) AS pixels FROM e GROUP BY n")
+def per_frame_checksum(spark, sf_dir):
+    packed = stacks.to_arrays(emb(spark, sf_dir))
+    return packed.select("n", F.aggregate(F.transform("px", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v).alias("v"), F.size("px").cast("long").alias("pixels"))
+
+
+@query("batch_sums", f"WITH {E0} SELECT n // 128 AS batch, round(sum(v), 6) AS v FROM e GROUP BY ALL")
+def batch_sums(spark, sf_dir):
+    return emb(spark, sf_dir).all().groupBy(F.floor(F.col("n") / 128).alias("batch")).agg(F.sum("v").alias("v"))

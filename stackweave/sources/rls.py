@@ -89,6 +89,7 @@ def load(spark, path: str, max_frames: int | None = None, frames_per_task: int =
     from ..plans.pipe import FramePipe
 
     spark.dataSource.register(RawRecording)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters on n
     head = read_header(path)
     n = min(head["frames"], max_frames) if max_frames else head["frames"]
     packed = spark.read.format("raw_recording").option("frames_per_task", frames_per_task).options(**({"max_frames": max_frames} if max_frames else {})).load(path)
