@@ -30,6 +30,7 @@ def _encode(kind: str, step: float):
         def one(values):
             a = np.asarray(values, np.float64)
             a = np.round(a / step) * step if step else a
+            a = np.clip(a, 0, 255) if kind == "uint8" else a
             return zlib.compress(np.ascontiguousarray(a.astype(KINDS[kind])).tobytes())
 
         return px.map(one)

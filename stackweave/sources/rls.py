@@ -40,7 +40,7 @@ class Reader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if getattr(f, "attribute", None) == ("n",) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == ("n",) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, EqualTo):
                     self.low, self.high = max(self.low, f.value), min(self.high, f.value + 1)
                 elif isinstance(f, GreaterThan):

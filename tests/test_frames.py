@@ -251,7 +251,7 @@ def test_encoded(spark, pipe, stack, tmp_path):
     rows = spark.read.parquet(f"{path}/frames").orderBy("n").collect()
     assert [r.offset for r in rows] == [sum(q.length for q in rows[:k]) for k in range(12)]
     encoded.save(pipe, str(tmp_path / "b.frames.parquet"), step=16)
-    assert np.allclose(encoded.load(spark, str(tmp_path / "b.frames.parquet")).to_numpy(), np.round(stack / 16) * 16)
+    assert np.allclose(encoded.load(spark, str(tmp_path / "b.frames.parquet")).to_numpy(), np.minimum(np.round(stack / 16) * 16, 255))
     with pytest.raises(ValueError):
         registry.reader_of("x.unknown")
     registry.register("*.special.rls", lambda *a: None)
