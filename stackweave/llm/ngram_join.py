@@ -12,7 +12,8 @@ out: each set is verified against the bucket's smallest id, and only buckets tha
 * in a small bucket, sets of different components are paired;
 * in a large one, each set is written as its difference from the bucket's smallest id, the centre. For a pair of
   which one is not linked with the centre the differences overlap, by an amount that follows from the sizes, so a
-  prefix join over the differences, what the centre lacks first, finds it.
+  prefix join over the differences, what the centre lacks first, finds it; pairs whose sketches are too far apart do
+  not leave that join.
 
 Every pair that is found is compared by sketches of the whole sets first, and verified exactly if those allow it. No candidate is dropped and no bucket is capped.
 """
@@ -37,6 +38,8 @@ PART_BITS = 20
 SMALL = 32
 #: Rows up to which a table of ids is sent to all tasks; a larger one is joined by shuffling.
 SENT_ROWS = 1_000_000
+#: Longs of the sketches by which pairs of large buckets are judged in their join.
+FOLDED = 16
 #: Rows that are verified against one copy of their partner.
 RUN = 500
 
@@ -244,7 +247,8 @@ def _prefix(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) ->
     share: o = (x + y - d) / 2. With c = (100 - percent) / (100 + percent), d <= c (|A| + |B|), and y > c (|B| + |C|) if B
     is not linked with C. So o > (x + c (|C| - |A|)) / 2 for a linked A, o >= x - |A| (100 - percent) / (2 percent) if x <= y,
     and o >= y - |B| (100 - percent) / percent. Two sets that share o elements share one of the first x - o + 1 of A
-    and y - o + 1 of B. A linked set needs the first bound only, against partners that aren't; others the second one
+    and y - o + 1 of B. If the first shared element is one that the centre has, the sets share none that it lacks, and
+    then d is at least the sum of the numbers of those and the difference of the numbers of the others. A linked set needs the first bound only, against partners that aren't; others the second one
     for the set of the smaller x and the third one for its partner. `short` elements hold for the first two.
     """
     more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
@@ -255,11 +259,12 @@ def _prefix(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) ->
         least = x - a * (100 - percent) // (2 * percent)
     short = x - max(1, least) + 1
     long = short if linked else x - max(1, x - a * (100 - percent) // percent) + 1
-    return [x, short, np.concatenate([more, less])[:long].view(np.int64).tolist()]
+    bits = np.packbits((np.bincount(((own >> _U(7)) & _U(64 * FOLDED - 1)).astype(np.int64), minlength=64 * FOLDED) & 1).astype(np.uint8))
+    return [x, len(more), short, np.concatenate([more, less])[:long].view(np.int64).tolist(), bits.view(np.int64).tolist()]
 
 
 def _compare(n: int, percent: int, differences: bool):
-    names = ["a", "b", "na", "nb", "linked", *["x", "short", "prefix"] * differences]
+    names = ["a", "b", "na", "nb", "linked", *["x", "more", "short", "prefix", "bits"] * differences]
 
     def run(batches):
         now, other = None, None
@@ -280,7 +285,7 @@ def _compare(n: int, percent: int, differences: bool):
                     row += _prefix(own, other, linked, percent)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names=names)
 
     return run
@@ -303,7 +308,7 @@ def _beside(held: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def compare(texts: DataFrame, pairs: DataFrame, scratch: Scratch, n: int, percent: int, differences: bool = False) -> DataFrame:
     """Verifies each pair (a, b): a, b, na, nb, linked and, if asked for, what _prefix() says of their difference."""
-    kind = "a long, b long, na long, nb long, linked boolean" + ", x long, short long, prefix array<long>" * differences
+    kind = "a long, b long, na long, nb long, linked boolean" + ", x long, more long, short long, prefix array<long>, bits array<long>" * differences
     return _beside(texts, pairs, scratch).mapInArrow(_compare(n, percent, differences), kind)
 
 
@@ -344,11 +349,15 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     members = scratch.keep(large.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "component").distinct())
     found = compare(texts, members.select("a", "b"), scratch, n, percent, True)
     found = scratch.keep(found.join(members, ["a", "b"]))
-    each = found.select("a", "b", "na", "component", "linked", "x", "short", F.posexplode("prefix").alias("r", "e"))
-    first = each.where("r < short").select("b", "e", F.col("a").alias("p"), F.col("na").alias("np"), F.col("x").alias("xp"), F.col("component").alias("cp"), F.col("linked").alias("lp"))
-    near = F.abs(F.col("x") - F.col("xp")) * (100 + percent) <= (F.col("na") + F.col("np")) * (100 - percent)
-    pairs = first.join(each.where("not linked"), ["b", "e"]).where((F.col("lp") | (F.col("x") >= F.col("xp"))) & (F.col("component") != F.col("cp")) & near)
-    return pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct()
+    each = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "bits", F.posexplode("prefix").alias("r", "e"))
+    first = each.where("r < short").select("b", "e", *(F.col(c).alias(f"{c}_") for c in ("a", "na", "component", "linked", "x", "more", "bits")))
+    least = F.abs(F.col("x") - F.col("x_"))
+    held = F.col("more") + F.col("more_") + F.abs(F.col("x") - F.col("more") - F.col("x_") + F.col("more_"))
+    least = F.when(F.col("r") < F.col("more"), least).otherwise(F.greatest(least, held))
+    apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_", F.lit(k)))) for k in range(FOLDED)), F.lit(0))
+    near = F.greatest(least, apart) * (100 + percent) <= (F.col("na") + F.col("na_")) * (100 - percent)
+    pairs = first.join(each.where("not linked"), ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near)
+    return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).distinct()
 
 
 def buckets_of(keys: DataFrame, scratch: Scratch) -> DataFrame:
