@@ -141,7 +141,7 @@ def halves(text: str, most: int) -> list[str]:
 
 
 _PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("text", pa.string())])
-_CODED = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
+_CODED = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
 
 def _split(most: int):
@@ -154,43 +154,46 @@ def _split(most: int):
     return split
 
 
-def _encode(path: str, at: int):
-    """Adds the ids to a batch whose column `at` is the text."""
+def _encode(path: str, at: int, back: bool = False):
+    """Adds the ids to a batch whose column `at` is the text; the text gives way to that of the ids if `back` is set."""
 
     def encode(batches):
         own = codec(path)
         for b in slices(batches):
-            ids = pa.array([own.encode(t).tobytes() for t in b.column(at).to_pylist()], pa.binary())
-            kept = [*range(at)] + [at] * (at == 2)
-            yield pa.record_batch([*(b.column(k) for k in kept), ids], names=[*(b.schema.names[k] for k in kept), "ids"])
+            ids = [own.encode(t) for t in b.column(at).to_pylist()]
+            text = pa.array([own.decode(i) for i in ids], pa.string()) if back else b.column(at)
+            coded = pa.array([i.tobytes() for i in ids], pa.binary())
+            yield pa.record_batch([*(b.column(k) for k in range(at)), coded, text], names=[*b.schema.names[:at], "ids", "text"])
 
     return encode
 
 
-def _join(path: str):
+def _join(path: str, back: bool):
     def joined(table: pa.Table) -> pa.Table:
         own, parts = codec(path), table.sort_by("piece")
         found = [(t, np.frombuffer(i, "<u4")) for t, i in zip(parts.column("text").to_pylist(), parts.column("ids").to_pylist(), strict=True)]
-        return pa.table([pa.array([parts.column("id")[0].as_py()], pa.int64()), pa.array([tree(own, found)[1].tobytes()], pa.binary())], schema=_CODED)
+        text, ids = tree(own, found)
+        return pa.table([pa.array([parts.column("id")[0].as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([own.decode(ids) if back else text], pa.string())], schema=_CODED)
 
     return joined
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_points: int = 32768) -> DataFrame:
-    """id, ids: the token ids of each whole text as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_points: int = 32768, back: bool = False) -> DataFrame:
+    """id, ids, text: the token ids of each whole text as little-endian unsigned 32-bit integers, and the text.
 
-    A null or empty text has no ids. A null id is returned as the smallest long, see common.NULL_ID. One document is
-    put together in one task, as it is one row before and after; no task holds more than that.
+    back: `text` is decoded from the ids in the same pass. A null or empty text has no ids. A null id is returned as the
+    smallest long, see common.NULL_ID. One document is put together in one task, as it is one row before and after; no
+    task holds more than that.
     """
     texts = rows(docs, id_col, text_col)
-    short = texts.where(F.length("text") <= piece_points).mapInArrow(_encode(path, 1), "id long, ids binary")
+    short = texts.where(F.length("text") <= piece_points).mapInArrow(_encode(path, 1, back), "id long, ids binary, text string")
     pieces = texts.where(F.length("text") > piece_points).mapInArrow(_split(piece_points), "id long, piece int, text string")
-    coded = pieces.repartition("id", "piece").mapInArrow(_encode(path, 2), "id long, piece int, text string, ids binary")
-    return short.unionByName(coded.groupBy("id").applyInArrow(_join(path), "id long, ids binary"))
+    coded = pieces.repartition("id", "piece").mapInArrow(_encode(path, 2), "id long, piece int, ids binary, text string")
+    return short.unionByName(coded.groupBy("id").applyInArrow(_join(path, back), "id long, ids binary, text string"))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
-    """Adds the text of the ids to `coded` (id, ids)."""
+    """id, ids and the text of the ids, from `coded` (id, ids)."""
 
     def run(batches):
         own = codec(path)
@@ -203,7 +206,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_points: int = 32768) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    both = decode(encode(docs, path, id_col, text_col, piece_points), path)
+    both = encode(docs, path, id_col, text_col, piece_points, True)  # one Python worker for each task
     return both.select(id_back("id", "doc_id"), F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

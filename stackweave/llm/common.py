@@ -71,6 +71,22 @@ def slices(batches, most: int = 512):
             yield b.slice(k, most)
 
 
+#: Rows that the JVM hands to a Python worker at once while a table is written.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Documents are long rows: fewer of them at once keep the buffers of both sides small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the folder that all machines share, which cut lineage and survive lost executors.
 
@@ -90,7 +106,8 @@ class Scratch:
         self.n += 1
         path = f"{self.base}/{self.n}"
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch = path
         return out

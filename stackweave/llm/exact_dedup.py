@@ -22,7 +22,7 @@ from .common import Scratch, id_back, rows, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct blocks that a task remembers at once.
-REMEMBERED = 64 << 20
+REMEMBERED = 16 << 20
 PLACES = "id long, n_points long, sha string, n_blocks int, pos int, rep_id long, rep_pos int, block binary"
 _ARROW = pa.schema([("id", pa.int64()), ("n_points", pa.int64()), ("sha", pa.string()), ("n_blocks", pa.int32()), ("pos", pa.int32()), ("rep_id", pa.int64()), ("rep_pos", pa.int32()), ("block", pa.binary())])
 

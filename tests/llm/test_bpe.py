@@ -68,3 +68,9 @@ def test_query_shapes(spark):
         assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_decode_of_encode(spark):
+    docs = spark.createDataFrame([(1, "a b é", "x"), (2, None, "y"), (3, "abc " * 900, "z")], "doc_id long, text string, ids string")
+    coded = bpe.encode(docs, PATH, piece_points=500)
+    assert {r.id: r.text for r in bpe.decode(coded, PATH).collect()} == {r.id: r.text for r in coded.collect()} == {1: "a b é", 2: "", 3: "abc " * 900}
