@@ -7,7 +7,8 @@ sketch of a size band is cut into D + 1 + E parts: more than E parts of a linked
 no more than E parts of a set are empty, those can be left out and an equal part still finds the pair.
 
 Equal sets are one class from the start, so copies cost nothing. Within a bucket of equal parts no pairs are spelled
-out: each set is verified against the bucket's smallest id, and only buckets that hold several components then go on:
+out: each set is verified against the bucket's smallest id, in a large bucket what is left against the smallest id of
+that, a few times, and only buckets that hold several components then go on:
 
 * in a small bucket, sets of different components are paired;
 * in a large one, each set is written as its difference from the bucket's smallest id, the centre. For a pair of
@@ -36,12 +37,14 @@ from .components import components
 PART_BITS = 20
 #: Members up to which all pairs of different components of a bucket are verified.
 SMALL = 32
+#: Further centres of a large bucket.
+ROUNDS = 3
 #: Rows up to which a table of ids is sent to all tasks; a larger one is joined by shuffling.
 SENT_ROWS = 1_000_000
 #: Longs of the sketches by which pairs of large buckets are judged in their join.
 FOLDED = 16
 #: Rows that are verified against one copy of their partner.
-RUN = 500
+RUN = 128
 
 _U = np.uint64
 
@@ -349,14 +352,16 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     members = scratch.keep(large.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "component").distinct())
     found = compare(texts, members.select("a", "b"), scratch, n, percent, True)
     found = scratch.keep(found.join(members, ["a", "b"]))
-    each = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "bits", F.posexplode("prefix").alias("r", "e"))
-    first = each.where("r < short").select("b", "e", *(F.col(c).alias(f"{c}_") for c in ("a", "na", "component", "linked", "x", "more", "bits")))
+    each = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "bits", "prefix", F.posexplode("prefix").alias("r", "e"))
+    short = each.where("r < short").withColumn("prefix", F.slice("prefix", F.lit(1), F.col("short").cast("int")))
+    first = short.select("b", "e", *(F.col(c).alias(f"{c}_") for c in ("a", "na", "component", "linked", "x", "more", "bits", "prefix")))
     least = F.abs(F.col("x") - F.col("x_"))
     held = F.col("more") + F.col("more_") + F.abs(F.col("x") - F.col("more") - F.col("x_") + F.col("more_"))
     least = F.when(F.col("r") < F.col("more"), least).otherwise(F.greatest(least, held))
     apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_", F.lit(k)))) for k in range(FOLDED)), F.lit(0))
     near = F.greatest(least, apart) * (100 + percent) <= (F.col("na") + F.col("na_")) * (100 - percent)
-    pairs = first.join(each.where("not linked"), ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near)
+    once = F.get(F.array_intersect("prefix_", "prefix"), F.lit(0)) == F.col("e")  # a pair meets at the first element that it shares
+    pairs = first.join(each.where("not linked"), ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near & once)
     return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).distinct()
 
 
@@ -370,6 +375,17 @@ def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, sc
     """id, component of the sets that link with another one of the same bucket (key, id, members, centre)."""
     star = scratch.keep(buckets.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
     links = linked(texts, sketches, star, scratch, n, percent)
+    # what a large bucket's centre doesn't link with has further centres, which spare pairs later on
+    rest, last = buckets.where(F.col("members") > SMALL).where("id <> centre").select("key", "id", "centre"), links
+    for _ in range(ROUNDS):
+        rest = rest.join(last.select(F.col("a").alias("id"), F.col("b").alias("centre")), ["id", "centre"], "left_anti").select("key", "id")
+        centres = rest.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        rest = scratch.keep(rest.join(scratch.keep(centres), "key").where("id <> centre"))
+        more = scratch.keep(rest.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        last = linked(texts, sketches, more, scratch, n, percent)
+        star, links = star.union(more), links.union(last)
     first = scratch.keep(components(links, scratch))
     placed = buckets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = scratch.keep(placed)

@@ -14,6 +14,7 @@ are removed, in runs of at least `least_words` words.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -28,8 +29,8 @@ from .ngram_join import _U, _WHITE, _byte_values, _powers, bloom, buckets_of, mi
 SHORT, LONG = 12, 48
 SHINGLE = 5
 LINE = np.int64(0x5DEECE66D1234567)
-#: Rows up to which removed ranges are sent to all tasks instead of shuffling the texts to them.
-SENT_ROWS = 500_000
+#: Places up to which those to be removed are sent to all tasks instead of shuffling the texts to them.
+SENT_ROWS = 4_000_000
 
 
 def bands(percent: int, recall: float, width: int = 3) -> int:
@@ -37,6 +38,12 @@ def bands(percent: int, recall: float, width: int = 3) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** width))
 
 
+@functools.lru_cache(maxsize=4)
+def multipliers(n: int) -> np.ndarray:
+    """Odd numbers that each order the shingles in another way."""
+    return np.array([(2 * k * 0x5851F42D4C957F2D + 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF for k in range(n)], _U)
+
+
 class Paragraphs:
     """The paragraphs of a text: first and last word, byte offsets, ids and shingles; `covers` are those that each holds."""
 
@@ -55,22 +62,27 @@ class Paragraphs:
         up, down = _powers(1 << max(16, len(low).bit_length()))
         sums = np.concatenate([[_U(0)], np.cumsum(_byte_values()[low] * up[: len(low)])])
         self.hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-        lines = np.cumsum(low == 10)
-        breaks = set((np.flatnonzero(lines[start[1:]] != lines[start[:-1]]) + 1).tolist())
-        stops = set((np.flatnonzero(np.isin(low[end - 1], (33, 46, 63))) + 1).tolist())
+        lines = np.cumsum(low == 10)[start]
+        # before which words a line or a sentence ends
+        breaks, stops = np.zeros(self.n_words + 1, bool), np.zeros(self.n_words + 1, bool)
+        breaks[1:-1] = lines[1:] != lines[:-1]
+        last = low[end - 1]
+        stops[1:] = (last == 33) | (last == 46) | (last == 63)
+        places = np.flatnonzero(breaks | stops)
+        places = places[places < self.n_words]
+        chosen = (self.hashes[places - 1] >> _U(60)) & _U(1)
         cuts, before = [0], 0
-        for k in sorted(breaks | stops):
-            if k in breaks or k - before >= LONG or k - before >= SHORT and int(self.hashes[k - 1] >> _U(60)) & 1:
+        for k, line, hit in zip(places.tolist(), breaks[places].tolist(), chosen.tolist(), strict=True):
+            if line or k - before >= LONG or hit and k - before >= SHORT:
                 cuts.append(k)
                 before = k
-        if cuts[-1] == self.n_words:
-            cuts.pop()
         self.first = np.array(cuts)
         self.last = np.append(self.first[1:], self.n_words)
         self.pieces = len(cuts)
         self.at = np.append(start[self.first], len(low))  # a paragraph ends where the next one starts
         # a line of several paragraphs is one more, after all others
-        head = np.flatnonzero(np.isin(self.first, [0, *breaks]))
+        breaks[0] = True
+        head = np.flatnonzero(breaks[self.first])
         tail = np.append(head[1:], self.pieces)
         head, tail = head[tail - head > 1], tail[tail - head > 1]
         self.covers = np.concatenate([np.stack([np.arange(self.pieces), np.arange(self.pieces) + 1], 1), np.stack([head, tail], 1)])
@@ -89,25 +101,21 @@ class Paragraphs:
         for k in range(SHINGLE):
             h = (h + self.hashes[k : k + len(h)]) * _U(0x9FB21C651E98DF25)
         spans = np.stack([self.first[which], self.last[which] - SHINGLE + 1], 1).ravel()
-        out = np.empty((len(which), hashes), _U)
         h = np.append(h, _U(0))  # reduceat takes no place behind the end
-        for k in range(hashes):
-            x = (h ^ (h >> _U(31))) * _U((2 * k * 0x5851F42D4C957F2D + 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF)
-            x[-1] = _U(0xFFFFFFFFFFFFFFFF)
-            out[:, k] = np.minimum.reduceat(x >> _U(16), spans)[::2]
-        return which, out
+        x = (h ^ (h >> _U(31)))[None, :] * multipliers(hashes)[:, None]
+        x >>= _U(16)
+        x[:, -1] = _U(1 << 48)
+        return which, np.minimum.reduceat(x, spans, 1)[:, ::2].T
 
     def keys(self, n_bands: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The paragraphs that have shingles, and a key for each band."""
         which, values = self.signatures(n_bands * width)
-        out = np.zeros((len(which), n_bands), _U)
-        for b in range(n_bands):
-            x = np.full(len(which), b + 1, _U)
-            for k in range(width):
-                x = mix(x * _U(0x9FB21C651E98DF25) + values[:, b * width + k])
-            out[:, b] = x
-        out[which >= self.pieces] ^= LINE.view(_U)
-        return which, out
+        values = values.reshape(len(which), n_bands, width)
+        x = np.arange(1, n_bands + 1, dtype=_U)[None, :]
+        for k in range(width):
+            x = mix(x * _U(0x9FB21C651E98DF25) + values[:, :, k])
+        x[which >= self.pieces] ^= LINE.view(_U)
+        return which, x
 
 
 _PLACES = ["id", "place", "paragraph", "words"]
@@ -181,9 +189,13 @@ def _remove(least_words: int):
         for b in slices(batches):
             texts, total, gone, cut = [], [], [], []
             for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not places:
+                    for column, value in zip((texts, total, gone, cut), (text, len(text.encode().split()), 0, 0), strict=True):
+                        column.append(value)
+                    continue
                 p = Paragraphs(text)
                 drop = np.zeros(p.pieces + 2, bool)
-                for k in places or ():
+                for k in places:
                     drop[p.covers[k][0] + 1 : p.covers[k][1] + 1] = True
                 edges = np.flatnonzero(drop[1:] != drop[:-1])
                 ranges = [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if p.last[e - 1] - p.first[s] >= least_words]
