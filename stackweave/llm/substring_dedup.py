@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_back, rows, slices
-from .ngram_join import _U, _WHITE, _byte_values, _powers, bloom, buckets_of, mix, resolve
+from .ngram_join import _U, _WHITE, _byte_values, _powers, _signs, bloom, buckets_of, mix, resolve
 
 #: Words of a paragraph before a cut, and words after which the next sentence end is a cut.
 SHORT, LONG = 12, 48
@@ -227,7 +227,8 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = spark.sparkContext.broadcast(bloom(scratch.keep(again)))
     some = scratch.keep(texts.mapInArrow(_passing(n_bands, width, shared), "id long, text string, keys array<long>"))
     distinct = scratch.keep(some.groupBy("id").agg(F.min("text").alias("text"), F.first("keys").alias("keys")))  # equal words have equal keys
-    found = resolve(distinct.select("id", "text"), None, buckets_of(distinct.select("id", F.explode("keys").alias("key")), scratch), scratch, SHINGLE, percent)
+    sketches = scratch.keep(distinct.select("id", "text").mapInArrow(_signs(SHINGLE), "id long, n long, sign binary, sketch binary").drop("sign"))
+    found = resolve(distinct.select("id", "text"), sketches, buckets_of(distinct.select("id", F.explode("keys").alias("key")), scratch), scratch, SHINGLE, percent)
     found = scratch.keep(found.select(F.col("id").alias("paragraph"), "component"))
     placed = places.join(found, "paragraph", "left").select("id", "place", F.coalesce("component", "paragraph").alias("class"))
     first = placed.groupBy("class").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
