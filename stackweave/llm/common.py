@@ -12,6 +12,7 @@ Rules that every operator here follows
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -112,6 +113,11 @@ class Scratch:
         out._scratch = path
         return out
 
+    def release(self) -> None:
+        """Has Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         jvm = self.spark._jvm

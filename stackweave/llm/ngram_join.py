@@ -338,7 +338,9 @@ def linked(texts: DataFrame, sketches: DataFrame | None, pairs: DataFrame, scrat
     """The pairs (a, b) that link. Sketches (id, n, sketch), where there are any, spare texts that are too far apart."""
     if sketches is not None:
         pairs = scratch.keep(_beside(sketches, pairs, scratch).mapInArrow(_near(percent), "a long, b long"))
-    return scratch.keep(compare(texts, pairs, scratch, n, percent).where("linked").select("a", "b"))
+    out = scratch.keep(compare(texts, pairs, scratch, n, percent).where("linked").select("a", "b"))
+    scratch.release()
+    return out
 
 
 def _across(open_rows: DataFrame) -> DataFrame:
@@ -416,8 +418,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = scratch.keep(some.groupBy("n", "sign").agg(F.min("id").alias("class")))
     member = scratch.keep(some.drop("sketch").join(classes, ["n", "sign"]).select("id", "n", "class"))
     # buckets: keys are counted first, and only those that occur again are dealt out with their ids
-    again = texts.mapInArrow(_counted(n, percent), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    shared = spark.sparkContext.broadcast(bloom(scratch.keep(again)))
+    again = scratch.keep(texts.mapInArrow(_counted(n, percent), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"))
+    scratch.release()  # the counts' shuffle files are the largest of all
+    shared = spark.sparkContext.broadcast(bloom(again))
+    scratch.drop(again)
     keys = texts.mapInArrow(_passing(n, percent, shared), "id long, key long")
     keys = scratch.keep(keys.join(classes.select(F.col("class").alias("id")), "id", "left_semi"))
     buckets = buckets_of(keys, scratch)
