@@ -1,7 +1,13 @@
-"""Removal of passages that repeat across documents, by MinHash banding of paragraphs.
+"""Removal of passages that repeat across documents: equal windows of words, and MinHash banding of paragraphs.
+
+A word goes if a window of `least_words` words around it stands at an earlier place as well, wherever its lines and
+sentences end: this finds every equal passage of that length. Only windows whose seed repeats are looked up; a
+window's seed is the one of its runs of words with the smallest hash, which equal windows share. Paragraphs find
+passages with changed words.
 
 A line is cut into paragraphs of a dozen words or more. A cut is made behind a sentence whose hash says so, or at last
-behind the first sentence after four dozen words, so that a passage is cut alike wherever it stands. A paragraph's id
+behind the first sentence after four dozen words; longer stretches are cut between two words whose hash is the
+smallest around, so that a passage is cut alike wherever it stands. A paragraph's id
 is a hash of its words: equal ones are one from the start. Distinct paragraphs get a MinHash signature of their five-word
 shingles, cut into as many bands as a recall of `recall` at the asked similarity needs. A line of several paragraphs
 counts as one more, so that a few changed words do not hide a long passage.
@@ -9,7 +15,7 @@ counts as one more, so that a few changed words do not hide a long passage.
 Paragraphs that collide in a band are verified by their exact Jaccard similarity as in ngram_join: within a bucket
 against the bucket's smallest id, and only members of different components go on from there, so that thousands of
 copies cost one comparison each. Links form components; of each the first place in the corpus stays. All other places
-are removed, in runs of at least `least_words` words.
+are removed, with the equal windows, in runs of at least `least_words` words.
 """
 
 from __future__ import annotations
@@ -27,8 +33,13 @@ from .ngram_join import _U, _WHITE, _byte_values, _powers, _signs, bloom, bucket
 
 #: Words of a paragraph before a cut, and words after which the next sentence end is a cut.
 SHORT, LONG = 12, 48
+#: A pair of words has the smallest hash of this many on each side of it where a stretch without another cut is cut.
+AROUND = 24
 SHINGLE = 5
 LINE = np.int64(0x5DEECE66D1234567)
+SEED = _U(0x2545F4914F6CDD1D)
+#: Bits for the place of a word in its text.
+PLACE = _U((1 << 28) - 1)
 #: Places up to which those to be removed are sent to all tasks instead of shuffling the texts to them.
 SENT_ROWS = 4_000_000
 
@@ -44,6 +55,16 @@ def multipliers(n: int) -> np.ndarray:
     return np.array([(2 * k * 0x5851F42D4C957F2D + 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF for k in range(n)], _U)
 
 
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
 class Paragraphs:
     """The paragraphs of a text: first and last word, byte offsets, ids and shingles; `covers` are those that each holds."""
 
@@ -76,6 +97,7 @@ class Paragraphs:
             if line or k - before >= LONG or hit and k - before >= SHORT:
                 cuts.append(k)
                 before = k
+        cuts = self._shorter(cuts)
         self.first = np.array(cuts)
         self.last = np.append(self.first[1:], self.n_words)
         self.pieces = len(cuts)
@@ -87,11 +109,43 @@ class Paragraphs:
         head, tail = head[tail - head > 1], tail[tail - head > 1]
         self.covers = np.concatenate([np.stack([np.arange(self.pieces), np.arange(self.pieces) + 1], 1), np.stack([head, tail], 1)])
         self.first, self.last = np.concatenate([self.first, self.first[head]]), np.concatenate([self.last, self.last[tail - 1]])
+        self.start = np.append(start, len(low))
         self.bounds = np.stack([start[self.first], end[self.last - 1]], 1)
         total = np.concatenate([[_U(0)], np.cumsum(self.hashes * up[: self.n_words])])
         self.ids = mix((total[self.last] - total[self.first]) * down[self.first] + (self.last - self.first).astype(_U)).view(np.int64)
         self.ids[self.pieces :] ^= LINE  # lines are compared with lines only: one is like its own paragraphs
 
+    def _shorter(self, cuts: list[int]) -> list[int]:
+        """More cuts in stretches of more than LONG words, between pairs of words that have the smallest hash around them."""
+        edges = np.append(cuts, self.n_words)
+        if (edges[1:] - edges[:-1]).max() <= LONG:
+            return cuts
+        pairs = mix(self.hashes[:-1] * _U(0x9FB21C651E98DF25) + self.hashes[1:])
+        side = np.full(AROUND, _U(0xFFFFFFFFFFFFFFFF))
+        near = least_of(np.concatenate([side, pairs, side]), AROUND)
+        n = len(pairs)
+        more = np.flatnonzero((pairs < near[:n]) & (pairs <= near[AROUND + 1 : AROUND + 1 + n])) + 1
+        at = np.searchsorted(edges, more, "right") - 1
+        long = edges[at + 1] - edges[at] > LONG
+        return np.union1d(edges[:-1], more[long & (more - edges[at] >= SHORT) & (edges[at + 1] - more >= SHORT)]).tolist()
+
+    def _runs(self, size: int) -> np.ndarray:
+        """A hash of each `size` neighbouring words."""
+        up, down = _powers(1 << max(16, self.n_words.bit_length()))
+        total = np.concatenate([[_U(0)], np.cumsum(self.hashes * up[: self.n_words])])
+        n = self.n_words - size + 1
+        return mix((total[size:] - total[:n]) * down[:n] + _U(size))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each `size` neighbouring words: their hash, the place of their seed and its hash."""
+        if self.n_words < size:
+            return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U)
+        k = max(1, size * 2 // 5)
+        seeds = self._runs(k)
+        packed = (seeds & ~PLACE) | np.arange(len(seeds), dtype=_U)  # of equal ones the first
+        at = (least_of(packed, size - k + 1) & PLACE).astype(np.int64)
+        return self._runs(size), at, seeds[at] ^ SEED
+
     def signatures(self, hashes: int) -> tuple[np.ndarray, np.ndarray]:
         """The paragraphs that have shingles, and their MinHash values."""
         which = np.flatnonzero(self.last - self.first >= SHINGLE)
@@ -144,7 +198,9 @@ def _fresh(p: Paragraphs, which: np.ndarray, seen: set[int]) -> np.ndarray:
     return keep
 
 
-def _counted(n_bands: int, width: int):
+def _counted(n_bands: int, width: int, size: int):
+    """The keys of fresh paragraphs, and each place's seed."""
+
     def run(batches):
         seen: set[int] = set()
         for b in slices(batches):
@@ -153,6 +209,8 @@ def _counted(n_bands: int, width: int):
                 p = Paragraphs(text)
                 which, keys = p.keys(n_bands, width)
                 out.append((keys[_fresh(p, which, seen)] & COUNTED).ravel())
+                _, at, seeds = p.windows(size)
+                out.append(seeds[np.flatnonzero(np.diff(at, prepend=-1))] & COUNTED)
             yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], names=["k"])
 
     return run
@@ -184,28 +242,65 @@ def _passing(n_bands: int, width: int, shared):
     return run
 
 
+def _windows(size: int, shared):
+    """The windows whose seed may repeat."""
+    from .ngram_join import _bits
+
+    def run(batches):
+        table = shared.value
+        for b in slices(batches, 64):
+            ids, places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own, _, seeds = Paragraphs(text).windows(size)
+                hit = np.ones(len(own), bool)
+                for at in _bits(seeds & COUNTED, len(table) << 6):
+                    hit &= ((table[at >> _U(6)] >> (at & _U(63))) & _U(1)).astype(bool)
+                places.append(np.flatnonzero(hit))
+                found.append(own[hit])
+                ids.append(np.full(len(places[-1]), doc, np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(found).view(np.int64))], names=["id", "word", "window"])
+
+    return run
+
+
+def _spans(batches):
+    """Ranges of words of one document as few as they can be."""
+    for b in slices(batches):
+        ids, starts, ends = [], [], []
+        for doc, s, e in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            order = np.argsort(s, kind="stable")
+            s, e = np.array(s, np.int64)[order], np.maximum.accumulate(np.array(e, np.int64)[order])
+            new = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+            ids.append(doc)
+            starts.append(s[new].tolist())
+            ends.append(e[np.append(new[1:], len(s)) - 1].tolist())
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["id", "starts", "ends"])
+
+
 def _remove(least_words: int):
     def run(batches):
         for b in slices(batches):
             texts, total, gone, cut = [], [], [], []
-            for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not places:
+            for text, places, starts, ends in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                if not places and not starts:
                     for column, value in zip((texts, total, gone, cut), (text, len(text.encode().split()), 0, 0), strict=True):
                         column.append(value)
                     continue
                 p = Paragraphs(text)
-                drop = np.zeros(p.pieces + 2, bool)
-                for k in places:
-                    drop[p.covers[k][0] + 1 : p.covers[k][1] + 1] = True
+                drop = np.zeros(p.n_words + 2, bool)
+                for k in places or ():
+                    drop[p.first[k] + 1 : p.last[k] + 1] = True
+                for s, e in zip(starts or (), ends or (), strict=True):
+                    drop[s + 1 : e + 1] = True
                 edges = np.flatnonzero(drop[1:] != drop[:-1])
-                ranges = [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if p.last[e - 1] - p.first[s] >= least_words]
+                ranges = [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if e - s >= least_words]
                 raw, parts, end = p.raw.tobytes(), [], 0
                 for s, e in ranges:
-                    parts.append(raw[end : p.at[s]])
-                    end = p.at[e]
+                    parts.append(raw[end : p.start[s]])
+                    end = p.start[e]  # a range ends where the next word starts
                 texts.append((b"".join(parts) + raw[end:]).decode())
                 total.append(p.n_words)
-                gone.append(int(sum(p.last[e - 1] - p.first[s] for s, e in ranges)))
+                gone.append(int(sum(e - s for s, e in ranges)))
                 cut.append(len(ranges))
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, pa.int64())], names=["id", "text", "n_words", "n_removed", "n_passages"])
 
@@ -217,13 +312,14 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words are runs of other characters than [\\x20\\x09-\\x0D] and compared with A-Z in lower case. Of a component of
     paragraphs the place with the smallest id, then the first in the text, stays. Repeats within one document count.
-    Paragraphs of fewer than five words repeat only as equal ones. A null text counts as empty and keeps no words.
+    A passage of `least_words` words or more that stands word for word at an earlier place is always found. Paragraphs
+    of fewer than five words repeat only as equal ones. A null text counts as empty and keeps no words.
     """
     spark = docs.sparkSession
     scratch, n_bands = Scratch(spark), bands(percent, recall, width)
     texts = rows(docs, id_col, text_col)
     places = scratch.keep(texts.mapInArrow(_places, "id long, place long, paragraph long, words long"))
-    again = texts.mapInArrow(_counted(n_bands, width), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
+    again = texts.mapInArrow(_counted(n_bands, width, least_words), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     shared = spark.sparkContext.broadcast(bloom(scratch.keep(again)))
     some = scratch.keep(texts.mapInArrow(_passing(n_bands, width, shared), "id long, text string, keys array<long>"))
     distinct = scratch.keep(some.groupBy("id").agg(F.min("text").alias("text"), F.first("keys").alias("keys")))  # equal words have equal keys
@@ -235,9 +331,17 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = scratch.keep(first.select("class", "first"))
     gone = placed.join(first, "class").where("struct(id, place) <> first").select("id", "place")
     gone = scratch.keep(gone.groupBy("id").agg(F.collect_list("place").alias("places"), F.count(F.lit(1)).alias("n")))  # a document's own places
+    windows = scratch.keep(texts.mapInArrow(_windows(least_words, shared), "id long, word long, window long"))
+    first = windows.groupBy("window").agg(F.min(F.struct("id", "word")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = scratch.keep(first.select("window", "first"))
+    # words of the place that stays are not part of a later one that overlaps it
+    later = windows.join(first, "window").where("struct(id, word) <> first").select("id", F.expr(f"if(id = first.id, greatest(word, first.word + {least_words}), word)").alias("s"), (F.col("word") + least_words).alias("e"))
+    spans = later.groupBy("id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")).mapInArrow(_spans, "id long, starts array<long>, ends array<long>")
+    spans = scratch.keep(spans)
+    gone = scratch.keep(gone.join(spans, "id", "full").select("id", "places", "starts", "ends", F.expr("coalesce(n, 0) + coalesce(size(starts), 0)").alias("n")))
     small = (gone.agg(F.sum("n")).head()[0] or 0) <= SENT_ROWS
-    gone = gone.select("id", "places")
-    return texts.join(F.broadcast(gone) if small else gone, "id", "left").select("id", "text", "places").mapInArrow(_remove(least_words), "id long, text string, n_words long, n_removed long, n_passages long")
+    gone = gone.drop("n")
+    return texts.join(F.broadcast(gone) if small else gone, "id", "left").select("id", "text", "places", "starts", "ends").mapInArrow(_remove(least_words), "id long, text string, n_words long, n_removed long, n_passages long")
 
 
 def report(docs: DataFrame) -> DataFrame:

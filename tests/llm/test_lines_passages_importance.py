@@ -120,3 +120,41 @@ def test_gumbel_and_kth_largest(spark):
         assert importance.kth_largest(df, "x", k, 16) == values[min(k, 20000) - 1]
     ties = spark.createDataFrame([(1.0,)] * 5 + [(2.0,)] * 3, "x double")
     assert [importance.kth_largest(ties, "x", k) for k in (1, 3, 4, 8)] == [2, 2, 1, 1]
+
+
+def test_equal_passages_inside_lines(spark):
+    r = random.Random(8)
+    words = lambda n: " ".join(f"w{r.randrange(4000)}" for _ in range(n))
+    plain, marked = [words(n) for n in (20, 55, 80, 120)], [sentences(r, n) for n in (20, 55, 80, 120)]
+    shared = plain + marked
+    docs = [(100 * j + k, f"{sentences(r, 30)} {words(15)} {p} {words(25)} {sentences(r, 30)}") for j, p in enumerate(shared) for k in range(20)]
+    r.shuffle(docs)
+    got = {x.id: x for x in substring_dedup.without_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for doc, text in docs:
+        p = shared[doc // 100]
+        if doc % 100 == 0:
+            assert got[doc].text == text
+        else:  # a paragraph that is nearly the same may take a few words beside it along
+            left = set(got[doc].text.split())
+            assert len(p.split()) <= got[doc].n_removed <= len(p.split()) + 12, (doc, got[doc].n_removed)
+            assert sum(w in left for w in p.split()) <= 8, doc
+
+
+def test_changed_passages_without_sentences(spark):
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
+    passage = words(160)
+    docs = []
+    for k in range(20):
+        own = list(passage)
+        own[60 + k] = f"changed{k}"
+        docs.append((k, " ".join(words(40) + own + words(40))))
+    got = [x.n_removed for x in substring_dedup.without_passages(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("id").collect()]
+    assert got[0] == 0 and min(got[1:]) >= 158, got
+
+
+def test_repeats_in_one_text_leave_the_first(spark):
+    words = [f"w{k}" for k in range(22)]
+    docs = [(1, " ".join(words * 2)), (2, "x y " * 100)]
+    got = {x.id: x for x in substring_dedup.without_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].text.split() == words and got[2].n_removed == 180
