@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through rare lines that they share: each rare line leads its documents to the first
-document that has it, so a line adds one pair for each of its documents and never all pairs of them. Rare is a line
-that does not stand in many different surroundings, measured against how often it occurs; the lines of a document with
-thousands of copies are rare in that sense, a notice at the foot of many different pages is not.
+Documents that overlap are found through units that they share: lines, and two and three neighbouring lines. Each unit
+leads its documents to the first document that has it, so a unit adds one pair for each of its documents and never all
+pairs of them. A unit of many words leads at any frequency. A shorter one leads if it is rare: it does not stand in many
+different surroundings, measured against how often it occurs and how large the corpus is. The lines of a document with
+thousands of copies are rare in that sense, a short notice at the foot of many different pages is not.
 
 Each pair is aligned with patience diff: lines that occur once in both documents are matched in their longest common
 order, then the parts between them in the same way. Runs of matched lines are common blocks, and they are deleted from
@@ -26,6 +27,8 @@ from .common import Scratch, id_back, rows, slices
 
 #: Rows up to which the deleted ranges are sent to all tasks instead of shuffling the texts to them.
 SENT_ROWS = 500_000
+#: Lines of a unit.
+NEIGHBOURS = (1, 2, 3)
 
 
 def line_hash(line: str) -> int:
@@ -88,19 +91,28 @@ def _lines(batches):
         yield pa.record_batch([b.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["id", "hashes", "words"])
 
 
-def _surroundings(batches):
-    """One row for each document and line of it: the first place's surroundings."""
-    for b in slices(batches):
-        ids, lines, around = [], [], []
-        for doc, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen = set()
-            for k, h in enumerate(hashes):
-                if h and h not in seen:
-                    seen.add(h)
-                    ids.append(doc)
-                    lines.append(h)
-                    around.append(hash((hashes[k - 1] if k else 2, hashes[k + 1] if k + 1 < len(hashes) else 3)))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(around, pa.int64())], names=["id", "line", "around"])
+def _surroundings(long_words: int):
+    """One row for each document and unit of it: whether it is long, and the first place's surroundings."""
+
+    def run(batches):
+        for b in slices(batches):
+            ids, lines, around, long = [], [], [], []
+            for doc, hashes, words in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                seen, full = set(), [k for k, h in enumerate(hashes) if h]  # blank lines are no part of a unit
+                for size in NEIGHBOURS:
+                    for j in range(len(full) - size + 1):
+                        own = full[j : j + size]
+                        first, last = own[0], own[-1]
+                        unit = hashes[first] if size == 1 else hash(tuple(hashes[k] for k in own))
+                        if unit not in seen:
+                            seen.add(unit)
+                            ids.append(doc)
+                            lines.append(unit)
+                            long.append(sum(words[k] for k in own) >= long_words)
+                            around.append(hash((hashes[first - 1] if first else 2, hashes[last + 1] if last + 1 < len(hashes) else 3)))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(around, pa.int64()), pa.array(long, pa.bool_())], names=["id", "line", "around", "long"])
+
+    return run
 
 
 def _align(least_words: int):
@@ -133,21 +145,22 @@ def _delete(batches):
         yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=["id", "text", "n_lines", "n_removed"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", surroundings: int = 8, least_words: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", surroundings: int = 8, least_words: int = 5, long_words: int = 20, share: float = 0.016) -> DataFrame:
     """id, text, n_lines, n_removed of each document, its repeated blocks deleted.
 
-    Lines end at \\n and are compared without white space at their ends. A line is rare when twice the number of its
-    surroundings, the lines before and behind it, is not over the number of its documents plus 2 * `surroundings`. A
-    block is deleted when it has at least `least_words` words. A null text counts as empty: one blank line. A null id
+    Lines end at \\n and are compared without white space at their ends. A unit of `long_words` words or more always
+    leads. A shorter one is rare when twice the number of its surroundings, the lines before and behind it, is not over
+    the number of its documents plus 2 * `surroundings`, or plus that `share` of all documents if it is more. A block is deleted when it has at least `least_words` words. A null text counts as empty: one blank line. A null id
     comes before all others.
     """
     scratch = Scratch(docs.sparkSession)
     texts = rows(docs, id_col, text_col)
     lines = scratch.keep(texts.mapInArrow(_lines, "id long, hashes array<long>, words array<int>"))
-    places = lines.select("id", "hashes").mapInArrow(_surroundings, "id long, line long, around long")
-    by_line = places.groupBy("line", "around").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    by_line = by_line.groupBy("line").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.min("id").alias("first"))
-    rare = scratch.keep(by_line.where(f"n > 1 and 2 * k <= n + {2 * surroundings}").select("line", "first"))
+    places = lines.mapInArrow(_surroundings(long_words), "id long, line long, around long, long boolean")
+    more = max(2 * surroundings, share * lines.count())
+    by_line = places.groupBy("line", "around").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max("long").alias("long"))
+    by_line = by_line.groupBy("line").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.min("id").alias("first"), F.max("long").alias("long"))
+    rare = scratch.keep(by_line.where(f"n > 1 and (long or 2 * k <= n + {more})").select("line", "first"))
     pairs = scratch.keep(places.join(rare, "line").where("id <> first").select("id", "first").distinct())
     firsts = lines.select(F.col("id").alias("first"), F.col("hashes").alias("other"))
     aligned = pairs.join(firsts, "first").join(lines, "id").select("id", "hashes", "words", "other")

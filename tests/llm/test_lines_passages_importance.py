@@ -158,3 +158,18 @@ def test_repeats_in_one_text_leave_the_first(spark):
     docs = [(1, " ".join(words * 2)), (2, "x y " * 100)]
     got = {x.id: x for x in substring_dedup.without_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1].text.split() == words and got[2].n_removed == 180
+
+
+def test_frequent_lines_and_blocks_of_short_ones(spark):
+    r = random.Random(10)
+    passage = " ".join(f"w{r.randrange(4000)}" for _ in range(50))
+    docs = [(k, f"document {k} starts with words of its own\n{passage}\ndocument {k} ends with words of its own") for k in range(100)]
+    # three short lines that the last two share; each of them, and no two of them, stands in an earlier document
+    docs += [(200 + k, f"page {k} of it\n{x}\nend {k} of it") for k, x in enumerate(("red green", "blue white", "black brown"))]
+    docs += [(k, f"start {k} here\nred green\nblue white\nblack brown\nstop {k} here") for k in (300, 301)]
+    # a line of six words in 20 of 2,000 documents is as rare as one in 10 of 1,000
+    docs += [(1000 + k, f"sole line {k} there" + ("\nsix words that are here often" + f"\nanother {k} there" if k < 40 and k % 2 == 0 else "")) for k in range(1900)]
+    got = {x.id: x for x in line_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(got[k].n_removed == 1 and passage not in got[k].text for k in range(1, 100))
+    assert got[300].n_removed == 0 and got[301].text == "start 301 here\nstop 301 here"
+    assert got[1000].n_removed == 0 and all(got[1000 + k].n_removed == 1 for k in range(2, 40, 2))
