@@ -118,7 +118,16 @@ def resample(docs: DataFrame, target: DataFrame, part: float = 0.85, size: int =
     return out.withColumn("kept", F.col("key") >= F.lit(least))
 
 
+def labelled_share(labels: DataFrame) -> float:
+    """The part of the labelled documents that are good and not toxic; 1 where nothing is labelled."""
+    good, every = labels.where("quality is not null and toxic is not null").agg(F.sum(F.expr("if(quality = 1 and toxic = 0, 1, 0)")), F.count(F.lit(1))).head()
+    return good / every if every else 1.0
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, weight, n_features, key, kept; the target are the documents labelled as good and not toxic."""
+    """doc_id, weight, n_features, key, kept; the target are the documents labelled as good and not toxic.
+
+    As large a part stays as the target has of the labelled documents.
+    """
     good = labels.where("quality = 1 and toxic = 0").select("doc_id")
-    return resample(docs, good).select(id_back("id", "doc_id"), "weight", "n_features", "key", "kept")
+    return resample(docs, good, labelled_share(labels)).select(id_back("id", "doc_id"), "weight", "n_features", "key", "kept")

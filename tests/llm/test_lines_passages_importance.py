@@ -173,3 +173,10 @@ def test_frequent_lines_and_blocks_of_short_ones(spark):
     assert got[0].n_removed == 0 and all(got[k].n_removed == 1 and passage not in got[k].text for k in range(1, 100))
     assert got[300].n_removed == 0 and got[301].text == "start 301 here\nstop 301 here"
     assert got[1000].n_removed == 0 and all(got[1000 + k].n_removed == 1 for k in range(2, 40, 2))
+
+
+def test_importance_keeps_the_labelled_share(spark):
+    docs = spark.createDataFrame([(k, f"{'bad' if k % 2 else 'good'} words {k % 10}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    assert importance.report(docs, labels).where("kept").count() == 100
+    assert importance.report(docs, labels.limit(0)).where("kept").count() == 200
