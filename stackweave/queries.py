@@ -102,6 +102,11 @@ def quickstart(spark, sf_dir):
     return aggregate.mean_frame((unit(spark, sf_dir) | window.temporal_contrast(25))[0:256])
 
 
+@query("mean_temporal_contrast", f"WITH {U0} SELECT CAST(c AS BIGINT) AS c, y, x, round(avg(v), 6) AS v FROM {_contrast('u', 25)} WHERE full_k = 25 GROUP BY ALL")
+def mean_temporal_contrast(spark, sf_dir):
+    return aggregate.mean_frame((unit(spark, sf_dir) | window.temporal_contrast(25)).all())
+
+
 @query("moving_mean", f"WITH {U0} {PIX} (SELECT n, c, y, x, avg(v) {W25.format(k=6)} AS v, count(*) {W25.format(k=6)} AS k FROM u) WHERE k = 7")
 def moving_mean(spark, sf_dir):
     return (unit(spark, sf_dir) | window.moving_mean(7)).all()
@@ -154,6 +159,11 @@ def sum_frame(spark, sf_dir):
     return aggregate.sum_frame(emb(spark, sf_dir)[10:210])
 
 
+@query("sum_frame_all", f"WITH {E0} SELECT CAST(c AS BIGINT) AS c, y, x, round(sum(v), 6) AS v FROM e GROUP BY ALL")
+def sum_frame_all(spark, sf_dir):
+    return aggregate.sum_frame(emb(spark, sf_dir).all())
+
+
 @query("total_temporal_contrast", f"WITH {U0} SELECT CAST(c AS BIGINT) AS c, y, x, round(stddev_pop(v) / (avg(v) + 1e-6), 6) AS v FROM u GROUP BY ALL")
 def total_contrast(spark, sf_dir):
     return aggregate.total_temporal_contrast(unit(spark, sf_dir).all())

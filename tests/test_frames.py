@@ -300,3 +300,18 @@ def test_stacks(spark):
     assert sorted(tuple(r) for r in stacks.to_arrays(pipe).collect()) == [(0, [1, 2, 3, 4]), (1, [5, 6, 7, 8])]
     assert stacks.from_arrays(df.limit(0), "id", "px", 2, 2).shape.n == 0
     assert AXES == ("n", "c", "y", "x")
+
+
+def test_whole_stack_queries_grow_with_the_table(spark):
+    import duckdb
+
+    from stackweave.queries import ORACLE, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    for name in ("sum_frame_all", "mean_temporal_contrast"):
+        got = QUERIES[name](spark, sf).orderBy("c", "y", "x").collect()
+        want = con.execute(f"SELECT c, y, x, v FROM ({ORACLE[name]}) ORDER BY c, y, x").fetchall()
+        assert len(got) == len(want) == 64
+        assert np.allclose([tuple(r) for r in got], want, atol=2e-6)
