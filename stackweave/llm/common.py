@@ -12,13 +12,12 @@ Rules that every operator here follows
 from __future__ import annotations
 
 import contextlib
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
@@ -101,6 +100,7 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="stackweave-")
         self.base = f"{base.rstrip('/')}/stackweave-{uuid.uuid4().hex}"
         self.n = 0
+        self.held: dict[str, None] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes df and reads it back."""
@@ -111,17 +111,32 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch = path
+        self.held[path] = None
         return out
 
-    def release(self) -> None:
-        """Has Spark remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.held.pop(path, None)
+        with contextlib.suppress(Exception):  # what is left goes with the application's folder
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-            with contextlib.suppress(Exception):  # what is left goes with the application's folder
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch)
+
+    def end(self, *frames: DataFrame) -> None:
+        """Removes all tables but those of `frames`, which a lazy result still reads."""
+        left = {df._scratch for df in frames}
+        for path in [p for p in self.held if p not in left]:
+            self._delete(path)
+
+
+#: Bytes of rows up to which a table is sent to all tasks; a larger one is joined by shuffling.
+SENT_BYTES = 64 << 20
+
+
+def sent(df: DataFrame, row_bytes: int | Column = 64) -> DataFrame:
+    """Marks a table as one to send to all tasks if its rows, of so many bytes each, don't come to more than SENT_BYTES."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).head()[0] or 0
+    return F.broadcast(df) if size <= SENT_BYTES else df

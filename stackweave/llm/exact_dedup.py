@@ -94,18 +94,19 @@ def identities(docs: DataFrame, scratch: Scratch, block_bytes: int = 2048, bucke
     return heads.join(done, "id")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048, buckets: int = 1 << 16) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048, buckets: int = 1 << 16, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, n_blocks.
 
     Texts are equal when they are identical without the characters of [\\x20\\x09-\\x0D]. Of equal texts the row with
     the most code points in the original text stays, then the smallest id. A null text counts as empty; empty texts
     are equal to each other.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     named = scratch.keep(identities(rows(docs, id_col, text_col), scratch, block_bytes, buckets))
     best = named.groupBy("n_blocks", "name").agg(F.max(F.struct("n_points", F.bitwise_not("id").alias("r"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
     # written, so that the join deals out both sides anew and a large group can be split
     best = scratch.keep(best.select("n_blocks", "name", F.bitwise_not(F.col("best.r")).alias("keep"), "group_size"))
+    scratch.end(named, best)
     return named.join(best, ["n_blocks", "name"]).select(
         id_back("id", "doc_id"), id_back("keep", "keep_id"), "group_size", (F.col("id") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("n_blocks").cast("long").alias("n_blocks")
     )

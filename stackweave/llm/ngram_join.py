@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows, slices
+from .common import Scratch, id_back, rows, sent, slices
 from .components import components
 
 #: Bits of a sketch part, as a power of two.
@@ -39,8 +39,6 @@ PART_BITS = 20
 SMALL = 32
 #: Further centres of a large bucket.
 ROUNDS = 3
-#: Rows up to which a table of ids is sent to all tasks; a larger one is joined by shuffling.
-SENT_ROWS = 1_000_000
 #: Longs of the sketches by which pairs of large buckets are judged in their join.
 FOLDED = 16
 #: Rows that are verified against one copy of their partner.
@@ -104,56 +102,89 @@ def largest_difference(total: int, percent: int) -> int:
 
 @functools.lru_cache(maxsize=8)
 def bands(percent: int) -> list[int]:
-    """The smallest sizes of the size bands."""
+    """The smallest sizes of the size bands. Linked sets are in one band or in neighbouring ones."""
     out = [next(s for s in range(1, 10_000) if largest_difference(2 * s + 1, percent) > 0)]
     while out[-1] < 1 << 40:
-        out.append(out[-1] * 3 // 2 + 1)
+        out.append(int(out[-1] * (100 / percent) ** 1.35) + 1)
     return out
 
 
 @functools.lru_cache(maxsize=1024)
-def parts_of(band: int, percent: int) -> tuple[int, int]:
-    """Parts of a band's sketch, and how many of them may be without a shingle in a set that leaves those out.
+def parts_of(low: int, high: int, percent: int) -> tuple[int, int]:
+    """Parts of the sketches by which sets of two bands (of one, if they are the same) meet, and how many tokens each set needs.
 
-    Linked sets agree in more parts than the second number. It is set so high that hardly any set has more empty parts.
+    A part and its value are a token. Of D shingles that differ each changes one part at most, so linked sets share all
+    but D tokens, and the first D + 1 in any order that is the same for both hold a shared one. There are more parts
+    than that, so that hardly any set needs the tokens of its empty parts; what is left over spares it frequent ones.
     """
     sizes = bands(percent)
-    most, least = largest_difference(2 * (sizes[band + 1] - 1), percent), sizes[band] * percent // 100
+    last = sizes[low + 1] - 1
+    most = largest_difference(last + min(sizes[high + 1] - 1, last * 100 // percent), percent)
+    least = max(sizes[low], -(-sizes[high] * percent // 100))
     empty = 1
     for _ in range(200):
         mean = (most + 1 + empty) * math.exp(-least / (most + 1 + empty))
-        if empty >= mean + 4 * math.sqrt(mean):
+        if empty >= mean + 3 * math.sqrt(mean):
             break
         empty += 1
-    return most + 1 + empty, empty
+    return most + 1 + empty, most + 1
 
 
-def sketch_keys(u: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of the sketch parts of a sorted set, in its own size band and in the next one if a partner may be there."""
+def tokens(u: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int]]:
+    """The tokens of a sorted set for each pair of bands in which it may have partners: keys, how many are of parts
+    that aren't empty (these come first), and how many a set needs. Those of empty parts are there if they are needed."""
     sizes, n, out = bands(percent), len(u), []
     own = int(np.searchsorted(sizes, n, "right")) - 1
-    for band in (own, own + 1):
-        if band > own and 100 * n < percent * sizes[band] or band < 0:
-            continue
-        parts, empty = parts_of(band, percent)
+    if own < 0:
+        return out
+    pairs = [(own, own)]
+    if 100 * n >= percent * sizes[own + 1]:
+        pairs.append((own, own + 1))
+    if own and percent * n <= 100 * (sizes[own] - 1):
+        pairs.append((own - 1, own))
+    bits = mix((u & _U((1 << PART_BITS) - 1)) + _U(1))
+    for low, high in pairs:
+        parts, need = parts_of(low, high, percent)
         part = ((u >> _U(32)) * _U(parts)) >> _U(32)  # u is sorted, and so is part
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         used = part[first]
         # the hash of a part is the sum modulo 2 of the hashes of its set bits
-        value = np.bitwise_xor.reduceat(mix((u & _U((1 << PART_BITS) - 1)) + _U(1)), first)
-        if parts - len(used) > empty:
+        value, filled = np.bitwise_xor.reduceat(bits, first), len(used)
+        if filled < need:
             rest = np.setdiff1d(np.arange(parts, dtype=_U), used)
             used, value = np.concatenate([used, rest]), np.concatenate([value, np.zeros(len(rest), _U)])
-        out.append(mix(value ^ mix(used + _U((band << 40) + 1))))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+        out.append((mix(value ^ mix(used + _U(((high + low) << 40) + 1))), filled, need))
+    return out
+
+
+def sketch_keys(sets: list[np.ndarray], percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of sorted sets, as many as each needs, and the places of their sets in the list.
+
+    Frequent ones (by a Bloom filter) and those of empty parts come last.
+    """
+    found = [(k, *t) for k, u in enumerate(sets) for t in tokens(u, percent)]
+    if not found:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    keys = np.concatenate([t[1] for t in found])
+    order = keys >> _U(2)
+    if frequent is not None:
+        order[holds(frequent, keys)] |= _U(1 << 62)
+    at, chosen = 0, []
+    for _, own, filled, need in found:
+        order[at + filled : at + len(own)] |= _U(1 << 63)
+        # tokens that differ in the two bits left out only are all taken, so that every set decides alike
+        chosen.append(order[at : at + len(own)] <= np.partition(order[at : at + len(own)], need - 1)[need - 1])
+        at += len(own)
+    chosen = np.concatenate(chosen)
+    return keys[chosen], np.repeat([t[0] for t in found], [len(t[1]) for t in found])[chosen]
 
 
 def bit_sketch(u: np.ndarray) -> np.ndarray:
-    """A sketch of the whole set for a first look at pairs: as many bits as four times the set's size or more, packed.
+    """A sketch of the whole set for a first look at pairs: as many bits as the set's size or more, packed.
 
     A sketch of half as many bits is the sum of both halves modulo 2, so sketches of sets of any sizes can be compared.
     """
-    bits = 1 << max(9, (4 * len(u) - 1).bit_length())
+    bits = 1 << max(8, (len(u) - 1).bit_length())
     return np.packbits((np.bincount(((u >> _U(7)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
@@ -176,17 +207,44 @@ def _signs(n: int):
     return run
 
 
-#: Bits of a key by which its bucket is counted.
-COUNTED = _U((1 << 48) - 1)
+def folded(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each key, of 1 << bits, and 32 further bits of it."""
+    x = mix(keys + _U(77))
+    return (x >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(x), np.int32), x.astype(np.uint32)
 
 
-def _counted(n: int, percent: int):
-    """The counted keys of each set, once for copies within the task."""
+#: Keys that a task gathers before it hands them on.
+GATHERED = 1 << 21
 
-    def run(batches):
+
+def packed(chunks, bits: int):
+    """Rows (bucket, keys) of the arrays of keys: all keys of a bucket as one run of 32-bit numbers."""
+
+    def flush(held):
+        bucket, low = folded(np.concatenate(held), bits)
+        order = np.argsort(bucket, kind="stable")
+        bucket, low = bucket[order], low[order]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(at, len(low)) * 4, pa.int32())
+        keys = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets.buffers()[1], pa.py_buffer(low.tobytes())])
+        return pa.record_batch([pa.array(bucket[at]), keys], names=["bucket", "keys"])
+
+    held, size = [np.zeros(0, _U)], 0
+    for keys in chunks:
+        held.append(keys)
+        size += len(keys)
+        if size > GATHERED:
+            yield flush(held)
+            held, size = [np.zeros(0, _U)], 0
+    yield flush(held)
+
+
+def _counted(n: int, percent: int, bits: int):
+    """The tokens of each set, once for copies within the task."""
+
+    def chunks(batches):
         seen: set[bytes] = set()
         for b in slices(batches):
-            out = [np.zeros(0, _U)]
             for text in b.column(1).to_pylist():
                 u = shingles(text, n)
                 sign = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
@@ -195,53 +253,109 @@ def _counted(n: int, percent: int):
                 if len(seen) > 1_000_000:
                     seen = set()
                 seen.add(sign)
-                out.append(sketch_keys(u, percent) & COUNTED)
-            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], names=["k"])
+                yield from (t[0] for t in tokens(u, percent))
 
-    return run
+    return lambda batches: packed(chunks(batches), bits)
 
 
-def _bits(keys: np.ndarray, size: int) -> list[np.ndarray]:
-    x = mix(keys + _U(77))
-    return [((x >> _U(s)) * _U(size)) >> _U(32) if s else ((x & _U(0xFFFFFFFF)) * _U(size)) >> _U(32) for s in (0, 32)] + [((mix(x) >> _U(32)) * _U(size)) >> _U(32)]
+def _repeated(batches):
+    """The keys of each bucket that occur again, and how often. The rows of a bucket follow each other."""
+    now, held = None, []
+
+    def counts():
+        low, c = np.unique(np.concatenate(held), return_counts=True)
+        return [np.full((c > 1).sum(), now, np.int32), low[c > 1].view(np.int32), c[c > 1].astype(np.int32)]
+
+    def batch(found):
+        return pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["bucket", "low", "c"])
+
+    found, size = [], 0
+    for b in batches:
+        for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if bucket != now:
+                if held:
+                    found.append(counts())
+                    size += len(found[-1][0])
+                    if size > 100_000:
+                        yield batch(found)
+                        found, size = [], 0
+                now, held = bucket, []
+            held.append(np.frombuffer(keys, np.uint32))
+    if held:
+        found.append(counts())
+    if found:
+        yield batch(found)
+
+
+def bucket_bits(keys: int) -> int:
+    """Buckets for so many keys: about 100,000 in each, so that 32 bits tell them apart at any size."""
+    return min(30, max(8, (keys >> 17).bit_length()))
+
+
+def repeated(packs: DataFrame) -> DataFrame:
+    """bucket, low, c of the keys in packed rows (bucket, keys) that occur more than once."""
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "bucket int, low int, c int")
+
+
+#: The most bits of a Bloom filter, 32 MB. Beyond ten for a key it lets more through.
+BLOOM_BITS = 1 << 28
+
+
+def _places(bucket: np.ndarray, low: np.ndarray, size: int) -> list[np.ndarray]:
+    x = mix((bucket.astype(_U) << _U(32)) | low.astype(_U))
+    y = mix(x)
+    return [((v & _U(0xFFFFFFFF)) * _U(size)) >> _U(32) for v in (x, x >> _U(32), y >> _U(32))]
 
 
 def _words(size: int):
     def run(batches):
-        for b in slices(batches):
-            at = np.concatenate(_bits(b.column(0).to_numpy().view(_U), size))
-            yield pa.record_batch([pa.array((at >> _U(6)).astype(np.int32)), pa.array((_U(1) << (at & _U(63))).view(np.int64))], names=["word", "bits"])
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint32), size))
+            word, inverse = np.unique(at >> _U(6), return_inverse=True)
+            bits = np.zeros(len(word), _U)
+            np.bitwise_or.at(bits, inverse, _U(1) << (at & _U(63)))
+            yield pa.record_batch([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
     return run
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of a column of longs. Its size is bounded by 32 MB: beyond that it lets more through."""
-    size = 1 << min(28, max(16, (10 * keys.count()).bit_length()))
-    cells = keys.mapInArrow(_words(size), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(size >> 6, np.int64)
-    table[cells.column("word").to_numpy()] = cells.column("bits").to_numpy()
+def bloom(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of keys (bucket, low), with the bits of a bucket as its first number."""
+    size = 1 << min(BLOOM_BITS.bit_length() - 1, max(16, (10 * keys.count()).bit_length()))
+    cells = keys.select("bucket", "low").mapInArrow(_words(size), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 + (size >> 6), np.int64)
+    table[0] = bits
+    table[1 + cells.column("word").to_numpy()] = cells.column("bits").to_numpy()
     return table.view(_U)
 
 
+def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys the Bloom filter may hold."""
+    left = np.arange(len(keys))
+    bucket, low = folded(keys, int(table[0]))
+    for at in _places(bucket, low, (len(table) - 1) << 6):
+        at = at[left]
+        left = left[((table[1 + (at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1)).astype(bool)]
+    found = np.zeros(len(keys), bool)
+    found[left] = True
+    return found
+
+
 def _passing(n: int, percent: int, shared):
     def run(batches):
-        table = shared.value
-        for b in slices(batches):
-            ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = sketch_keys(shingles(text, n), percent)
-                found = np.ones(len(own), bool)
-                for at in _bits(own & COUNTED, len(table) << 6):
-                    found &= ((table[at >> _U(6)] >> (at & _U(63))) & _U(1)).astype(bool)
-                own = own[found]
-                ids.append(np.full(len(own), doc, np.int64))
-                keys.append(own)
-            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "key"])
+        again, frequent = shared.value
+        for b in slices(batches, 64):
+            keys, place = sketch_keys([shingles(t, n) for t in b.column(1).to_pylist()], percent, frequent)
+            hit = holds(again, keys)
+            yield pa.record_batch([pa.array(b.column(0).to_numpy()[place[hit]]), pa.array(keys[hit].view(np.int64))], names=["id", "key"])
 
     return run
 
 
+#: A token of more sets than this is a frequent one; sets leave such tokens out first.
+FREQUENT = 8
+
+
 def _prefix(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) -> list:
     """The size of a set's difference from its bucket's centre, and the first elements of that difference.
 
@@ -304,8 +418,7 @@ def _beside(held: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     pieces = pairs.join(runs, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("salt"), F.lit(1).alias("kind"))
     anchors = runs.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.lit(0).alias("kind"))
     asked = scratch.keep(pieces.unionByName(anchors))
-    small = asked.count() <= SENT_ROWS
-    found = held.join(F.broadcast(asked) if small else asked, "id").select("id", "b", "salt", "kind", *(c for c in held.columns if c != "id"))
+    found = held.join(sent(asked), "id").select("id", "b", "salt", "kind", *(c for c in held.columns if c != "id"))
     return found.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
 
 
@@ -338,9 +451,7 @@ def linked(texts: DataFrame, sketches: DataFrame | None, pairs: DataFrame, scrat
     """The pairs (a, b) that link. Sketches (id, n, sketch), where there are any, spare texts that are too far apart."""
     if sketches is not None:
         pairs = scratch.keep(_beside(sketches, pairs, scratch).mapInArrow(_near(percent), "a long, b long"))
-    out = scratch.keep(compare(texts, pairs, scratch, n, percent).where("linked").select("a", "b"))
-    scratch.release()
-    return out
+    return scratch.keep(compare(texts, pairs, scratch, n, percent).where("linked").select("a", "b"))
 
 
 def _across(open_rows: DataFrame) -> DataFrame:
@@ -389,7 +500,8 @@ def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, sc
         last = linked(texts, sketches, more, scratch, n, percent)
         star, links = star.union(more), links.union(last)
     first = scratch.keep(components(links, scratch))
-    placed = buckets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # a pair that is alone in its bucket has been verified
+    placed = buckets.where("members > 2").join(sent(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = scratch.keep(placed)
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     still = scratch.keep(placed.join(several, "key"))
@@ -399,7 +511,7 @@ def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, sc
     return components(links.union(more), scratch)
 
 
-def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of each document.
 
     Words are runs of other characters than [\\x20\\x09-\\x0D] with A-Z in lower case; a document's set are its
@@ -410,22 +522,23 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not 50 < percent < 100:
         raise ValueError("percent has to be over 50 and below 100")
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     texts = rows(docs, id_col, text_col)
     # copies: one class for each set
     signs = scratch.keep(texts.mapInArrow(_signs(n), "id long, n long, sign binary, sketch binary"))
     some = signs.where("n > 0")
     classes = scratch.keep(some.groupBy("n", "sign").agg(F.min("id").alias("class")))
     member = scratch.keep(some.drop("sketch").join(classes, ["n", "sign"]).select("id", "n", "class"))
-    # buckets: keys are counted first, and only those that occur again are dealt out with their ids
-    again = scratch.keep(texts.mapInArrow(_counted(n, percent), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"))
-    scratch.release()  # the counts' shuffle files are the largest of all
-    shared = spark.sparkContext.broadcast(bloom(again))
+    # buckets: tokens are counted first, and only those that occur again are dealt out with their ids
+    bits = bucket_bits(signs.agg(F.sum("n")).head()[0] or 0)
+    again = scratch.keep(repeated(texts.mapInArrow(_counted(n, percent, bits), "bucket int, keys binary")))
+    shared = spark.sparkContext.broadcast((bloom(again, bits), bloom(again.where(F.col("c") > FREQUENT), bits)))
     scratch.drop(again)
     keys = texts.mapInArrow(_passing(n, percent, shared), "id long, key long")
     keys = scratch.keep(keys.join(classes.select(F.col("class").alias("id")), "id", "left_semi"))
     buckets = buckets_of(keys, scratch)
-    found = resolve(texts, signs.select("id", "n", "sketch"), buckets, scratch, n, percent).withColumnRenamed("id", "class")
+    found = scratch.keep(resolve(texts, signs.select("id", "n", "sketch"), buckets, scratch, n, percent).withColumnRenamed("id", "class"))
+    scratch.end(signs, member, found)
     whole = member.join(found, "class", "left").select("id", "n", "class", F.coalesce("component", "class").alias("component"))
     none = signs.where("n = 0").select("id", "n", F.col("id").alias("class"), F.col("id").alias("component"))
     return whole.unionByName(none).select(id_back("id", "doc_id"), F.col("n").alias("n_shingles"), id_back("class", "class_id"), id_back("component", "component_id"))
