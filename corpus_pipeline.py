@@ -10,48 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackweave.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join
-from stackweave.llm.common import NULL_ID, Scratch, table
+from stackweave.llm.common import NULL_ID, Scratch, sent, table
 
-#: Ids up to which a list of dropped documents is sent to all tasks; a longer one is joined by shuffling.
-SENT_ROWS = 1_000_000
 
-
-def _without(docs: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents whose doc_id isn't in `dropped` (doc_id)."""
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents whose doc_id isn't in `dropped` (doc_id). Their columns may have any names."""
     key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    dropped = scratch.keep(dropped.select(key.alias("_key")).distinct())
-    if dropped.count() <= SENT_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.withColumn("_key", key).join(dropped, "_key", "left_anti").drop("_key")
+    dropped = sent(dropped)
+    return docs.join(dropped, key == dropped["dropped"], "left_anti")
+
+
+def _ids(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ids of dropped documents as a table of its own, so that all that led to it can go."""
+    return scratch.keep(found.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("dropped")).distinct())
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents without letters, and longer ones of which hardly anything is like a learned language."""
-    model = language_id.fit(docs)
-    found = language_id.annotate(docs, model, "_found")
-    alien = (F.col("_found.n_grams") >= 20) & (F.col("_found.score") < 0.2)
-    return found.where((F.col("_found.lang_pred") != "und") & ~alien).drop("_found")
+    """Leaves out documents without letters, and longer ones of which hardly anything is like a learned language.
+
+    Where no document has a language nothing is learned, and only those without letters go.
+    """
+    model, name = language_id.fit(docs), "found"
+    while name in docs.columns:
+        name += "_"
+    kept = F.col(f"{name}.n_grams") > 0
+    if model["langs"]:
+        kept &= (F.col(f"{name}.n_grams") < 20) | (F.col(f"{name}.score") >= 0.2)
+    return language_id.annotate(docs, model, name).where(kept).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, the longest stays, then the smallest doc_id."""
-    scratch = Scratch(spark)
-    found = scratch.keep(exact_dedup.exact_duplicates(docs))
-    return _without(docs, found.where("not kept"), scratch)
+    scratch, own = Scratch(spark), Scratch(spark)
+    dropped = _ids(exact_dedup.exact_duplicates(docs, scratch=own).where("not kept"), scratch)
+    own.end()
+    return _without(docs, dropped)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share 80 % of their five-word shingles, the smallest doc_id stays."""
-    scratch = Scratch(spark)
-    found = scratch.keep(ngram_join.linked_components(docs, n=5, percent=80))
-    return _without(docs, found.where("not doc_id <=> component_id"), scratch)
+    scratch, own = Scratch(spark), Scratch(spark)
+    dropped = _ids(ngram_join.linked_components(docs, n=5, percent=80, scratch=own).where("not doc_id <=> component_id"), scratch)
+    own.end()
+    return _without(docs, dropped)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold a passage of the benchmark."""
-    scratch = Scratch(spark)
-    found = scratch.keep(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
-    return _without(docs, found.select("doc_id"), scratch)
+    return _without(docs, _ids(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), Scratch(spark)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,4 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.end(docs)  # its input has been read
     return docs
