@@ -460,12 +460,41 @@ def _across(open_rows: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
+def _elements(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the elements of a batch's differences (b, prefix) with their centres, their rows and their places."""
+    prefix = b.column(b.schema.get_field_index("prefix"))
+    sizes = np.diff(prefix.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    centre = b.column(b.schema.get_field_index("b")).to_numpy().view(_U)
+    return mix(prefix.flatten().to_numpy().view(_U) ^ mix(centre)[row]), row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _meeting(shared):
+    """Adds `meet`, the places of the elements that another set of the bucket may have as well."""
+
+    def run(batches):
+        for b in batches:
+            keys, row, place = _elements(b)
+            hit = holds(shared.value, keys)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=b.num_rows))])
+            meet = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[hit], pa.int32()))
+            yield pa.record_batch([*b.columns, meet], names=[*b.schema.names, "meet"])
+
+    return run
+
+
 def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """Pairs of different components within large buckets, from the differences to the buckets' centres."""
     members = scratch.keep(large.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "component").distinct())
     found = compare(texts, members.select("a", "b"), scratch, n, percent, True)
     found = scratch.keep(found.join(members, ["a", "b"]))
-    each = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "bits", "prefix", F.posexplode("prefix").alias("r", "e"))
+    # most elements are one set's alone: they are counted first, and only the others are dealt out
+    bits = bucket_bits(found.agg(F.sum(F.size("prefix"))).head()[0] or 0)
+    again = scratch.keep(repeated(found.select("b", "prefix").mapInArrow(lambda batches: packed((_elements(b)[0] for b in batches), bits), "bucket int, keys binary")))
+    shared = texts.sparkSession.sparkContext.broadcast(bloom(again, bits))
+    found = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "bits", "prefix")
+    found = found.mapInArrow(_meeting(shared), "a long, b long, na long, component long, linked boolean, x long, more long, short long, bits array<long>, prefix array<long>, meet array<int>")
+    each = scratch.keep(found.where("size(meet) > 0")).withColumn("r", F.explode("meet")).withColumn("e", F.get("prefix", F.col("r"))).drop("meet")
     short = each.where("r < short").withColumn("prefix", F.slice("prefix", F.lit(1), F.col("short").cast("int")))
     first = short.select("b", "e", *(F.col(c).alias(f"{c}_") for c in ("a", "na", "component", "linked", "x", "more", "bits", "prefix")))
     least = F.abs(F.col("x") - F.col("x_"))
