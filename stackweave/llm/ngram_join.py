@@ -218,25 +218,29 @@ GATHERED = 1 << 21
 
 
 def packed(chunks, bits: int):
-    """Rows (bucket, keys) of the arrays of keys: all keys of a bucket as one run of 32-bit numbers."""
+    """Rows (bucket, keys) of the arrays of keys, or pairs of arrays of keys and their owners: all keys of a bucket as one
+    run of numbers, of 32 bits for the key and 32 more for its owner."""
 
     def flush(held):
-        bucket, low = folded(np.concatenate(held), bits)
+        bucket, low = folded(np.concatenate([h[0] for h in held]), bits)
+        if held[0][1] is not None:
+            low = low.astype(_U) | (mix(np.concatenate([h[1] for h in held])) << _U(32))
         order = np.argsort(bucket, kind="stable")
         bucket, low = bucket[order], low[order]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        offsets = pa.array(np.append(at, len(low)) * 4, pa.int32())
+        offsets = pa.array(np.append(at, len(low)) * low.itemsize, pa.int32())
         keys = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets.buffers()[1], pa.py_buffer(low.tobytes())])
         return pa.record_batch([pa.array(bucket[at]), keys], names=["bucket", "keys"])
 
-    held, size = [np.zeros(0, _U)], 0
+    held, size = [], 0
     for keys in chunks:
-        held.append(keys)
-        size += len(keys)
+        held.append(keys if isinstance(keys, tuple) else (keys, None))
+        size += len(held[-1][0])
         if size > GATHERED:
             yield flush(held)
-            held, size = [np.zeros(0, _U)], 0
-    yield flush(held)
+            held, size = [], 0
+    if size:
+        yield flush(held)
 
 
 def _counted(n: int, percent: int, bits: int):
@@ -258,33 +262,38 @@ def _counted(n: int, percent: int, bits: int):
     return lambda batches: packed(chunks(batches), bits)
 
 
-def _repeated(batches):
-    """The keys of each bucket that occur again, and how often. The rows of a bucket follow each other."""
-    now, held = None, []
+def _repeated(owned: bool):
+    """The keys of each bucket that occur again (with another owner), and how often. The rows of a bucket follow each other."""
 
-    def counts():
-        low, c = np.unique(np.concatenate(held), return_counts=True)
+    def counts(now, held):
+        low = np.concatenate(held)
+        if owned:
+            low = np.unique(low).astype(np.uint32)
+        low, c = np.unique(low, return_counts=True)
         return [np.full((c > 1).sum(), now, np.int32), low[c > 1].view(np.int32), c[c > 1].astype(np.int32)]
 
     def batch(found):
         return pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["bucket", "low", "c"])
 
-    found, size = [], 0
-    for b in batches:
-        for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if bucket != now:
-                if held:
-                    found.append(counts())
-                    size += len(found[-1][0])
-                    if size > 100_000:
-                        yield batch(found)
-                        found, size = [], 0
-                now, held = bucket, []
-            held.append(np.frombuffer(keys, np.uint32))
-    if held:
-        found.append(counts())
-    if found:
-        yield batch(found)
+    def run(batches):
+        now, held, found, size = None, [], [], 0
+        for b in batches:
+            for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != now:
+                    if held:
+                        found.append(counts(now, held))
+                        size += len(found[-1][0])
+                        if size > 100_000:
+                            yield batch(found)
+                            found, size = [], 0
+                    now, held = bucket, []
+                held.append(np.frombuffer(keys, _U if owned else np.uint32))
+        if held:
+            found.append(counts(now, held))
+        if found:
+            yield batch(found)
+
+    return run
 
 
 def bucket_bits(keys: int) -> int:
@@ -292,9 +301,20 @@ def bucket_bits(keys: int) -> int:
     return min(30, max(8, (keys >> 17).bit_length()))
 
 
-def repeated(packs: DataFrame) -> DataFrame:
-    """bucket, low, c of the keys in packed rows (bucket, keys) that occur more than once."""
-    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "bucket int, low int, c int")
+def repeated(packs: DataFrame, owned: bool = False) -> DataFrame:
+    """bucket, low, c of the keys in packed rows (bucket, keys) that occur more than once, or that have several owners."""
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(owned), "bucket int, low int, c int")
+
+
+def _low(bits: int):
+    """The bucket and the further bits of a column of keys."""
+
+    def run(batches):
+        for b in batches:
+            bucket, low = folded(b.column(0).to_numpy().view(_U), bits)
+            yield pa.record_batch([pa.array(bucket), pa.array(low.view(np.int32))], names=["bucket", "low"])
+
+    return run
 
 
 #: The most bits of a Bloom filter, 32 MB. Beyond ten for a key it lets more through.

@@ -1,21 +1,18 @@
-"""Removal of passages that repeat across documents: equal windows of words, and MinHash banding of paragraphs.
-
-A word goes if a window of `least_words` words around it stands at an earlier place as well, wherever its lines and
-sentences end: this finds every equal passage of that length. Only windows whose seed repeats are looked up; a
-window's seed is the one of its runs of words with the smallest hash, which equal windows share. Paragraphs find
-passages with changed words.
+"""Removal of passages that repeat: MinHash banding of paragraphs, and equal runs of words widened to their ends.
 
 A line is cut into paragraphs of a dozen words or more. A cut is made behind a sentence whose hash says so, or at last
 behind the first sentence after four dozen words; longer stretches are cut between two words whose hash is the
-smallest around, so that a passage is cut alike wherever it stands. A paragraph's id
-is a hash of its words: equal ones are one from the start. Distinct paragraphs get a MinHash signature of their five-word
-shingles, cut into as many bands as a recall of `recall` at the asked similarity needs. A line of several paragraphs
-counts as one more, so that a few changed words do not hide a long passage.
-
-Paragraphs that collide in a band are verified by their exact Jaccard similarity as in ngram_join: within a bucket
-against the bucket's smallest id, and only members of different components go on from there, so that thousands of
-copies cost one comparison each. Links form components; of each the first place in the corpus stays. All other places
-are removed, with the equal windows, in runs of at least `least_words` words.
+smallest around, so that a passage is cut alike wherever it stands. A line of several paragraphs counts as one more, so
+that a few changed words do not hide a long passage. A paragraph's id is a hash of its words. Paragraphs get a MinHash
+signature of their five-word shingles, cut into as many bands as a recall of `recall` at the asked similarity needs.
+Those that collide in a band are verified by their exact Jaccard similarity as in ngram_join, links form components,
+and of each component the first place in the corpus stays.
+
+Paragraphs whose words are all equal, wherever their lines and sentences end, are found by seeds: of each
+`least_words` // 2 neighbouring runs of words the one with the smallest hash, whose length is such that every equal
+passage of `least_words` words holds one. Each place of a seed is widened word by word as far as the seed's first
+place in the corpus agrees. Places between which only a few words differ are joined, and what then has `least_words`
+repeated words or more is removed.
 """
 
 from __future__ import annotations
@@ -28,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows, slices
-from .ngram_join import _U, _WHITE, _byte_values, _powers, _signs, bloom, buckets_of, mix, resolve
+from .common import Scratch, id_back, rows, sent, slices
+from .ngram_join import _U, _WHITE, _byte_values, _low, _powers, _signs, bloom, bucket_bits, buckets_of, holds, mix, packed, repeated, resolve
 
 #: Words of a paragraph before a cut, and words after which the next sentence end is a cut.
 SHORT, LONG = 12, 48
@@ -40,8 +37,8 @@ LINE = np.int64(0x5DEECE66D1234567)
 SEED = _U(0x2545F4914F6CDD1D)
 #: Bits for the place of a word in its text.
 PLACE = _U((1 << 28) - 1)
-#: Places up to which those to be removed are sent to all tasks instead of shuffling the texts to them.
-SENT_ROWS = 4_000_000
+#: Repeats with up to a third of the least number of words between them are one, changed in between.
+BRIDGE = 3
 
 
 def bands(percent: int, recall: float, width: int = 3) -> int:
@@ -65,6 +62,13 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def word_starts(raw: bytes) -> tuple[np.ndarray, int]:
+    """Where each word of a text starts, and its end; the number of words."""
+    word = np.concatenate([[False], ~_WHITE[np.frombuffer(raw, np.uint8)]])
+    start = np.flatnonzero(word[1:] & ~word[:-1])
+    return np.append(start, len(raw)), len(start)
+
+
 class Paragraphs:
     """The paragraphs of a text: first and last word, byte offsets, ids and shingles; `covers` are those that each holds."""
 
@@ -136,19 +140,26 @@ class Paragraphs:
         n = self.n_words - size + 1
         return mix((total[size:] - total[:n]) * down[:n] + _U(size))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each `size` neighbouring words: their hash, the place of their seed and its hash."""
-        if self.n_words < size:
-            return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U)
-        k = max(1, size * 2 // 5)
-        seeds = self._runs(k)
-        packed = (seeds & ~PLACE) | np.arange(len(seeds), dtype=_U)  # of equal ones the first
-        at = (least_of(packed, size - k + 1) & PLACE).astype(np.int64)
-        return self._runs(size), at, seeds[at] ^ SEED
-
-    def signatures(self, hashes: int) -> tuple[np.ndarray, np.ndarray]:
-        """The paragraphs that have shingles, and their MinHash values."""
-        which = np.flatnonzero(self.last - self.first >= SHINGLE)
+    def seeds(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of the seeds and their hashes: every run of `least_words` words holds one of them."""
+        around, length = seed_sizes(least_words)
+        if self.n_words < least_words:
+            return np.zeros(0, np.int64), np.zeros(0, _U)
+        runs = self._runs(length)
+        packed = (runs & ~PLACE) | np.arange(len(runs), dtype=_U)  # of equal ones the first
+        at = (least_of(packed, around) & PLACE).astype(np.int64)
+        at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+        return at, runs[at] ^ SEED
+
+    def beside(self, at: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """16 bits of each of the `reach` words before and behind runs of words, from the run outwards; 0 where the text has ended."""
+        words = np.concatenate([np.zeros(reach, np.uint16), np.maximum((self.hashes >> _U(40)).astype(np.uint16), 1), np.zeros(reach, np.uint16)])
+        away = np.arange(reach)
+        return words[at[:, None] + (reach - 1 - away)[None, :]], words[at[:, None] + (reach + length + away)[None, :]]
+
+    def signatures(self, hashes: int, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """The paragraphs of so many words or more, and their MinHash values."""
+        which = np.flatnonzero(self.last - self.first >= max(words, SHINGLE))
         if not len(which):
             return which, np.zeros((0, hashes), _U)
         h = np.full(self.n_words - SHINGLE + 1, SHINGLE, _U)
@@ -161,9 +172,9 @@ class Paragraphs:
         x[:, -1] = _U(1 << 48)
         return which, np.minimum.reduceat(x, spans, 1)[:, ::2].T
 
-    def keys(self, n_bands: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The paragraphs that have shingles, and a key for each band."""
-        which, values = self.signatures(n_bands * width)
+    def keys(self, n_bands: int, width: int, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """The paragraphs of so many words or more, and a key for each band."""
+        which, values = self.signatures(n_bands * width, words)
         values = values.reshape(len(which), n_bands, width)
         x = np.arange(1, n_bands + 1, dtype=_U)[None, :]
         for k in range(width):
@@ -172,18 +183,10 @@ class Paragraphs:
         return which, x
 
 
-_PLACES = ["id", "place", "paragraph", "words"]
-COUNTED = _U((1 << 48) - 1)
-
-
-def _places(batches):
-    for b in slices(batches):
-        out = [[np.zeros(0, np.int64)] for _ in _PLACES]
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            p = Paragraphs(text)
-            for column, values in zip(out, (np.full(len(p.ids), doc), np.arange(len(p.ids)), p.ids, p.last - p.first), strict=True):
-                column.append(values.astype(np.int64))
-        yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=_PLACES)
+def seed_sizes(least_words: int) -> tuple[int, int]:
+    """Of how many neighbouring runs one is a seed, and how many words a run has."""
+    around = max(1, least_words // 2)
+    return around, least_words - around + 1
 
 
 def _fresh(p: Paragraphs, which: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -198,71 +201,98 @@ def _fresh(p: Paragraphs, which: np.ndarray, seen: set[int]) -> np.ndarray:
     return keep
 
 
-def _counted(n_bands: int, width: int, size: int):
-    """The keys of fresh paragraphs, and each place's seed."""
+def _counted(n_bands: int, width: int, least_words: int, across: bool, bits: int):
+    """Band keys with the paragraphs that have them, and seeds with their documents (their places, if repeats in one document count)."""
 
-    def run(batches):
+    def chunks(batches):
         seen: set[int] = set()
         for b in slices(batches):
-            out = [np.zeros(0, _U)]
-            for text in b.column(1).to_pylist():
+            for doc, text in zip(b.column(0).to_numpy().view(_U), b.column(1).to_pylist(), strict=True):
                 p = Paragraphs(text)
-                which, keys = p.keys(n_bands, width)
-                out.append((keys[_fresh(p, which, seen)] & COUNTED).ravel())
-                _, at, seeds = p.windows(size)
-                out.append(seeds[np.flatnonzero(np.diff(at, prepend=-1))] & COUNTED)
-            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], names=["k"])
+                which, keys = p.keys(n_bands, width, least_words // 2)
+                fresh = _fresh(p, which, seen)
+                yield keys[fresh].ravel(), np.repeat(p.ids[which[fresh]].view(_U), n_bands)
+                at, seeds = p.seeds(least_words)
+                yield seeds, mix(np.full(len(at), doc) ^ _U(0x5851F42D4C957F2D)) if across else mix(mix(np.full(len(at), doc)) ^ at.astype(_U))
 
-    return run
+    return lambda batches: packed(chunks(batches), bits)
 
 
-def _passing(n_bands: int, width: int, shared):
+def _passing(n_bands: int, width: int, words: int, shared):
     """The paragraphs that may collide, with their text and those of their keys."""
-    from .ngram_join import _bits
 
     def run(batches):
         table, seen = shared.value, set()
-        for b in slices(batches):
-            ids, texts, found = [], [], []
+        for b in slices(batches, 64):
+            found = []
             for text in b.column(1).to_pylist():
                 p = Paragraphs(text)
-                which, keys = p.keys(n_bands, width)
+                which, keys = p.keys(n_bands, width, words)
                 fresh = _fresh(p, which, seen)
-                which, keys = which[fresh], keys[fresh]
-                hit = np.ones(keys.shape, bool)
-                for at in _bits(keys & COUNTED, len(table) << 6):
-                    hit &= ((table[at >> _U(6)] >> (at & _U(63))) & _U(1)).astype(bool)
+                found.append((p, which[fresh], keys[fresh]))
+            hits = holds(table, np.concatenate([np.zeros(0, _U), *(f[2].ravel() for f in found)]))
+            ids, texts, kept, n = [], [], [], 0
+            for p, which, keys in found:
+                hit = hits[n : n + keys.size].reshape(keys.shape)
+                n += keys.size
                 for k in np.flatnonzero(hit.any(1)):
                     s, e = p.bounds[which[k]]
                     ids.append(int(p.ids[which[k]]))
                     texts.append(p.raw[s:e].tobytes())
-                    found.append(keys[k, hit[k]].view(np.int64))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["id", "text", "keys"])
+                    kept.append(keys[k, hit[k]].view(np.int64))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(kept, pa.list_(pa.int64()))], names=["id", "text", "keys"])
 
     return run
 
 
-def _windows(size: int, shared):
-    """The windows whose seed may repeat."""
-    from .ngram_join import _bits
+_ROWS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("seed", pa.bool_()), ("s", pa.int32()), ("e", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+ROWS = "id long, key long, seed boolean, s int, e int, left binary, right binary"
+
+
+def _repeats(least_words: int, shared):
+    """The places of seeds and of linked paragraphs that may repeat. A seed's has the words beside it."""
+    around, length = seed_sizes(least_words)
 
     def run(batches):
-        table = shared.value
+        seed_table, paragraph_table = shared.value
         for b in slices(batches, 64):
-            ids, places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own, _, seeds = Paragraphs(text).windows(size)
-                hit = np.ones(len(own), bool)
-                for at in _bits(seeds & COUNTED, len(table) << 6):
-                    hit &= ((table[at >> _U(6)] >> (at & _U(63))) & _U(1)).astype(bool)
-                places.append(np.flatnonzero(hit))
-                found.append(own[hit])
-                ids.append(np.full(len(places[-1]), doc, np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(found).view(np.int64))], names=["id", "word", "window"])
+            texts = [Paragraphs(t) for t in b.column(1).to_pylist()]
+            found = [p.seeds(least_words) for p in texts]
+            hits = holds(seed_table, np.concatenate([np.zeros(0, _U), *(f[1] for f in found)]))
+            linked = holds(paragraph_table, np.concatenate([np.zeros(0, _U), *(p.ids.view(_U) for p in texts)]))
+            columns, n, m = [[] for _ in _ROWS], 0, 0
+            for doc, p, (at, seeds) in zip(b.column(0).to_pylist(), texts, found, strict=True):
+                hit, link = hits[n : n + len(at)], linked[m : m + len(p.ids)]
+                n, m, at, seeds = n + len(at), m + len(p.ids), at[hit], seeds[hit]
+                if len(at):
+                    left, right = (x.view("S1").reshape(-1).tobytes() for x in p.beside(at, length, around))
+                    size = 2 * around
+                    cut = lambda x: [x[k : k + size] for k in range(0, len(x), size)]
+                    for column, values in zip(columns, (np.full(len(at), doc), seeds.view(np.int64), np.ones(len(at), bool), at, at + length, cut(left), cut(right)), strict=True):
+                        column.extend(values if isinstance(values, list) else values.tolist())
+                if link.any():
+                    k, none = int(link.sum()), [None] * int(link.sum())
+                    for column, values in zip(columns, ([doc] * k, p.ids[link].tolist(), [False] * k, p.first[link].tolist(), p.last[link].tolist(), none, none), strict=True):
+                        column.extend(values)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
 
     return run
 
 
+def _widened(batches):
+    """Ranges s to e of later places, widened as far as the words beside them are those beside the first place."""
+
+    def agree(a: pa.Array, b: pa.Array) -> np.ndarray:
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1) for x in (a, b))
+        return np.minimum.accumulate((a == b) & (a != 0), 1).sum(1)
+
+    for b in slices(batches, 4096):
+        if b.num_rows:
+            ids, s, e = (b.column(k).to_numpy() for k in range(3))
+            s, e = s - agree(b.column(3), b.column(5)), e + agree(b.column(4), b.column(6))
+            yield pa.record_batch([pa.array(ids), pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], names=["id", "s", "e"])
+
+
 def _spans(batches):
     """Ranges of words of one document as few as they can be."""
     for b in slices(batches):
@@ -281,69 +311,85 @@ def _remove(least_words: int):
     def run(batches):
         for b in slices(batches):
             texts, total, gone, cut = [], [], [], []
-            for text, places, starts, ends in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                if not places and not starts:
-                    for column, value in zip((texts, total, gone, cut), (text, len(text.encode().split()), 0, 0), strict=True):
+            for text, starts, ends in zip(*(b.column(k).to_pylist() for k in range(1, 4)), strict=True):
+                raw = text.encode()
+                if not starts:
+                    for column, value in zip((texts, total, gone, cut), (text, len(raw.split()), 0, 0), strict=True):
                         column.append(value)
                     continue
-                p = Paragraphs(text)
-                drop = np.zeros(p.n_words + 2, bool)
-                for k in places or ():
-                    drop[p.first[k] + 1 : p.last[k] + 1] = True
-                for s, e in zip(starts or (), ends or (), strict=True):
-                    drop[s + 1 : e + 1] = True
-                edges = np.flatnonzero(drop[1:] != drop[:-1])
-                ranges = [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if e - s >= least_words]
-                raw, parts, end = p.raw.tobytes(), [], 0
-                for s, e in ranges:
-                    parts.append(raw[end : p.start[s]])
-                    end = p.start[e]  # a range ends where the next word starts
+                first, n = word_starts(raw)
+                s, e = np.array(starts), np.array(ends)
+                new = np.flatnonzero(np.append(True, s[1:] - e[:-1] > least_words // BRIDGE))
+                long = np.add.reduceat(e - s, new) >= least_words
+                s, e = s[new], e[np.append(new[1:], len(e)) - 1]
+                parts, end = [], 0
+                for x, y in zip(s[long].tolist(), e[long].tolist(), strict=True):
+                    parts.append(raw[end : first[x]])
+                    end = first[y]  # a range ends where the next word starts
                 texts.append((b"".join(parts) + raw[end:]).decode())
-                total.append(p.n_words)
-                gone.append(int(sum(e - s for s, e in ranges)))
-                cut.append(len(ranges))
+                total.append(n)
+                gone.append(int((e - s)[long].sum()))
+                cut.append(int(long.sum()))
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, pa.int64())], names=["id", "text", "n_words", "n_removed", "n_passages"])
 
     return run
 
 
-def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, recall: float = 0.98, width: int = 3, least_words: int = 20) -> DataFrame:
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, recall: float = 0.98, width: int = 2, least_words: int = 20, across: bool = False) -> DataFrame:
     """id, text, n_words, n_removed, n_passages of each document, repeated passages removed.
 
     Words are runs of other characters than [\\x20\\x09-\\x0D] and compared with A-Z in lower case. Of a component of
-    paragraphs the place with the smallest id, then the first in the text, stays. Repeats within one document count.
-    A passage of `least_words` words or more that stands word for word at an earlier place is always found. Paragraphs
-    of fewer than five words repeat only as equal ones. A null text counts as empty and keeps no words.
+    paragraphs, or of the places of a seed, the one with the smallest id, then the first in the text, stays. Repeats
+    within one document count unless `across` is set; then all places in the first document stay. A passage of
+    `least_words` words or more that stands word for word at an earlier place is always found; its ends are those up to
+    which the first place of its seeds agrees. Paragraphs of under half of `least_words` words lead nowhere as changed
+    ones. A null text counts as empty and keeps no words.
     """
     spark = docs.sparkSession
     scratch, n_bands = Scratch(spark), bands(percent, recall, width)
     texts = rows(docs, id_col, text_col)
-    places = scratch.keep(texts.mapInArrow(_places, "id long, place long, paragraph long, words long"))
-    again = texts.mapInArrow(_counted(n_bands, width, least_words), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    shared = spark.sparkContext.broadcast(bloom(scratch.keep(again)))
-    some = scratch.keep(texts.mapInArrow(_passing(n_bands, width, shared), "id long, text string, keys array<long>"))
+    bits = bucket_bits((texts.agg(F.sum(F.length("text"))).head()[0] or 0) // 20)  # a key for about twenty characters
+    again = texts.mapInArrow(_counted(n_bands, width, least_words, across, bits), "bucket int, keys binary")
+    again = scratch.keep(repeated(again, True))
+    shared = spark.sparkContext.broadcast(bloom(again, bits))
+    some = scratch.keep(texts.mapInArrow(_passing(n_bands, width, least_words // 2, shared), "id long, text string, keys array<long>"))
     distinct = scratch.keep(some.groupBy("id").agg(F.min("text").alias("text"), F.first("keys").alias("keys")))  # equal words have equal keys
+    scratch.drop(again, some)
     sketches = scratch.keep(distinct.select("id", "text").mapInArrow(_signs(SHINGLE), "id long, n long, sign binary, sketch binary").drop("sign"))
-    found = resolve(distinct.select("id", "text"), sketches, buckets_of(distinct.select("id", F.explode("keys").alias("key")), scratch), scratch, SHINGLE, percent)
-    found = scratch.keep(found.select(F.col("id").alias("paragraph"), "component"))
-    placed = places.join(found, "paragraph", "left").select("id", "place", F.coalesce("component", "paragraph").alias("class"))
-    first = placed.groupBy("class").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = scratch.keep(first.select("class", "first"))
-    gone = placed.join(first, "class").where("struct(id, place) <> first").select("id", "place")
-    gone = scratch.keep(gone.groupBy("id").agg(F.collect_list("place").alias("places"), F.count(F.lit(1)).alias("n")))  # a document's own places
-    windows = scratch.keep(texts.mapInArrow(_windows(least_words, shared), "id long, word long, window long"))
-    first = windows.groupBy("window").agg(F.min(F.struct("id", "word")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = scratch.keep(first.select("window", "first"))
+    linked = resolve(distinct.select("id", "text"), sketches, buckets_of(distinct.select("id", F.explode("keys").alias("key")), scratch), scratch, SHINGLE, percent)
+    linked = scratch.keep(linked.select(F.col("id").alias("key"), "component"))
+    scratch.end(linked)
+    keys = linked.select(F.col("key").alias("k")).mapInArrow(_low(bits), "bucket int, low int")
+    both = spark.sparkContext.broadcast((shared.value, bloom(keys, bits)))
+    found = scratch.keep(texts.mapInArrow(_repeats(least_words, both), ROWS))
+    apart = "id <> first.id" if across else "struct(id, s) <> struct(first.id, first.s)"
+    seeds = found.where("seed")
+    first = seeds.groupBy("key").agg(F.min(F.struct("id", "s", "left", "right")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = scratch.keep(first.select("key", "first"))
+    later = seeds.join(first, "key").where(apart)
     # words of the place that stays are not part of a later one that overlaps it
-    later = windows.join(first, "window").where("struct(id, word) <> first").select("id", F.expr(f"if(id = first.id, greatest(word, first.word + {least_words}), word)").alias("s"), (F.col("word") + least_words).alias("e"))
-    spans = later.groupBy("id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")).mapInArrow(_spans, "id long, starts array<long>, ends array<long>")
-    spans = scratch.keep(spans)
-    gone = scratch.keep(gone.join(spans, "id", "full").select("id", "places", "starts", "ends", F.expr("coalesce(n, 0) + coalesce(size(starts), 0)").alias("n")))
-    small = (gone.agg(F.sum("n")).head()[0] or 0) <= SENT_ROWS
-    gone = gone.drop("n")
-    return texts.join(F.broadcast(gone) if small else gone, "id", "left").select("id", "text", "places", "starts", "ends").mapInArrow(_remove(least_words), "id long, text string, n_words long, n_removed long, n_passages long")
+    start = f"if(id = first.id and s < first.s + {seed_sizes(least_words)[1]}, first.s + {seed_sizes(least_words)[1]}, s)"
+    spans = later.select("id", "s", "e", "left", "right", F.col("first.left").alias("l"), F.col("first.right").alias("r"), F.expr(start).alias("start"))
+    near = spans.where("start = s").drop("start").mapInArrow(_widened, "id long, s long, e long")
+    near = near.unionByName(spans.where("start <> s").select("id", F.col("start").cast("long").alias("s"), F.col("e").cast("long").alias("e")).where("s < e"))
+    placed = found.where("not seed").join(sent(linked), "key").select("id", F.col("component").alias("class"), "s", "e")
+    kept = scratch.keep(placed.groupBy("class").agg(F.min(F.struct("id", "s")).alias("first")))
+    changed = placed.join(kept, "class").where(apart).select("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    spans = near.unionByName(changed).groupBy("id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))  # a document's own
+    spans = scratch.keep(spans.mapInArrow(_spans, "id long, starts array<long>, ends array<long>"))
+    scratch.end(spans)
+    gone = sent(spans, F.size("starts") * 16 + 64)
+    return texts.join(gone, "id", "left").select("id", "text", "starts", "ends").mapInArrow(_remove(least_words), "id long, text string, n_words long, n_removed long, n_passages long")
+
+
+#: Words of a passage, the production parameter: what is shorter is left to the operators on lines.
+PASSAGE = 50
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, n_passages, kept_sha256 of each document; the digest is of the text that is left."""
-    return without_passages(docs).select(id_back("id", "doc_id"), "n_words", "n_removed", "n_passages", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, n_words, n_removed, n_passages, kept_sha256 of each document; the digest is of the text that is left.
+
+    What goes are passages of PASSAGE words or more that an earlier document has.
+    """
+    out = without_passages(docs, least_words=PASSAGE, across=True)
+    return out.select(id_back("id", "doc_id"), "n_words", "n_removed", "n_passages", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
