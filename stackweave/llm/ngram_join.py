@@ -38,7 +38,7 @@ PART_BITS = 20
 #: Members up to which all pairs of different components of a bucket are verified.
 SMALL = 32
 #: Further centres of a large bucket.
-ROUNDS = 3
+ROUNDS = 6
 #: Longs of the sketches by which pairs of large buckets are judged in their join.
 FOLDED = 16
 #: Rows that are verified against one copy of their partner.
@@ -49,10 +49,11 @@ _U = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
+    return x
 
 
 @functools.lru_cache(maxsize=1)
@@ -306,17 +307,6 @@ def repeated(packs: DataFrame, owned: bool = False) -> DataFrame:
     return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(owned), "bucket int, low int, c int")
 
 
-def _low(bits: int):
-    """The bucket and the further bits of a column of keys."""
-
-    def run(batches):
-        for b in batches:
-            bucket, low = folded(b.column(0).to_numpy().view(_U), bits)
-            yield pa.record_batch([pa.array(bucket), pa.array(low.view(np.int32))], names=["bucket", "low"])
-
-    return run
-
-
 #: The most bits of a Bloom filter, 32 MB. Beyond ten for a key it lets more through.
 BLOOM_BITS = 1 << 28
 

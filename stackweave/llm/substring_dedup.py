@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_back, rows, sent, slices
-from .ngram_join import _U, _WHITE, _byte_values, _low, _powers, _signs, bloom, bucket_bits, buckets_of, holds, mix, packed, repeated, resolve
+from .ngram_join import _U, _WHITE, _byte_values, _powers, _signs, bloom, bucket_bits, buckets_of, holds, mix, packed, repeated, resolve
 
 #: Words of a paragraph before a cut, and words after which the next sentence end is a cut.
 SHORT, LONG = 12, 48
@@ -62,6 +62,9 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+_WORD = (~_WHITE).astype(np.int8)
+
+
 def word_starts(raw: bytes) -> tuple[np.ndarray, int]:
     """Where each word of a text starts, and its end; the number of words."""
     word = np.concatenate([[False], ~_WHITE[np.frombuffer(raw, np.uint8)]])
@@ -69,76 +72,101 @@ def word_starts(raw: bytes) -> tuple[np.ndarray, int]:
     return np.append(start, len(raw)), len(start)
 
 
-class Paragraphs:
-    """The paragraphs of a text: first and last word, byte offsets, ids and shingles; `covers` are those that each holds."""
+POWERS = 1 << 19
 
-    def __init__(self, text: str):
-        self.raw = np.frombuffer(text.encode(), np.uint8)
-        low = np.frombuffer(text.encode().lower(), np.uint8)
-        word = np.concatenate([[False], ~_WHITE[low], [False]])
+
+def split_words(texts: list[bytes]) -> list[tuple]:
+    """Of each text its bytes in lower case, where its words start and end, and a hash of each word; short texts together."""
+    out, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        held.append(text)
+        size += len(text) + 1
+        if k + 1 < len(texts) and size + len(texts[k + 1]) < POWERS:
+            continue
+        low = np.frombuffer(b"\n".join(held).lower(), np.uint8)  # bytes.lower() knows A-Z only
+        word = np.zeros(len(low) + 2, np.int8)
+        np.take(_WORD, low, out=word[1:-1])
         edge = np.flatnonzero(word[1:] != word[:-1])
         start, end = edge[::2], edge[1::2]
+        up, down = _powers(max(POWERS, 1 << len(low).bit_length()))
+        sums = np.zeros(len(low) + 1, _U)
+        np.cumsum(_byte_values()[low] * up[: len(low)], out=sums[1:])
+        hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+        ends = np.cumsum([len(t) + 1 for t in held])
+        first = 0
+        for at, last, n in zip((ends - [len(t) + 1 for t in held]).tolist(), np.searchsorted(start, ends).tolist(), map(len, held), strict=True):
+            out.append((low[at : at + n], start[first:last] - at, end[first:last] - at, hashes[first:last]))
+            first = last
+        held, size = [], 0
+    return out
+
+
+def paragraphs(texts: list[str]) -> list[Paragraphs]:
+    return [Paragraphs(t, w) for t, w in zip(texts, split_words([t.encode() for t in texts]), strict=True)]
+
+
+class Paragraphs:
+    """The paragraphs of a text: first and last word, ids and shingles."""
+
+    def __init__(self, text: str, words: tuple | None = None):
+        self.raw = text.encode()
+        low, start, end, self.hashes = words or split_words([self.raw])[0]
         self.n_words = len(start)
         if not self.n_words:
-            self.first = self.last = self.at = self.ids = self.covers = np.zeros(0, np.int64)
+            self.first = self.last = self.ids = np.zeros(0, np.int64)
             self.pieces = 0
-            self.hashes = np.zeros(0, _U)
             return
-        up, down = _powers(1 << max(16, len(low).bit_length()))
-        sums = np.concatenate([[_U(0)], np.cumsum(_byte_values()[low] * up[: len(low)])])
-        self.hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-        lines = np.cumsum(low == 10)[start]
+        up, down = _powers(max(POWERS, 1 << len(low).bit_length()))
+        lines = np.searchsorted(np.flatnonzero(low == 10), start)
         # before which words a line or a sentence ends
-        breaks, stops = np.zeros(self.n_words + 1, bool), np.zeros(self.n_words + 1, bool)
-        breaks[1:-1] = lines[1:] != lines[:-1]
-        last = low[end - 1]
-        stops[1:] = (last == 33) | (last == 46) | (last == 63)
-        places = np.flatnonzero(breaks | stops)
-        places = places[places < self.n_words]
-        chosen = (self.hashes[places - 1] >> _U(60)) & _U(1)
+        breaks = np.ones(self.n_words, bool)
+        breaks[1:] = lines[1:] != lines[:-1]
+        last = low[end[:-1] - 1]
+        stops = (last == 33) | (last == 46) | (last == 63)
+        places = np.flatnonzero(breaks[1:] | stops) + 1
+        chosen = (self.hashes[places - 1] >> _U(60)) & _U(1) > 0
         cuts, before = [0], 0
         for k, line, hit in zip(places.tolist(), breaks[places].tolist(), chosen.tolist(), strict=True):
             if line or k - before >= LONG or hit and k - before >= SHORT:
                 cuts.append(k)
                 before = k
-        cuts = self._shorter(cuts)
-        self.first = np.array(cuts)
-        self.last = np.append(self.first[1:], self.n_words)
-        self.pieces = len(cuts)
-        self.at = np.append(start[self.first], len(low))  # a paragraph ends where the next one starts
+        first = self._shorter(np.array([*cuts, self.n_words]))
+        edges = np.append(first, self.n_words)
+        self.pieces = len(first)
         # a line of several paragraphs is one more, after all others
-        breaks[0] = True
-        head = np.flatnonzero(breaks[self.first])
+        head = np.flatnonzero(breaks[first])
         tail = np.append(head[1:], self.pieces)
-        head, tail = head[tail - head > 1], tail[tail - head > 1]
-        self.covers = np.concatenate([np.stack([np.arange(self.pieces), np.arange(self.pieces) + 1], 1), np.stack([head, tail], 1)])
-        self.first, self.last = np.concatenate([self.first, self.first[head]]), np.concatenate([self.last, self.last[tail - 1]])
-        self.start = np.append(start, len(low))
-        self.bounds = np.stack([start[self.first], end[self.last - 1]], 1)
-        total = np.concatenate([[_U(0)], np.cumsum(self.hashes * up[: self.n_words])])
+        several = tail - head > 1
+        self.first, self.last = np.concatenate([first, first[head[several]]]), np.concatenate([edges[1:], edges[tail[several]]])
+        self.start, self.end = start, end
+        total = np.zeros(self.n_words + 1, _U)
+        np.cumsum(self.hashes * up[: self.n_words], out=total[1:])
         self.ids = mix((total[self.last] - total[self.first]) * down[self.first] + (self.last - self.first).astype(_U)).view(np.int64)
         self.ids[self.pieces :] ^= LINE  # lines are compared with lines only: one is like its own paragraphs
+        self.total = total
+
+    def text(self, k: int) -> str:
+        """The text of a paragraph."""
+        return self.raw[self.start[self.first[k]] : self.end[self.last[k] - 1]].decode()
 
-    def _shorter(self, cuts: list[int]) -> list[int]:
+    def _shorter(self, edges: np.ndarray) -> np.ndarray:
         """More cuts in stretches of more than LONG words, between pairs of words that have the smallest hash around them."""
-        edges = np.append(cuts, self.n_words)
         if (edges[1:] - edges[:-1]).max() <= LONG:
-            return cuts
+            return edges[:-1]
         pairs = mix(self.hashes[:-1] * _U(0x9FB21C651E98DF25) + self.hashes[1:])
-        side = np.full(AROUND, _U(0xFFFFFFFFFFFFFFFF))
-        near = least_of(np.concatenate([side, pairs, side]), AROUND)
         n = len(pairs)
+        wide = np.full(n + 2 * AROUND, _U(0xFFFFFFFFFFFFFFFF))
+        wide[AROUND : AROUND + n] = pairs
+        near = least_of(wide, AROUND)
         more = np.flatnonzero((pairs < near[:n]) & (pairs <= near[AROUND + 1 : AROUND + 1 + n])) + 1
         at = np.searchsorted(edges, more, "right") - 1
-        long = edges[at + 1] - edges[at] > LONG
-        return np.union1d(edges[:-1], more[long & (more - edges[at] >= SHORT) & (edges[at + 1] - more >= SHORT)]).tolist()
+        more = more[(edges[at + 1] - edges[at] > LONG) & (more - edges[at] >= SHORT) & (edges[at + 1] - more >= SHORT)]
+        return np.sort(np.concatenate([edges[:-1], more]))
 
     def _runs(self, size: int) -> np.ndarray:
         """A hash of each `size` neighbouring words."""
-        up, down = _powers(1 << max(16, self.n_words.bit_length()))
-        total = np.concatenate([[_U(0)], np.cumsum(self.hashes * up[: self.n_words])])
         n = self.n_words - size + 1
-        return mix((total[size:] - total[:n]) * down[:n] + _U(size))
+        return mix((self.total[size:] - self.total[:n]) * _powers(max(POWERS, 1 << self.n_words.bit_length()))[1][:n] + _U(size))
 
     def seeds(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
         """The first words of the seeds and their hashes: every run of `least_words` words holds one of them."""
@@ -206,9 +234,8 @@ def _counted(n_bands: int, width: int, least_words: int, across: bool, bits: int
 
     def chunks(batches):
         seen: set[int] = set()
-        for b in slices(batches):
-            for doc, text in zip(b.column(0).to_numpy().view(_U), b.column(1).to_pylist(), strict=True):
-                p = Paragraphs(text)
+        for b in slices(batches, 64):
+            for doc, p in zip(b.column(0).to_numpy().view(_U), paragraphs(b.column(1).to_pylist()), strict=True):
                 which, keys = p.keys(n_bands, width, least_words // 2)
                 fresh = _fresh(p, which, seen)
                 yield keys[fresh].ravel(), np.repeat(p.ids[which[fresh]].view(_U), n_bands)
@@ -218,62 +245,37 @@ def _counted(n_bands: int, width: int, least_words: int, across: bool, bits: int
     return lambda batches: packed(chunks(batches), bits)
 
 
-def _passing(n_bands: int, width: int, words: int, shared):
-    """The paragraphs that may collide, with their text and those of their keys."""
-
-    def run(batches):
-        table, seen = shared.value, set()
-        for b in slices(batches, 64):
-            found = []
-            for text in b.column(1).to_pylist():
-                p = Paragraphs(text)
-                which, keys = p.keys(n_bands, width, words)
-                fresh = _fresh(p, which, seen)
-                found.append((p, which[fresh], keys[fresh]))
-            hits = holds(table, np.concatenate([np.zeros(0, _U), *(f[2].ravel() for f in found)]))
-            ids, texts, kept, n = [], [], [], 0
-            for p, which, keys in found:
-                hit = hits[n : n + keys.size].reshape(keys.shape)
-                n += keys.size
-                for k in np.flatnonzero(hit.any(1)):
-                    s, e = p.bounds[which[k]]
-                    ids.append(int(p.ids[which[k]]))
-                    texts.append(p.raw[s:e].tobytes())
-                    kept.append(keys[k, hit[k]].view(np.int64))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(kept, pa.list_(pa.int64()))], names=["id", "text", "keys"])
-
-    return run
-
-
-_ROWS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("seed", pa.bool_()), ("s", pa.int32()), ("e", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
-ROWS = "id long, key long, seed boolean, s int, e int, left binary, right binary"
+_ROWS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("seed", pa.bool_()), ("s", pa.int32()), ("e", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("text", pa.string()), ("keys", pa.list_(pa.int64()))])
+ROWS = "id long, key long, seed boolean, s int, e int, left binary, right binary, text string, keys array<long>"
 
 
-def _repeats(least_words: int, shared):
-    """The places of seeds and of linked paragraphs that may repeat. A seed's has the words beside it."""
+def _repeats(n_bands: int, width: int, least_words: int, shared):
+    """The places of seeds that may repeat, with the words beside them, and of paragraphs that may collide; of these the
+    first one in the task has its text and those of its keys."""
     around, length = seed_sizes(least_words)
 
     def run(batches):
-        seed_table, paragraph_table = shared.value
+        table, seen = shared.value, set()
         for b in slices(batches, 64):
-            texts = [Paragraphs(t) for t in b.column(1).to_pylist()]
-            found = [p.seeds(least_words) for p in texts]
-            hits = holds(seed_table, np.concatenate([np.zeros(0, _U), *(f[1] for f in found)]))
-            linked = holds(paragraph_table, np.concatenate([np.zeros(0, _U), *(p.ids.view(_U) for p in texts)]))
-            columns, n, m = [[] for _ in _ROWS], 0, 0
-            for doc, p, (at, seeds) in zip(b.column(0).to_pylist(), texts, found, strict=True):
-                hit, link = hits[n : n + len(at)], linked[m : m + len(p.ids)]
-                n, m, at, seeds = n + len(at), m + len(p.ids), at[hit], seeds[hit]
-                if len(at):
-                    left, right = (x.view("S1").reshape(-1).tobytes() for x in p.beside(at, length, around))
-                    size = 2 * around
-                    cut = lambda x: [x[k : k + size] for k in range(0, len(x), size)]
-                    for column, values in zip(columns, (np.full(len(at), doc), seeds.view(np.int64), np.ones(len(at), bool), at, at + length, cut(left), cut(right)), strict=True):
-                        column.extend(values if isinstance(values, list) else values.tolist())
-                if link.any():
-                    k, none = int(link.sum()), [None] * int(link.sum())
-                    for column, values in zip(columns, ([doc] * k, p.ids[link].tolist(), [False] * k, p.first[link].tolist(), p.last[link].tolist(), none, none), strict=True):
+            texts = paragraphs(b.column(1).to_pylist())
+            seeds = [p.seeds(least_words) for p in texts]
+            bands_ = [p.keys(n_bands, width, least_words // 2) for p in texts]
+            hits = holds(table, np.concatenate([np.zeros(0, _U), *(f[1] for f in seeds), *(k.ravel() for _, k in bands_)]))
+            columns, n, m = [[] for _ in _ROWS], 0, sum(len(f[1]) for f in seeds)
+            for doc, p, (at, own), (which, keys) in zip(b.column(0).to_pylist(), texts, seeds, bands_, strict=True):
+                hit, found = hits[n : n + len(at)], hits[m : m + keys.size].reshape(keys.shape)
+                n, m, at, own = n + len(at), m + keys.size, at[hit], own[hit]
+                if k := len(at):
+                    left, right = (x.tobytes() for x in p.beside(at, length, around))
+                    cut = lambda x: [x[j : j + 2 * around] for j in range(0, len(x), 2 * around)]
+                    for column, values in zip(columns, ([doc] * k, own.view(np.int64).tolist(), [True] * k, at.tolist(), (at + length).tolist(), cut(left), cut(right), [None] * k, [None] * k), strict=True):
                         column.extend(values)
+                rows_ = np.flatnonzero(found.any(1))
+                for row, fresh in zip(rows_.tolist(), _fresh(p, which[rows_], seen).tolist(), strict=True):
+                    k = which[row]
+                    text, kept = (p.text(k), keys[row, found[row]].view(np.int64)) if fresh else (None, None)
+                    for column, value in zip(columns, (doc, int(p.ids[k]), False, int(p.first[k]), int(p.last[k]), None, None, text, kept), strict=True):
+                        column.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
 
     return run
@@ -352,16 +354,14 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = texts.mapInArrow(_counted(n_bands, width, least_words, across, bits), "bucket int, keys binary")
     again = scratch.keep(repeated(again, True))
     shared = spark.sparkContext.broadcast(bloom(again, bits))
-    some = scratch.keep(texts.mapInArrow(_passing(n_bands, width, least_words // 2, shared), "id long, text string, keys array<long>"))
-    distinct = scratch.keep(some.groupBy("id").agg(F.min("text").alias("text"), F.first("keys").alias("keys")))  # equal words have equal keys
-    scratch.drop(again, some)
+    found = scratch.keep(texts.mapInArrow(_repeats(n_bands, width, least_words, shared), ROWS))
+    fresh = found.where("text is not null").groupBy(F.col("key").alias("id")).agg(F.min("text").alias("text"), F.first("keys").alias("keys"))
+    distinct = scratch.keep(fresh)  # equal words have equal keys
+    scratch.drop(again)
     sketches = scratch.keep(distinct.select("id", "text").mapInArrow(_signs(SHINGLE), "id long, n long, sign binary, sketch binary").drop("sign"))
     linked = resolve(distinct.select("id", "text"), sketches, buckets_of(distinct.select("id", F.explode("keys").alias("key")), scratch), scratch, SHINGLE, percent)
     linked = scratch.keep(linked.select(F.col("id").alias("key"), "component"))
-    scratch.end(linked)
-    keys = linked.select(F.col("key").alias("k")).mapInArrow(_low(bits), "bucket int, low int")
-    both = spark.sparkContext.broadcast((shared.value, bloom(keys, bits)))
-    found = scratch.keep(texts.mapInArrow(_repeats(least_words, both), ROWS))
+    scratch.end(linked, found)
     apart = "id <> first.id" if across else "struct(id, s) <> struct(first.id, first.s)"
     seeds = found.where("seed")
     first = seeds.groupBy("key").agg(F.min(F.struct("id", "s", "left", "right")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
