@@ -38,7 +38,7 @@ PART_BITS = 20
 #: Members up to which all pairs of different components of a bucket are verified.
 SMALL = 32
 #: Further centres of a large bucket.
-ROUNDS = 6
+ROUNDS = 4
 #: Longs of the sketches by which pairs of large buckets are judged in their join.
 FOLDED = 16
 #: Rows that are verified against one copy of their partner.
@@ -367,7 +367,9 @@ FREQUENT = 8
 
 
 def _prefix(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) -> list:
-    """The size of a set's difference from its bucket's centre, and the first elements of that difference.
+    """The size of a set's difference from its bucket's centre, how many of its first elements count, and these elements.
+
+    All that the centre lacks is there, as it is put into another order later, see _meeting().
 
     What the centre lacks comes first, the rarer part. Let x and y be the differences' sizes of two linked sets A and B
     of which not both are linked with the centre C, d the size of their own difference and o what their differences
@@ -387,11 +389,11 @@ def _prefix(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) ->
     short = x - max(1, least) + 1
     long = short if linked else x - max(1, x - a * (100 - percent) // percent) + 1
     bits = np.packbits((np.bincount(((own >> _U(7)) & _U(64 * FOLDED - 1)).astype(np.int64), minlength=64 * FOLDED) & 1).astype(np.uint8))
-    return [x, len(more), short, np.concatenate([more, less])[:long].view(np.int64).tolist(), bits.view(np.int64).tolist()]
+    return [x, len(more), short, long, np.concatenate([more, less[: max(0, long - len(more))]]).view(np.int64).tolist(), bits.view(np.int64).tolist()]
 
 
 def _compare(n: int, percent: int, differences: bool):
-    names = ["a", "b", "na", "nb", "linked", *["x", "more", "short", "prefix", "bits"] * differences]
+    names = ["a", "b", "na", "nb", "linked", *["x", "more", "short", "long", "prefix", "bits"] * differences]
 
     def run(batches):
         now, other = None, None
@@ -412,7 +414,7 @@ def _compare(n: int, percent: int, differences: bool):
                     row += _prefix(own, other, linked, percent)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names=names)
 
     return run
@@ -434,7 +436,7 @@ def _beside(held: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def compare(texts: DataFrame, pairs: DataFrame, scratch: Scratch, n: int, percent: int, differences: bool = False) -> DataFrame:
     """Verifies each pair (a, b): a, b, na, nb, linked and, if asked for, what _prefix() says of their difference."""
-    kind = "a long, b long, na long, nb long, linked boolean" + ", x long, more long, short long, prefix array<long>, bits array<long>" * differences
+    kind = "a long, b long, na long, nb long, linked boolean" + ", x long, more long, short long, long long, prefix array<long>, bits array<long>" * differences
     return _beside(texts, pairs, scratch).mapInArrow(_compare(n, percent, differences), kind)
 
 
@@ -480,15 +482,54 @@ def _elements(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _meeting(shared):
-    """Adds `meet`, the places of the elements that another set of the bucket may have as well."""
+    """Puts what a centre lacks into the order that all sets of its bucket share, the elements of one set alone first and
+    frequent ones last, and cuts the list off. `meet` are the places of elements that another set may have as well."""
+
+    def run(batches):
+        several, frequent = shared.value
+        for b in batches:
+            at = b.schema.get_field_index
+            keys, row, place = _elements(b)
+            hit = holds(several, keys)
+            late = hit.astype(np.int8)
+            late[hit] += holds(frequent, keys[hit])
+            more, long = (b.column(at(c)).to_numpy() for c in ("more", "long"))
+            late[place >= more[row]] = 3  # what the centre has stays behind
+            behind = np.where(late == 3, place.astype(_U), keys)
+            order = np.lexsort((behind, late, row))
+            keep = place < long[row]
+            order = order[keep]
+            values, hit, row, place = b.column(at("prefix")).flatten().to_numpy()[order], hit[order], row[keep], place[keep]
+            ends = lambda rows_: pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows_, minlength=b.num_rows))]), pa.int32())
+            prefix = pa.ListArray.from_arrays(ends(row), pa.array(values))
+            meet = pa.ListArray.from_arrays(ends(row[hit]), pa.array(place[hit], pa.int32()))
+            columns = [prefix if n == "prefix" else c for n, c in zip(b.schema.names, b.columns, strict=True)]
+            yield pa.record_batch([*columns, meet], names=[*b.schema.names, "meet"])
+
+    return run
+
+
+def _asked(shared):
+    """Leaves of `meet` the elements that a Bloom filter holds."""
 
     def run(batches):
         for b in batches:
             keys, row, place = _elements(b)
             hit = holds(shared.value, keys)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=b.num_rows))])
-            meet = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[hit], pa.int32()))
-            yield pa.record_batch([*b.columns, meet], names=[*b.schema.names, "meet"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=b.num_rows))]), pa.int32())
+            meet = pa.ListArray.from_arrays(ends, pa.array(place[hit], pa.int32()))
+            yield pa.record_batch([meet if n == "meet" else c for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
+
+    return run
+
+
+def _folded_elements(bits: int):
+    """The bucket and the further bits of elements (b, e)."""
+
+    def run(batches):
+        for b in batches:
+            bucket, low = folded(mix(b.column(1).to_numpy().view(_U) ^ mix(b.column(0).to_numpy().view(_U))), bits)
+            yield pa.record_batch([pa.array(bucket), pa.array(low.view(np.int32))], names=["bucket", "low"])
 
     return run
 
@@ -498,14 +539,24 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     members = scratch.keep(large.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "component").distinct())
     found = compare(texts, members.select("a", "b"), scratch, n, percent, True)
     found = scratch.keep(found.join(members, ["a", "b"]))
-    # most elements are one set's alone: they are counted first, and only the others are dealt out
-    bits = bucket_bits(found.agg(F.sum(F.size("prefix"))).head()[0] or 0)
-    again = scratch.keep(repeated(found.select("b", "prefix").mapInArrow(lambda batches: packed((_elements(b)[0] for b in batches), bits), "bucket int, keys binary")))
-    shared = texts.sparkSession.sparkContext.broadcast(bloom(again, bits))
-    found = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "bits", "prefix")
-    found = found.mapInArrow(_meeting(shared), "a long, b long, na long, component long, linked boolean, x long, more long, short long, bits array<long>, prefix array<long>, meet array<int>")
-    each = scratch.keep(found.where("size(meet) > 0")).withColumn("r", F.explode("meet")).withColumn("e", F.get("prefix", F.col("r"))).drop("meet")
-    short = each.where("r < short").withColumn("prefix", F.slice("prefix", F.lit(1), F.col("short").cast("int")))
+    # most elements are those of one component alone: they are counted first, and only the others are dealt out
+    bits, spark = bucket_bits(found.agg(F.sum(F.size("prefix"))).head()[0] or 0), texts.sparkSession
+
+    def owned(batches):
+        for b in batches:
+            keys, row, _ = _elements(b)
+            yield keys, b.column(b.schema.get_field_index("component")).to_numpy().view(_U)[row]
+
+    again = scratch.keep(repeated(found.select("b", "component", "prefix").mapInArrow(lambda batches: packed(owned(batches), bits), "bucket int, keys binary"), True))
+    shared = spark.sparkContext.broadcast((bloom(again, bits), bloom(again.where(F.col("c") > FREQUENT), bits)))
+    kinds = "a long, b long, na long, component long, linked boolean, x long, more long, short long, long long, bits array<long>, prefix array<long>, meet array<int>"
+    found = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "long", "bits", "prefix").mapInArrow(_meeting(shared), kinds)
+    found = scratch.keep(found.where("size(meet) > 0"))
+    short = found.withColumn("r", F.explode(F.filter("meet", lambda r: r < F.col("short")))).withColumn("e", F.get("prefix", F.col("r")))
+    short = scratch.keep(short.drop("meet").withColumn("prefix", F.slice("prefix", F.lit(1), F.col("short").cast("int"))))
+    asked = scratch.keep(short.select("b", "e").distinct().mapInArrow(_folded_elements(bits), "bucket int, low int"))
+    each = found.where("not linked").mapInArrow(_asked(spark.sparkContext.broadcast(bloom(asked, bits))), kinds)
+    each = each.withColumn("r", F.explode("meet")).withColumn("e", F.get("prefix", F.col("r"))).drop("meet")
     first = short.select("b", "e", *(F.col(c).alias(f"{c}_") for c in ("a", "na", "component", "linked", "x", "more", "bits", "prefix")))
     least = F.abs(F.col("x") - F.col("x_"))
     held = F.col("more") + F.col("more_") + F.abs(F.col("x") - F.col("more") - F.col("x_") + F.col("more_"))
@@ -513,7 +564,7 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_", F.lit(k)))) for k in range(FOLDED)), F.lit(0))
     near = F.greatest(least, apart) * (100 + percent) <= (F.col("na") + F.col("na_")) * (100 - percent)
     once = F.get(F.array_intersect("prefix_", "prefix"), F.lit(0)) == F.col("e")  # a pair meets at the first element that it shares
-    pairs = first.join(each.where("not linked"), ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near & once)
+    pairs = first.join(each, ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near & once)
     return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).distinct()
 
 
@@ -533,7 +584,8 @@ def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, sc
         rest = rest.join(last.select(F.col("a").alias("id"), F.col("b").alias("centre")), ["id", "centre"], "left_anti").select("key", "id")
         centres = rest.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
         rest = scratch.keep(rest.join(scratch.keep(centres), "key").where("id <> centre"))
-        more = scratch.keep(rest.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+        # one comparison for each set; what it leaves open comes up again in a later round or at the end
+        more = scratch.keep(rest.groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b")).join(star, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
         last = linked(texts, sketches, more, scratch, n, percent)
