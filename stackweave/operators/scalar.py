@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import Halo, Shape
+from ..plans.index import Halo, Shape, whole
 from ..plans.pipe import Op, elementwise
 
 bytes_to_float01 = elementwise("bytes_to_float01", lambda v: v / F.lit(255.0))
@@ -42,6 +42,11 @@ def _scope(per: str) -> list[str]:
     return ["n"] if per == "frame" else []
 
 
+def scope_reach(per: str) -> Halo:
+    """What an operator with statistics of each frame, or of the stack, reads."""
+    return whole("c", "y", "x") if _scope(per) else whole("n", "c", "y", "x")
+
+
 def with_scope(df: DataFrame, per: str, **aggs: Column) -> DataFrame:
     """Adds aggregates over each frame, or over the whole stack by one row that is sent to all tasks."""
     keys = _scope(per)
@@ -58,12 +63,12 @@ def map01(per: str = "frame") -> Op:
         both = with_scope(df, per, _lo=F.min("v"), _hi=F.max("v"))
         return both.withColumn("v", (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8)).drop("_lo", "_hi")
 
-    return Op("map01", apply)
+    return Op("map01", apply, scope_reach(per))
 
 
 def clip_space(per: str = "frame") -> Op:
     inner = map01(per)
-    return Op("clip_space", lambda df, s: inner.apply(df, s).withColumn("v", 2 * (F.col("v") - 0.5)))
+    return Op("clip_space", lambda df, s: inner.apply(df, s).withColumn("v", 2 * (F.col("v") - 0.5)), inner.halo)
 
 
 def qtile(low: float = 0.02, high: float = 0.98, per: str = "stack") -> Op:
@@ -75,7 +80,7 @@ def qtile(low: float = 0.02, high: float = 0.98, per: str = "stack") -> Op:
         both = df.join(ends, "n") if _scope(per) else df.crossJoin(F.broadcast(ends))
         return both.withColumn("v", F.least(F.greatest(F.col("v"), F.get("_q", F.lit(0))), F.get("_q", F.lit(1)))).drop("_q")
 
-    return Op("qtile", apply)
+    return Op("qtile", apply, scope_reach(per))
 
 
 def roi(left: int, top: int, width: int, height: int) -> Op:
@@ -124,6 +129,17 @@ def flat_field(mean_frame: DataFrame) -> Op:
     return Op("flat_field", lambda df, _: df.join(mean_frame.select("c", "y", "x", "m"), ["c", "y", "x"]).withColumn("v", F.try_divide(F.col("v"), F.col("m"))).select(*df.columns))
 
 
+class _Refilled(Halo):
+    """The reach of an operator whose places on these axes are new ones: it reads all old ones."""
+
+    def __init__(self, *axes: str):
+        super().__init__({})
+        object.__setattr__(self, "axes", axes)
+
+    def source(self, ranges: dict, shape: Shape) -> dict:
+        return ranges | {a: (0, shape[a]) for a in self.axes if ranges[a][0] < ranges[a][1]}
+
+
 def pad_to(height: int, width: int) -> Op:
     """Centres each frame in a larger one that is filled with the frame's minimum."""
 
@@ -134,7 +150,7 @@ def pad_to(height: int, width: int) -> Op:
         moved = df.withColumn("y", F.col("y") + top).withColumn("x", F.col("x") + left)
         return grid.join(moved, ["n", "c", "y", "x"], "left").select("n", "c", "y", "x", F.coalesce("v", "_lo").alias("v"))
 
-    return Op("pad_to", apply, Halo({}), True, lambda s: s.with_(y=height, x=width))
+    return Op("pad_to", apply, _Refilled("y", "x"), True, lambda s: s.with_(y=height, x=width))
 
 
 def colormap(table: list[tuple[float, float, float]], low: float = 0.0, high: float = 1.0) -> Op:
@@ -146,4 +162,4 @@ def colormap(table: list[tuple[float, float, float]], low: float = 0.0, high: fl
         colour = F.get(lut, (at * (len(table) - 1)).cast("int"))
         return df.select("n", F.posexplode(colour).alias("c", "v"), "y", "x").select("n", F.col("c").cast("int").alias("c"), "y", "x", "v")
 
-    return Op("colormap", apply, shape=lambda s: s.with_(c=3))
+    return Op("colormap", apply, _Refilled("c"), shape=lambda s: s.with_(c=3))

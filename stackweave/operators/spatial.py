@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.index import Halo, Reach, Shape
-from ..plans.pipe import Op
+from ..plans.pipe import Chain, Op
 from .scalar import map01
 
 Kernel = list[tuple[int, int, float]]  #: (row, column, weight), counted from the kernel's first place
@@ -120,9 +120,9 @@ def gaussian_blur(k: int, sigma: float) -> Op:
     return convolve(gaussian(k, sigma), k, "same", f"gaussian_blur({k})")
 
 
-def difference_of_gaussians(k: int, low: float = 2, high: float = 3, per: str = "frame") -> list[Op]:
+def difference_of_gaussians(k: int, low: float = 2, high: float = 3, per: str = "frame") -> Chain:
     """The blur with `high` minus that with `low`, of values that are mapped to 0..1 first."""
-    return [map01(per), neighbourhood("difference_of_gaussians", k, {"a": gaussian(k, high), "b": gaussian(k, low)}, F.col("s_a") - F.col("s_b"), "same")]
+    return Chain(map01(per), neighbourhood("difference_of_gaussians", k, {"a": gaussian(k, high), "b": gaussian(k, low)}, F.col("s_a") - F.col("s_b"), "same"))
 
 
 def sobel(axis: str) -> Op:
@@ -148,14 +148,14 @@ def hessian_eigenvalue(which: str) -> Op:
     return neighbourhood(f"hessian_eigenvalue({which})", 3, _HESSIAN, _eigen(-1 if which == "low" else 1))
 
 
-def vesselness(per: str = "frame") -> list[Op]:
+def vesselness(per: str = "frame") -> Chain:
     """max(0, -larger eigenvalue), divided by its maximum + 1e-8."""
-    from .scalar import with_scope
+    from .scalar import scope_reach, with_scope
 
     def scaled(df: DataFrame, _: Shape) -> DataFrame:
         return with_scope(df, per, _hi=F.max("v")).withColumn("v", F.col("v") / (F.col("_hi") + 1e-8)).drop("_hi")
 
-    return [neighbourhood("vesselness", 3, _HESSIAN, F.greatest(-_eigen(1), F.lit(0.0))), Op("scale", scaled)]
+    return Chain(neighbourhood("vesselness", 3, _HESSIAN, F.greatest(-_eigen(1), F.lit(0.0))), Op("scale", scaled, scope_reach(per)))
 
 
 def patches(name: str, k: int, value) -> Op:
@@ -214,12 +214,12 @@ def median(k: int) -> Op:
     return rank_filter(f"median({k})", k, F.median)
 
 
-def opening(k: int) -> list[Op]:
-    return [erode(k), dilate(k)]
+def opening(k: int) -> Chain:
+    return Chain(erode(k), dilate(k))
 
 
-def closing(k: int) -> list[Op]:
-    return [dilate(k), erode(k)]
+def closing(k: int) -> Chain:
+    return Chain(dilate(k), erode(k))
 
 
 def normals(axis: str) -> Op:

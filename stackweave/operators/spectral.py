@@ -107,7 +107,7 @@ def pink(seed: int = 0) -> Op:
 
         return df.groupBy("c", "y", "x").applyInPandas(one, "n long, c int, y int, x int, v double")
 
-    return Op("pink", lambda df, s: apply(df.select("n", "c", "y", "x", "v"), s), Halo({"n": Reach()}))
+    return Op("pink", lambda df, s: apply(df.select("n", "c", "y", "x", "v"), s), Halo({"n": Reach(whole=True)}))
 
 
 def inverse_spectrum_scale(frames: DataFrame, target: DataFrame, scales: list[float]) -> DataFrame:

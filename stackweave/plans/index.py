@@ -27,19 +27,23 @@ class Shape:
 class Reach:
     """What one output place of an axis reads: `extent` places from place * stride on, or `radius` on both sides.
 
-    A radius means that the edge is repeated: the size stays, and reads are cut off at the stack's edges.
+    A radius means that the edge is repeated: the size stays, and reads are cut off at the stack's edges. `whole` means
+    that every output place reads the whole axis.
     """
 
     extent: int = 1
     stride: int = 1
     radius: int = 0
+    whole: bool = False
 
     def size(self, n: int) -> int:
-        return n if self.radius else max(0, (n - self.extent) // self.stride + 1)
+        return n if self.radius or self.whole else max(0, (n - self.extent) // self.stride + 1)
 
     def source(self, a: int, b: int, n: int) -> tuple[int, int]:
         if b <= a:
             return a, a
+        if self.whole:
+            return 0, n
         if self.radius:
             return max(0, a - self.radius), min(n, b + self.radius)
         return a * self.stride, (b - 1) * self.stride + self.extent
@@ -59,6 +63,11 @@ class Halo:
         return {a: self.reach.get(a, Reach()).source(*ranges[a], shape[a]) for a in AXES}
 
 
+def whole(*axes: str) -> Halo:
+    """The reach of an operator that looks at all of these axes."""
+    return Halo({a: Reach(whole=True) for a in axes})
+
+
 def normalise(index, shape: Shape) -> tuple[dict, list[str]]:
     """Ranges for each axis from an index as of an array, and the axes that an int picks.
 

@@ -126,6 +126,9 @@ class Chain:
     def __init__(self, *ops: Op):
         self.ops = ops
 
+    def __iter__(self):
+        return iter(self.ops)
+
     def __or__(self, other: Op | Chain) -> Chain:
         return Chain(*self.ops, *(other.ops if isinstance(other, Chain) else (other,)))
 

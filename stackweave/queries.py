@@ -571,3 +571,40 @@ def per_frame_checksum(spark, sf_dir):
 @query("batch_sums", f"WITH {E0} SELECT n // 128 AS batch, round(sum(v), 6) AS v FROM e GROUP BY ALL")
 def batch_sums(spark, sf_dir):
     return emb(spark, sf_dir).all().groupBy(F.floor(F.col("n") / 128).alias("batch")).agg(F.sum("v").alias("v"))
+
+
+def _sliced(name: str, base: str, where: str) -> None:
+    """A slice of a whole-frame query is what the same slice of its whole result is."""
+    ORACLE[name] = f"SELECT * FROM ({ORACLE[base]}) WHERE {where}"
+
+
+_sliced("map01_sliced", "map01_stack", "n BETWEEN 5 AND 24 AND x BETWEEN 2 AND 4")
+
+
+@query("map01_sliced")
+def map01_sliced(spark, sf_dir):
+    return (emb(spark, sf_dir) | scalar.map01("stack"))[5:25, :, :, 2:5]
+
+
+_sliced("vesselness_sliced", "vesselness", "n BETWEEN 5 AND 24 AND x BETWEEN 1 AND 3")
+
+
+@query("vesselness_sliced")
+def vesselness_sliced(spark, sf_dir):
+    return (emb(spark, sf_dir) | spatial.vesselness())[5:25, :, :, 1:4]
+
+
+_sliced("pad_to_sliced", "pad_to", "n BETWEEN 5 AND 24 AND x BETWEEN 8 AND 11 AND y BETWEEN 0 AND 4")
+
+
+@query("pad_to_sliced")
+def pad_to_sliced(spark, sf_dir):
+    return (sales(spark, sf_dir) | scalar.pad_to(9, 12))[5:25, :, 0:5, 8:12]
+
+
+_sliced("colormap_sliced", "colormap", "n BETWEEN 5 AND 24 AND c = 1")
+
+
+@query("colormap_sliced")
+def colormap_sliced(spark, sf_dir):
+    return (unit(spark, sf_dir) | scalar.colormap([(k / 255, 1 - k / 255, 0.5) for k in range(256)]))[5:25, 1:2]
