@@ -159,7 +159,7 @@ def _repaired(costs: tuple):
 def format_conversations(turns: DataFrame, costs: dict = DEFAULT, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each given turn: conv_id, turn, part, seq, given_role, action, role, inserted, appended, cost, fragment.
 
-    Turns are in the order of turn, then role, then text; nulls come first. Repeated rows are turns of their own. A null or
+    Turns are in the order of turn, then role, then a hash of the text, then text; nulls come first. Repeated rows are turns of their own. A null or
     unknown role has to be relabelled; a null text counts as empty. A null conv_id is one more conversation. A turn
     opens with a line <|role|> and ends with a line <|end|>; in texts `<|` becomes `< |`, so no text can open a turn.
     `inserted` are the roles of empty turns before a turn and `appended` of those at the conversation's end. The

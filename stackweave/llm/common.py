@@ -5,7 +5,8 @@ Rules that every operator here follows
 * Only the id and the text column are read; other columns, whatever their names, are left alone.
 * A null text counts as the empty text.
 * A null id is one more id; it comes back as null.
-* Of several rows with one id, the row with the greatest text (by bytes) stands for all of them.
+* Of several rows with one id, the row with the greatest text (by bytes) stands for all of them; decontamination and
+  the language model take each row by itself.
 * An empty table gives an empty result with the same columns.
 """
 
@@ -45,13 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and text of each document as columns `id` and `text`, one row for each id, without nulls."""
-    ship(docs.sparkSession)
-    out = docs.select(
+def each_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and text of each row as columns `id` and `text`, without nulls."""
+    return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
+
+
+def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and text of each document as columns `id` and `text`, one row for each id, without nulls."""
+    ship(docs.sparkSession)
+    out = each_row(docs, id_col, text_col)
     repeated = out.groupBy("id").count().where("count > 1").select("id")
     if repeated.isEmpty():
         return out

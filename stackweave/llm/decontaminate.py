@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, rows
+from .common import each_row, id_back
 
 #: The offsets that each mask holds, of a span of twelve words.
 MASKS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 3, 4, 6, 7, 9, 10), (0, 2, 3, 5, 7, 8, 10, 11))
@@ -53,10 +53,12 @@ def contaminated(
     n_agree is the largest number of equal words in a stretch of n_words = min(stretch, words of the item) words of
     the item on one diagonal; a pair counts when 100 * n_agree >= agree_percent * n_words. An item with fewer words
     than a mask spans has to be found as a whole first. Texts without words, null ones included, contain nothing and
-    are contained in nothing.
+    are contained in nothing. An id on several rows stands for all their texts, in either table.
     """
-    items = rows(benchmark, item_col, item_text_col)
-    items = _hashed(items).where("size(h) > 0").persist()
+    # rows are never merged: each row of a document counts for its id, and each text of an item for its item
+    items = each_row(benchmark, item_col, item_text_col).distinct()
+    named = items.select(F.xxhash64("id", "text").alias("item"), F.col("id").alias("item_id"))
+    items = _hashed(items.withColumn("id", F.xxhash64("id", "text"))).where("size(h) > 0").persist()
     short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())  # fewer than SPAN
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
     whole = F.element_at(F.array(F.lit(0), *(F.lit(len(m) if k >= len(MASKS) else 0) for k, m in enumerate(masks))), F.col("mask") + 2)
@@ -68,7 +70,7 @@ def contaminated(
     if total <= block_rows:
         held = F.broadcast(held)
 
-    found = _seeds(_hashed(rows(docs, id_col, text_col)), masks)
+    found = _seeds(_hashed(each_row(docs, id_col, text_col)), masks)
     passes = []
     for b in range(blocks):
         part = seeds.where(F.pmod("key", F.lit(blocks)) == b) if blocks > 1 else seeds
@@ -85,7 +87,7 @@ def contaminated(
     hits = hits.select("id", "item", "n", F.least(F.lit(stretch), F.col("n")).alias("n_words"), equal.alias("equal"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("n_words") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("n_words")), F.lit(0), lambda a, x: a + x)))
     pairs = hits.select("id", "item", "n_words", best.alias("n_agree")).where(F.col("n_agree") * 100 >= F.col("n_words") * agree_percent)
-    pairs = pairs.groupBy("id", "item").agg(F.max("n_agree").cast("long").alias("n_agree"), F.max("n_words").cast("long").alias("n_words"))
+    pairs = pairs.join(named, "item").groupBy("id", F.col("item_id").alias("item")).agg(F.max("n_agree").cast("long").alias("n_agree"), F.max("n_words").cast("long").alias("n_words"))
     return pairs.select(id_back("id", "doc_id"), id_back("item", "item_id"), "n_agree", "n_words")
 
 

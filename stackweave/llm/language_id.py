@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import id_back, rows, ship, slices
 
 LENGTH = 4
-#: A language is a bit of a long.
-MOST_LANGUAGES = 63
+#: A language is a bit of a long; further languages have further filters.
+BITS = 63
 #: n-grams that a training task holds before it sums them.
 HELD = 2_000_000
 
@@ -92,31 +92,29 @@ def _filter_rows(size: int, hashes: int):
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", share: float = 0.5, least: int = 2, size: int = 1 << 21, hashes: int = 3) -> dict:
-    """The languages and the filter. Rows without a language or a text teach nothing.
-
-    Of more than MOST_LANGUAGES languages the most frequent ones are learned.
-    """
+    """The languages and the filters, one for BITS languages each. Rows without a language or a text teach nothing."""
     ship(labelled.sparkSession)
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = known.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).persist()
     try:
-        totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).collect()
+        totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").collect()
         langs = [r.lang for r in totals]
-        table = np.zeros(size, np.int64)
+        tables = [np.zeros(size, np.int64) for _ in range(max(1, -(-len(langs) // BITS)))]
         if langs:
             spark = labelled.sparkSession
-            bits = F.broadcast(spark.createDataFrame([(r.lang, 1 << k, float(r.total)) for k, r in enumerate(totals)], "lang string, bit long, total double"))
+            bits = F.broadcast(spark.createDataFrame([(r.lang, k // BITS, 1 << k % BITS, float(r.total)) for k, r in enumerate(totals)], "lang string, part int, bit long, total double"))
             rate = counts.join(bits, "lang").withColumn("rate", F.col("n") / F.col("total"))
             most = rate.withColumn("most", F.max("rate").over(Window.partitionBy("key")))
             own = most.where((F.col("n") >= least) & (F.col("rate") >= share * F.col("most")))
-            masks = own.groupBy("key").agg(F.bit_or("bit").alias("mask"))
-            cells = masks.mapInArrow(_filter_rows(size, hashes), "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
-            table[cells.column("place").to_numpy()] = cells.column("mask").to_numpy()
+            for part, table in enumerate(tables):
+                masks = own.where(F.col("part") == part).groupBy("key").agg(F.bit_or("bit").alias("mask"))
+                cells = masks.mapInArrow(_filter_rows(size, hashes), "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+                table[cells.column("place").to_numpy()] = cells.column("mask").to_numpy()
     finally:
         counts.unpersist()
     kind = np.uint8 if len(langs) <= 8 else np.int64
-    false = [float(((table >> k) & 1).mean() ** hashes) for k in range(len(langs))]
-    return {"langs": langs, "rows": table.astype(kind), "hashes": hashes, "false": false}
+    false = [float(((tables[k // BITS] >> k % BITS) & 1).mean() ** hashes) for k in range(len(langs))]
+    return {"langs": langs, "rows": tables[0].astype(kind), "further": [t.astype(kind) for t in tables[1:]], "hashes": hashes, "false": false}
 
 
 def identify(model: dict, text: str) -> tuple[str, float, int]:
@@ -124,12 +122,14 @@ def identify(model: dict, text: str) -> tuple[str, float, int]:
     keys = ngrams(text)
     if not len(keys) or not model["langs"]:
         return "und", 0.0, len(keys)
-    at = places(keys, len(model["rows"]), model["hashes"])
-    mask = model["rows"][at[0]]
-    for a in at[1:]:
-        mask = mask & model["rows"][a]
+    at, masks = places(keys, len(model["rows"]), model["hashes"]), []
+    for table in (model["rows"], *model.get("further", ())):
+        mask = table[at[0]]
+        for a in at[1:]:
+            mask = mask & table[a]
+        masks.append(mask)
     false = np.array(model["false"])
-    counts = np.array([np.count_nonzero(mask & model["rows"].dtype.type(1 << k)) for k in range(len(false))])
+    counts = np.array([np.count_nonzero(masks[k // BITS] & masks[0].dtype.type(1 << k % BITS)) for k in range(len(false))])
     corrected = (counts - len(keys) * false) / np.maximum(1 - false, 1e-9)
     best = int(np.argmax(corrected))
     return model["langs"][best], float(min(1, max(0, corrected[best] / len(keys)))), len(keys)

@@ -65,3 +65,11 @@ def test_empty(spark):
     assert dc.contaminated(none, items).count() == 0
     assert dc.contaminated(some, items.limit(0)).count() == 0
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(some, items).collect()} == {(1, 7), (1, None)}
+
+
+def test_repeated_ids_lose_no_text(spark):
+    first, second = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, "z " + first), (2, second + " z"), (3, "nothing here"), (3, first)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, first), (7, second), (None, "one two")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()}
+    assert got == {(1, 7), (2, 7), (3, 7)}

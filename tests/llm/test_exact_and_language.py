@@ -46,3 +46,12 @@ def test_filter_has_no_false_negatives():
         table[at] = 1
     model = {"langs": ["en"], "rows": table, "hashes": 3, "false": [0.0]}
     assert language_id.identify(model, "THE quick, brown fox jumps over the lazy dog!") == ("en", 1.0, len(keys))
+
+
+def test_more_languages_than_bits(spark):
+    alphabet = [chr(0x4E00 + k) for k in range(700)]
+    docs = [(f"l{k:02d}", "".join(alphabet[10 * k + (7 * j + j // 10) % 10] for j in range(200))) for k in range(70)]
+    frame = spark.createDataFrame([(lang, text) for lang, text in docs for _ in range(2)], "lang string, text string")
+    model = language_id.fit(frame)
+    assert len(model["langs"]) == 70 and len(model["further"]) == 1
+    assert [language_id.identify(model, text)[0] for _, text in docs] == [lang for lang, _ in docs]
