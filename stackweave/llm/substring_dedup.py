@@ -368,7 +368,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = scratch.keep(first.select("key", "first"))
     later = seeds.join(first, "key").where(apart)
     # words of the place that stays are not part of a later one that overlaps it
-    start = f"if(id = first.id and s < first.s + {seed_sizes(least_words)[1]}, first.s + {seed_sizes(least_words)[1]}, s)"
+    start = f"if(id = first.id and s < first.s + {least_words}, first.s + {least_words}, s)"
     spans = later.select("id", "s", "e", "left", "right", F.col("first.left").alias("l"), F.col("first.right").alias("r"), F.expr(start).alias("start"))
     near = spans.where("start = s").drop("start").mapInArrow(_widened, "id long, s long, e long")
     near = near.unionByName(spans.where("start <> s").select("id", F.col("start").cast("long").alias("s"), F.col("e").cast("long").alias("e")).where("s < e"))
