@@ -13,16 +13,19 @@ Rules that every operator here follows
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
 _SHIPPED: set[str] = set()
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,27 +73,49 @@ def id_back(col: str = "id", name: str = "doc_id"):
     return F.nullif(F.col(col), F.lit(NULL_ID)).alias(name)
 
 
-def slices(batches, most: int = 512):
-    """The batches in pieces of a few rows, which bounds what a Python worker holds at once."""
-    for b in batches:
-        for k in range(0, b.num_rows, most):
-            yield b.slice(k, most)
+#: Bytes of a piece of a batch, if it has several rows.
+SLICE_BYTES = 4 << 20
+
 
+def give_back() -> None:
+    """Hands memory that is free back to the system: a worker that waits for its next task keeps none of it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
-#: Rows that the JVM hands to a Python worker at once while a table is written.
+
+def slices(batches, most: int = 512):
+    """The batches in pieces of a few rows and bytes, which bounds what a Python worker holds at once."""
+    for b in batches:
+        left = [b.slice(k, most) for k in range(0, b.num_rows, most)][::-1]
+        while left:
+            piece = left.pop()
+            if piece.num_rows > 1 and piece.nbytes > SLICE_BYTES:
+                half = piece.num_rows // 2
+                left += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+    give_back()
+
+
+#: Rows and bytes that the JVM hands to a Python worker at once while a table is written.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
     """Documents are long rows: fewer of them at once keep the buffers of both sides small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in limits}
+    for name, most in limits.items():
+        size = int(before[name]) if before[name].isdigit() else 0  # not a number of its own: unlimited, or with a unit
+        spark.conf.set(name, str(min(size, most) if size > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Scratch:

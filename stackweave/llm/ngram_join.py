@@ -215,7 +215,7 @@ def folded(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Keys that a task gathers before it hands them on.
-GATHERED = 1 << 21
+GATHERED = 1 << 19
 
 
 def packed(chunks, bits: int):
@@ -264,21 +264,29 @@ def _counted(n: int, percent: int, bits: int):
 
 
 def _repeated(owned: bool):
-    """The keys of each bucket that occur again (with another owner), and how often. The rows of a bucket follow each other."""
+    """The keys of each bucket that occur again (with another owner), and how often, up to FREQUENT + 1. The rows of a
+    bucket follow each other."""
 
-    def counts(now, held):
-        low = np.concatenate(held)
+    def trimmed(held):
+        """Of each key FREQUENT + 1 occurrences at most, which is all that matters, so a key of many rows takes no more room."""
+        keys = np.concatenate(held)
+        keys = np.unique(keys) if owned else np.sort(keys)
         if owned:
-            low = np.unique(low).astype(np.uint32)
-        low, c = np.unique(low, return_counts=True)
+            keys = keys[np.argsort(keys.astype(np.uint32), kind="stable")]
+        low = keys.astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        return keys[np.arange(len(low)) - np.repeat(first, np.diff(np.append(first, len(low)))) <= FREQUENT]
+
+    def counts(now, held):
+        low, c = np.unique(trimmed(held).astype(np.uint32), return_counts=True)
         return [np.full((c > 1).sum(), now, np.int32), low[c > 1].view(np.int32), c[c > 1].astype(np.int32)]
 
     def batch(found):
         return pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["bucket", "low", "c"])
 
     def run(batches):
-        now, held, found, size = None, [], [], 0
-        for b in batches:
+        now, held, found, size, new = None, [], [], 0, 0
+        for b in slices(batches):
             for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if bucket != now:
                     if held:
@@ -287,8 +295,11 @@ def _repeated(owned: bool):
                         if size > 100_000:
                             yield batch(found)
                             found, size = [], 0
-                    now, held = bucket, []
+                    now, held, new = bucket, [], 0
                 held.append(np.frombuffer(keys, _U if owned else np.uint32))
+                new += len(held[-1])
+                if new > GATHERED:
+                    held, new = [trimmed(held)], 0
         if held:
             found.append(counts(now, held))
         if found:
@@ -487,7 +498,7 @@ def _meeting(shared):
 
     def run(batches):
         several, frequent = shared.value
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index
             keys, row, place = _elements(b)
             hit = holds(several, keys)
@@ -513,7 +524,7 @@ def _asked(shared):
     """Leaves of `meet` the elements that a Bloom filter holds."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, row, place = _elements(b)
             hit = holds(shared.value, keys)
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=b.num_rows))]), pa.int32())
@@ -543,7 +554,7 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     bits, spark = bucket_bits(found.agg(F.sum(F.size("prefix"))).head()[0] or 0), texts.sparkSession
 
     def owned(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, row, _ = _elements(b)
             yield keys, b.column(b.schema.get_field_index("component")).to_numpy().view(_U)[row]
 
@@ -552,6 +563,7 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     kinds = "a long, b long, na long, component long, linked boolean, x long, more long, short long, long long, bits array<long>, prefix array<long>, meet array<int>"
     found = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "long", "bits", "prefix").mapInArrow(_meeting(shared), kinds)
     found = scratch.keep(found.where("size(meet) > 0"))
+    shared.destroy()
     short = found.withColumn("r", F.explode(F.filter("meet", lambda r: r < F.col("short")))).withColumn("e", F.get("prefix", F.col("r")))
     short = scratch.keep(short.drop("meet").withColumn("prefix", F.slice("prefix", F.lit(1), F.col("short").cast("int"))))
     asked = scratch.keep(short.select("b", "e").distinct().mapInArrow(_folded_elements(bits), "bucket int, low int"))
@@ -627,6 +639,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch.drop(again)
     keys = texts.mapInArrow(_passing(n, percent, shared), "id long, key long")
     keys = scratch.keep(keys.join(classes.select(F.col("class").alias("id")), "id", "left_semi"))
+    shared.destroy()
     buckets = buckets_of(keys, scratch)
     found = scratch.keep(resolve(texts, signs.select("id", "n", "sketch"), buckets, scratch, n, percent).withColumnRenamed("id", "class"))
     scratch.end(signs, member, found)
