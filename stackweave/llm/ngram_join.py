@@ -593,9 +593,10 @@ def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, sc
     # what a large bucket's centre doesn't link with has further centres, which spare pairs later on
     rest, last = buckets.where(F.col("members") > SMALL).where("id <> centre").select("key", "id", "centre"), links
     for _ in range(ROUNDS):
-        rest = rest.join(last.select(F.col("a").alias("id"), F.col("b").alias("centre")), ["id", "centre"], "left_anti").select("key", "id")
-        centres = rest.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        rest = scratch.keep(rest.join(scratch.keep(centres), "key").where("id <> centre"))
+        left = scratch.keep(rest.join(last.select(F.col("a").alias("id"), F.col("b").alias("centre")), ["id", "centre"], "left_anti").select("key", "id"))
+        centres = left.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        rest = scratch.keep(left.join(scratch.keep(centres), "key").where("id <> centre"))
+        scratch.drop(left)
         # one comparison for each set; what it leaves open comes up again in a later round or at the end
         more = scratch.keep(rest.groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b")).join(star, ["a", "b"], "left_anti"))
         if more.isEmpty():
