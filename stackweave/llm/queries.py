@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, importance, language_id, line_dedup, ngram_join, pii, substring_dedup
+from . import bpe, byte_bpe, chat, decontaminate, importance, language_id, line_dedup, ngram_join, pii, substring_dedup
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -81,3 +81,8 @@ def op10_substring_dedup(spark, sf_dir):
 @query("op8_chat_format")
 def op8_chat_format(spark, sf_dir):
     return chat.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.default_path())
