@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, chat, decontaminate, importance, language_id, line_dedup, ngram_join, pii, substring_dedup
+from . import bpe, byte_bpe, chat, decontaminate, importance, language_id, line_dedup, ngram_join, periodic_runs, pii, substring_dedup
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -86,3 +86,11 @@ def op8_chat_format(spark, sf_dir):
 @query("op13_byte_bpe")
 def op13_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.default_path())
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op12_periodic_runs"] = periodic_runs.ORACLE_SQL
