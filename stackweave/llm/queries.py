@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, chat, decontaminate, importance, language_id, line_dedup, ngram_join, periodic_runs, pii, substring_dedup
+from . import bpe, byte_bpe, chat, decontaminate, importance, language_id, line_dedup, merkle, ngram_join, periodic_runs, pii, substring_dedup
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -94,3 +94,11 @@ def op12_periodic_runs(spark, sf_dir):
 
 
 ORACLE["op12_periodic_runs"] = periodic_runs.ORACLE_SQL
+
+
+@query("op11_merkle_manifest")
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_merkle_manifest"] = merkle.ORACLE_SQL
