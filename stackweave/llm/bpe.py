@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, rows, slices
+from .common import every_row, id_back, rows, slices
 
 #: Code points that both sides of a window have to agree on.
 MARGIN = 16
@@ -178,6 +178,7 @@ def _join(path: str, back: bool):
     return joined
 
 
+@every_row("id")
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_points: int = 32768, back: bool = False) -> DataFrame:
     """id, ids, text: the token ids of each whole text as little-endian unsigned 32-bit integers, and the text.
 

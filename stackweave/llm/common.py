@@ -5,8 +5,8 @@ Rules that every operator here follows
 * Only the id and the text column are read; other columns, whatever their names, are left alone.
 * A null text counts as the empty text.
 * A null id is one more id; it comes back as null.
-* Of several rows with one id, the row with the greatest text (by bytes) stands for all of them; decontamination and
-  the language model take each row by itself.
+* Several rows with one id are documents of their own, each with its own row in the result. Operators that tell documents
+  apart by their ids get numbers for such a table that keep the order of the ids, see every_row().
 * An empty table gives an empty result with the same columns.
 """
 
@@ -14,13 +14,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
@@ -58,15 +62,9 @@ def each_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and text of each document as columns `id` and `text`, one row for each id, without nulls."""
+    """each_row() for work in Python: executors get this package."""
     ship(docs.sparkSession)
-    out = each_row(docs, id_col, text_col)
-    repeated = out.groupBy("id").count().where("count > 1").select("id")
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, "id", "left_anti")
-    merged = out.join(repeated, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    return once.unionByName(merged)
+    return each_row(docs, id_col, text_col)
 
 
 def id_back(col: str = "id", name: str = "doc_id"):
@@ -171,3 +169,67 @@ def sent(df: DataFrame, row_bytes: int | Column = 64) -> DataFrame:
     """Marks a table as one to send to all tasks if its rows, of so many bytes each, don't come to more than SENT_BYTES."""
     size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).head()[0] or 0
     return F.broadcast(df) if size <= SENT_BYTES else df
+
+
+def numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    """Adds place, the number of a row within its `key` in this order, from 0, and size, the rows of the key.
+
+    Rows are sorted by ranges, so a frequent key or a frequent value is spread; each task counts its own rows, and the
+    tasks' counts, a row for each task and key, say where each begins. Rows that are equal in `order` take any order.
+    """
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
+    by = ["key", *order, "_tie"]
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    at = dealt.columns.index("key")
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        part, key, n = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            number = []
+            for k in b.column(at).to_pylist():
+                key, n = k, (n + 1 if k == key else 0)
+                number.append(n)
+            yield pa.record_batch([*b.columns, pa.array([part] * len(number), pa.int32()), pa.array(number, pa.int64())], names=[*b.schema.names, "part", "number"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    placed = scratch.keep(dealt.mapInArrow(count, f"{kinds}, part int, number long"))
+    counts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = scratch.keep(counts.select("key", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"), F.sum("rows").over(Window.partitionBy("key")).alias("size")))
+    found = placed.join(sent(counts, 96), ["key", "part"])
+    return found.withColumn("place", F.col("number") + F.col("_before")).drop("part", "number", "_before")
+
+
+def every_row(*ids: str):
+    """Lets an operator that needs distinct ids work on each row of a table with repeated ones.
+
+    The operator has the parameters docs, id_col and text_col. Rows of such a table are numbered by id, then by their text;
+    it gets the numbers as ids, so the smallest number is a row of the smallest id, and the columns `ids` of its result are
+    put back. Null ids are the smallest. Without repeated ids it gets `docs` as they are.
+    """
+
+    def wrap(f):
+        signature = inspect.signature(f)
+
+        @functools.wraps(f)
+        def call(*args, **kwargs) -> DataFrame:
+            given = signature.bind(*args, **kwargs)
+            given.apply_defaults()
+            docs, id_col, text_col = (given.arguments[k] for k in ("docs", "id_col", "text_col"))
+            texts = rows(docs, id_col, text_col)
+            if texts.groupBy("id").count().where("count > 1").isEmpty():
+                return f(*given.args, **given.kwargs)
+            scratch = Scratch(docs.sparkSession)
+            keyed = texts.select(F.lit("").alias("key"), "id", "text", F.xxhash64("text").alias("h"))
+            placed = scratch.keep(numbered(keyed, ["id", "h"], scratch).select("place", "id", "text"))
+            given.arguments["docs"] = placed.select(F.col("place").alias(id_col), F.col("text").alias(text_col))
+            out = f(*given.args, **given.kwargs)
+            columns = out.columns
+            for c in ids:
+                names = sent(placed.select(F.col("place").alias(c), id_back("id", "_name")), 16)
+                out = out.join(names, c).drop(c).withColumnRenamed("_name", c)
+            return out.select(*columns)
+
+        return call
+
+    return wrap

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows, slices
+from .common import Scratch, every_row, id_back, rows, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct blocks that a task remembers at once.
@@ -94,6 +94,7 @@ def identities(docs: DataFrame, scratch: Scratch, block_bytes: int = 2048, bucke
     return heads.join(done, "id")
 
 
+@every_row("doc_id", "keep_id")
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048, buckets: int = 1 << 16, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, n_blocks.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows, slices
+from .common import Scratch, every_row, id_back, rows, slices
 
 #: Rows up to which the deleted ranges are sent to all tasks instead of shuffling the texts to them.
 SENT_ROWS = 500_000
@@ -145,6 +145,7 @@ def _delete(batches):
         yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=["id", "text", "n_lines", "n_removed"])
 
 
+@every_row("id")
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", surroundings: int = 8, least_words: int = 5, long_words: int = 20, share: float = 0.016) -> DataFrame:
     """id, text, n_lines, n_removed of each document, its repeated blocks deleted.
 

@@ -21,11 +21,10 @@ import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sent, ship
+from .common import Scratch, numbered, ship
 
 ARITY, LEVELS = 8, 4
 BLOCK = ARITY**LEVELS
@@ -112,35 +111,6 @@ def leaves(docs: DataFrame, key_col: str = "lang", id_col: str = "doc_id", field
     return docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), leaf.alias("leaf"), (row(tampered) if tampered else leaf).alias("other"))
 
 
-def numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
-    """Adds place, the number of a row within its `key` in this order, from 0, and size, the rows of the key.
-
-    Rows are sorted by ranges, so a frequent key or a frequent value is spread; each task counts its own rows, and the
-    tasks' counts, a row for each task and key, say where each begins. Rows that are equal in `order` take any order.
-    """
-    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
-    by = ["key", *order, "_tie"]
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
-    at = dealt.columns.index("key")
-
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        part, key, n = TaskContext.get().partitionId(), None, 0
-        for b in batches:
-            number = []
-            for k in b.column(at).to_pylist():
-                key, n = k, (n + 1 if k == key else 0)
-                number.append(n)
-            yield pa.record_batch([*b.columns, pa.array([part] * len(number), pa.int32()), pa.array(number, pa.int64())], names=[*b.schema.names, "part", "number"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-    placed = scratch.keep(dealt.mapInArrow(count, f"{kinds}, part int, number long"))
-    counts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = scratch.keep(counts.select("key", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"), F.sum("rows").over(Window.partitionBy("key")).alias("size")))
-    found = placed.join(sent(counts, 96), ["key", "part"])
-    return found.withColumn("place", F.col("number") + F.col("_before")).drop("part", "number", "_before")
-
-
 def _levels(size: int) -> int:
     """The levels of a block of a key with so many leaves: up to the only node, or of a whole block."""
     return LEVELS if size > BLOCK else next(h for h in range(LEVELS + 1) if ARITY**h >= size)

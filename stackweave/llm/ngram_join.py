@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows, sent, slices
+from .common import Scratch, every_row, id_back, rows, sent, slices
 from .components import components
 
 #: Bits of a sketch part, as a power of two.
@@ -615,6 +615,7 @@ def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, sc
     return components(links.union(more), scratch)
 
 
+@every_row("doc_id", "class_id", "component_id")
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of each document.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_back, rows, sent, slices
+from .common import Scratch, every_row, id_back, rows, sent, slices
 from .ngram_join import _U, _WHITE, _byte_values, _powers, _signs, bloom, bucket_bits, buckets_of, holds, mix, packed, repeated, resolve
 
 #: Words of a paragraph before a cut, and words after which the next sentence end is a cut.
@@ -337,6 +337,7 @@ def _remove(least_words: int):
     return run
 
 
+@every_row("id")
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, recall: float = 0.98, width: int = 2, least_words: int = 20, across: bool = False) -> DataFrame:
     """id, text, n_words, n_removed, n_passages of each document, repeated passages removed.
 
@@ -382,14 +383,10 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return texts.join(gone, "id", "left").select("id", "text", "starts", "ends").mapInArrow(_remove(least_words), "id long, text string, n_words long, n_removed long, n_passages long")
 
 
-#: Words of a passage, the production parameter: what is shorter is left to the operators on lines.
-PASSAGE = 50
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, n_passages, kept_sha256 of each document; the digest is of the text that is left.
 
-    What goes are passages of PASSAGE words or more that an earlier document has.
+    What goes are passages of 20 words or more that stand at an earlier place, in the same document or another one.
     """
-    out = without_passages(docs, least_words=PASSAGE, across=True)
+    out = without_passages(docs)
     return out.select(id_back("id", "doc_id"), "n_words", "n_removed", "n_passages", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
