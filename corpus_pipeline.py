@@ -20,9 +20,13 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(dropped, key == dropped["dropped"], "left_anti")
 
 
-def _ids(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """The ids of dropped documents as a table of its own, so that all that led to it can go."""
-    return scratch.keep(found.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("dropped")).distinct())
+def _ids(found: DataFrame, scratch: Scratch, goes: str = "true") -> DataFrame:
+    """The ids of dropped documents as a table of its own, so that all that led to it can go.
+
+    Of several rows with one id none is dropped unless `goes` holds for all of them.
+    """
+    ids = found.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("dropped"), F.expr(goes).alias("goes"))
+    return scratch.keep(ids.groupBy("dropped").agg(F.min("goes").alias("goes")).where("goes").select("dropped"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, the longest stays, then the smallest doc_id."""
     scratch, own = Scratch(spark), Scratch(spark)
-    dropped = _ids(exact_dedup.exact_duplicates(docs, scratch=own).where("not kept"), scratch)
+    dropped = _ids(exact_dedup.exact_duplicates(docs, scratch=own), scratch, "not kept")
     own.end()
     return _without(docs, dropped)
 
@@ -50,7 +54,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share 80 % of their five-word shingles, the smallest doc_id stays."""
     scratch, own = Scratch(spark), Scratch(spark)
-    dropped = _ids(ngram_join.linked_components(docs, n=5, percent=80, scratch=own).where("not doc_id <=> component_id"), scratch)
+    dropped = _ids(ngram_join.linked_components(docs, n=5, percent=80, scratch=own), scratch, "not doc_id <=> component_id")
     own.end()
     return _without(docs, dropped)
 
