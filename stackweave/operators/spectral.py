@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,10 +50,35 @@ class _WholeFrame(Halo):
         return ranges | {"y": (0, shape.y), "x": (0, shape.x)}
 
 
-def _square(frame: np.ndarray) -> np.ndarray:
-    side = min(frame.shape)
-    top, left = (frame.shape[0] - side) // 2, (frame.shape[1] - side) // 2
-    return frame[top : top + side, left : left + side]
+def _square(frames: np.ndarray) -> np.ndarray:
+    h, w = frames.shape[-2:]
+    side = min(h, w)
+    top, left = (h - side) // 2, (w - side) // 2
+    return frames[..., top : top + side, left : left + side]
+
+
+# on one frame, or on many along the first axis
+
+
+def psd_of(frames: np.ndarray, kind: str = "hann") -> np.ndarray:
+    square = _square(frames - frames.mean((-2, -1), keepdims=True))
+    size = square.shape[-2:]
+    return np.fft.fftshift(np.abs(np.fft.fft2(square * window(kind, *size))) ** 2 / (size[0] * size[1]), (-2, -1))
+
+
+def magnitude_of(frames: np.ndarray, kind: str = "hann", log: bool = False) -> np.ndarray:
+    square = _square(frames)
+    got = np.fft.fftshift(np.abs(np.fft.fft2(square * window(kind, *square.shape[-2:]))), (-2, -1))
+    return np.log1p(got) if log else got
+
+
+def lowpass_of(frames: np.ndarray, cutoff: float = 0.5, width: float = 0.1) -> np.ndarray:
+    fy, fx = np.meshgrid(*(np.fft.fftfreq(k) for k in frames.shape[-2:]), indexing="ij")
+    r = np.sqrt(fy * fy + fx * fx)
+    r = r / max(r.max(), 1e-12)
+    lo, hi = cutoff - width / 2, cutoff + width / 2
+    slope = np.where(r <= lo, 1.0, np.where(r >= hi, 0.0, 0.5 * (1 + np.cos(np.pi * (r - lo) / max(hi - lo, 1e-12))))) if width > 0 else (r <= cutoff).astype(float)
+    return np.fft.ifft2(np.fft.fft2(frames) * slope).real
 
 
 def _to_square(s: Shape) -> Shape:
@@ -61,36 +88,19 @@ def _to_square(s: Shape) -> Shape:
 def psd(kind: str = "hann") -> Op:
     """|FFT|^2 / pixels of the centred square less the frame's mean, weighted by a window; frequency 0 in the middle."""
 
-    def f(frame: np.ndarray) -> np.ndarray:
-        square = _square(frame - frame.mean())
-        return np.fft.fftshift(np.abs(np.fft.fft2(square * window(kind, *square.shape))) ** 2 / square.size)
-
-    return framed("psd", f, _to_square)
+    return framed("psd", partial(psd_of, kind=kind), _to_square)
 
 
 def magnitude(kind: str = "hann", log: bool = False) -> Op:
     """|FFT| of the weighted centred square, or ln(1 + |FFT|)."""
 
-    def f(frame: np.ndarray) -> np.ndarray:
-        square = _square(frame)
-        got = np.fft.fftshift(np.abs(np.fft.fft2(square * window(kind, *square.shape))))
-        return np.log1p(got) if log else got
-
-    return framed("magnitude", f, _to_square)
+    return framed("magnitude", partial(magnitude_of, kind=kind, log=log), _to_square)
 
 
 def lowpass(cutoff: float = 0.5, width: float = 0.1) -> Op:
     """Keeps frequencies up to the cutoff, a part of the largest radius, with a raised-cosine slope."""
 
-    def f(frame: np.ndarray) -> np.ndarray:
-        fy, fx = np.meshgrid(*(np.fft.fftfreq(k) for k in frame.shape), indexing="ij")
-        r = np.sqrt(fy * fy + fx * fx)
-        r = r / max(r.max(), 1e-12)
-        lo, hi = cutoff - width / 2, cutoff + width / 2
-        slope = np.where(r <= lo, 1.0, np.where(r >= hi, 0.0, 0.5 * (1 + np.cos(np.pi * (r - lo) / max(hi - lo, 1e-12))))) if width > 0 else (r <= cutoff).astype(float)
-        return np.fft.ifft2(np.fft.fft2(frame) * slope).real
-
-    return framed("lowpass", f)
+    return framed("lowpass", partial(lowpass_of, cutoff=cutoff, width=width))
 
 
 def pink(seed: int = 0) -> Op:
