@@ -188,3 +188,80 @@ def magnitude(kind: str = "hann", log: bool = False) -> BlockOp:
 
 def lowpass(cutoff: float = 0.5, width: float = 0.1) -> BlockOp:
     return framed("lowpass", partial(spectral.lowpass_of, cutoff=cutoff, width=width))
+
+
+def _taps(mode: str, scale: float, a: int, b: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each output place of a range the source places it reads and their weights; places beyond the edge are the edge."""
+    out = np.arange(a, b)
+    if mode in ("nearest", "nearest-exact"):
+        at = np.floor((out + (0.5 if mode == "nearest-exact" else 0.0)) / scale).astype(np.int64)[:, None]
+        return np.clip(at, 0, size - 1), np.ones(at.shape)
+    if mode == "area":
+        total = max(1, int(np.floor(size * scale)))
+        first, last = out * size // total, -(-(out + 1) * size // total)
+        span = int((last - first).max(initial=1))
+        at = first[:, None] + np.arange(span)
+        inside = at < last[:, None]
+        return np.clip(at, 0, size - 1), inside / (last - first)[:, None]
+    place = (out + 0.5) / scale - 0.5
+    if mode == "bilinear":
+        place = np.maximum(place, 0.0)
+        low = np.floor(place).astype(np.int64)
+        t = place - low
+        return np.clip(np.stack([low, low + 1], 1), 0, size - 1), np.stack([1 - t, t], 1)
+    low = np.floor(place).astype(np.int64)
+    t = place - low
+    distance = np.abs(t[:, None] - np.arange(-1, 3))
+    near = ((_CUBIC + 2) * distance - (_CUBIC + 3)) * distance * distance + 1
+    far = ((_CUBIC * distance - 5 * _CUBIC) * distance + 8 * _CUBIC) * distance - 4 * _CUBIC
+    return np.clip(low[:, None] + np.arange(-1, 3), 0, size - 1), np.where(distance <= 1, near, far)
+
+
+#: The slope of the cubic kernel, a fixed value.
+_CUBIC = -0.75
+MODES = ("nearest", "nearest-exact", "bilinear", "bicubic", "area")
+
+
+class _Scaled(Halo):
+    """The reach of a resampling: a rational scale, so the places read are those of the range's first and last place."""
+
+    def __init__(self, scale: float, mode: str):
+        super().__init__({})
+        object.__setattr__(self, "by", (scale, mode))
+
+    def shape(self, shape: Shape) -> Shape:
+        scale, _ = self.by
+        return shape.with_(y=int(np.floor(shape.y * scale)), x=int(np.floor(shape.x * scale)))
+
+    def source(self, ranges: dict, shape: Shape) -> dict:
+        scale, mode = self.by
+        out = dict(ranges)
+        for axis in ("y", "x"):
+            a, b = ranges[axis]
+            if a < b:
+                ends = [_taps(mode, scale, k, k + 1, shape[axis])[0] for k in (a, b - 1)]
+                out[axis] = int(ends[0].min()), int(ends[1].max()) + 1
+        return out
+
+
+def resample(scale: float, mode: str = "bicubic") -> BlockOp:
+    """Frames of floor(size * scale) rows and columns. Pixels are areas: the centre of place i is (i + 0.5) / scale - 0.5.
+
+    nearest, nearest-exact, bilinear, bicubic (without anti-aliasing; what lies beyond the edge is the edge) or area, the mean
+    of all source pixels that an output pixel covers a part of.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    if scale <= 0:
+        raise ValueError("the scale has to be positive")
+
+    def kernel(a: np.ndarray, place: Place) -> np.ndarray:
+        for k, axis in ((1, "y"), (2, "x")):
+            (lo, hi), (first, last) = place.wanted[axis], place.source[axis]
+            at, weights = _taps(mode, scale, lo, hi, place.shape[axis])
+            rows = np.zeros((hi - lo, last - first))
+            np.add.at(rows, (np.arange(hi - lo)[:, None], np.clip(at - first, 0, last - first - 1)), weights)
+            a = np.moveaxis(np.tensordot(rows, a, (1, k)), 0, k)
+        return a
+
+    return BlockOp(f"resample({scale}, {mode})", kernel, _Scaled(scale, mode))
