@@ -175,13 +175,17 @@ _WRITERS = {"blocks": (write_blocks, SCHEMA), "pixels": (write_pixels, PIXELS)}
 
 @dataclass(frozen=True)
 class Table:
-    """A table of a plan: read(batch) gives its blocks, `n` is the column of a row's first frame, layout its blocks' sizes."""
+    """A table of a plan: read(batch) gives its blocks, `n` is the column of a row's first frame, layout its blocks' sizes.
+
+    kind is the smallest type that holds its values exactly: pieces are exchanged as that.
+    """
 
     frame: DataFrame
     read: Callable[[pa.RecordBatch], Iterator[Block]]
     n: str
     layout: Layout
     shape: Shape
+    kind: str = "<f8"
 
 
 class _Router:
@@ -190,8 +194,8 @@ class _Router:
     Tiles of a frame are listed; the blocks along the frames are found by bisection, since both ends of what they read rise.
     """
 
-    def __init__(self, plan, ranges: Ranges, layout: Layout, k: int):
-        self.plan, self.ranges, self.layout, self.k = plan, ranges, layout, k
+    def __init__(self, plan, ranges: Ranges, layout: Layout, k: int, kinds: tuple[str, ...]):
+        self.plan, self.ranges, self.layout, self.k, self.kinds = plan, ranges, layout, k, kinds
         self.count = layout.cut("n", ranges)
         self.tiles = list(itertools.product(*(range(layout.cut(a, ranges)) for a in ("y", "x"))))
 
@@ -221,7 +225,7 @@ class _Router:
                 cut = [(max(s, o), min(e, o + m)) for (s, e), o, m in (((lo, hi), n, a.shape[0]), (r["y"], y, a.shape[1]), (r["x"], x, a.shape[2]))]
                 if all(s < e for s, e in cut):
                     piece = a[tuple(slice(s - o, e - o) for (s, e), o in zip(cut, (n, y, x), strict=True))]
-                    yield c, i, tile, self.k, *(s for s, _ in cut), *piece.shape, np.ascontiguousarray(piece, "<f8").tobytes()
+                    yield c, i, tile, self.k, *(s for s, _ in cut), *piece.shape, np.ascontiguousarray(piece, self.kinds[self.k]).tobytes()
 
 
 _PIECE = "c int, i long, tile int, k int, n0 long, y0 int, x0 int, nn int, yy int, xx int, data binary"
@@ -277,6 +281,10 @@ class BlockPipe:
         """The same plan with other output blocks."""
         return BlockPipe(self.tables, self.plan, Layout(n or self.layout.n, y or self.layout.y, x or self.layout.x))
 
+    @property
+    def kinds(self) -> tuple[str, ...]:
+        return tuple(t.kind for t in self.tables)
+
     def whole(self) -> Ranges:
         return {a: (0, self.shape[a]) for a in AXES}
 
@@ -287,7 +295,7 @@ class BlockPipe:
         table = self.tables[0]
         if not table.shape.n or table.layout[SPACE[0]] != self.layout.n or table.shape.n != self.shape.n:
             return False
-        router = _Router(self.plan, ranges, self.layout, 0)
+        router = _Router(self.plan, ranges, self.layout, 0, self.kinds)
         if any(op.halo.source({"n": (5, 6), "c": (0, 1), "y": (0, 1), "x": (0, 1)}, s)["n"] != (5, 6) for op, s in self._ops()):
             return False
         held = self.whole() | {a: (0, table.shape[a]) for a in AXES}
@@ -324,9 +332,9 @@ class BlockPipe:
         dealt = None
         for k, t in enumerate(self.tables):
             if k in need:
-                one = frames[k].mapInArrow(_deal(_Router(plan, ranges, layout, k), t.read), _PIECE)
+                one = frames[k].mapInArrow(_deal(_Router(plan, ranges, layout, k, self.kinds), t.read), _PIECE)
                 dealt = one if dealt is None else dealt.unionByName(one)
-        return dealt.groupBy("c", "i", "tile").applyInArrow(_meet(_Router(plan, ranges, layout, min(need)), write), schema)
+        return dealt.groupBy("c", "i", "tile").applyInArrow(_meet(_Router(plan, ranges, layout, min(need), self.kinds), write), schema)
 
     def _at(self, index, kind: str) -> tuple[DataFrame, list[str]]:
         ranges, picked = normalise(index, self.shape)
@@ -410,7 +418,7 @@ def _meet(router: _Router, write):
             for k, n, y, x, a, b, d, data in zip(*head, batch.column(10), strict=True):
                 r, whole = arrays[k]
                 at = n - r["n"][0], y - r["y"][0], x - r["x"][0]
-                whole[at[0] : at[0] + a, at[1] : at[1] + b, at[2] : at[2] + d] = np.frombuffer(data.as_buffer(), "<f8").reshape(a, b, d)
+                whole[at[0] : at[0] + a, at[1] : at[1] + b, at[2] : at[2] + d] = np.frombuffer(data.as_buffer(), router.kinds[k]).reshape(a, b, d)
         got = plan.compute(wanted, arrays)
         return pa.Table.from_batches([write([(c, wanted["n"][0], wanted["y"][0], wanted["x"][0], got)])])
 
@@ -440,8 +448,10 @@ def from_arrays(df: DataFrame, n: str, values: str, height: int, width: int, cha
             for c in range(channels):
                 yield c, i, 0, 0, frame[c]
 
+    kinds = {"float": "<f4", "tinyint": "i1", "smallint": "<i2", "int": "<i4"}
+    kind = kinds.get(df.schema[values].dataType.elementType.simpleString(), "<f8")
     shape, one = Shape(frames, channels, height, width), Layout(1, height, width)
-    return BlockPipe([Table(df.select(F.col(n).cast("long").alias("n"), F.col(values)), read, "n", one, shape)], Source(0, shape), layout or one)
+    return BlockPipe([Table(df.select(F.col(n).cast("long").alias("n"), F.col(values)), read, "n", one, shape, kind)], Source(0, shape), layout or one)
 
 
 def from_pixels(pipe, layout: Layout | None = None) -> BlockPipe:
