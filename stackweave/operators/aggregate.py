@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import stack_quantiles
 from .window import PIXEL, cumulative_mean
 
 
@@ -42,7 +43,9 @@ def minmax(df: DataFrame, *by: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, levels: list[float], *by: str) -> DataFrame:
-    """Quantiles with linear interpolation, an array."""
+    """Quantiles with linear interpolation, an array: of each group, or of the whole stack by counts."""
+    if not by:
+        return stack_quantiles(df, levels)
     return df.groupBy(*by).agg(F.expr(f"percentile(v, array({', '.join(map(str, levels))}))").alias("q"))
 
 
@@ -65,7 +68,7 @@ def valley_cutoff(df: DataFrame, bins: int = 256, level: float = 0.9) -> DataFra
     Values are mapped to 0..1; of equal bins the first counts.
     """
     h = histogram(df, bins)
-    ends = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.expr(f"percentile(v, {level})").alias("q"))
+    ends = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).crossJoin(F.broadcast(stack_quantiles(df, [level]).select(F.get("q", F.lit(0)).alias("q"))))  # one row each
     upper = ends.select(F.ceil((F.col("q") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8) * bins).cast("int").alias("upper"))
     peak = h.agg(F.min(F.struct((-F.col("count")).alias("m"), "bin"))["bin"].alias("peak"))
     both = h.crossJoin(F.broadcast(peak)).crossJoin(F.broadcast(upper)).where((F.col("bin") >= F.col("peak")) & (F.col("bin") < F.col("upper")))

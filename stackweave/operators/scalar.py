@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.index import Halo, Shape, whole
 from ..plans.pipe import Op, elementwise
+from .order import stack_quantiles
 
 bytes_to_float01 = elementwise("bytes_to_float01", lambda v: v / F.lit(255.0))
 #: Cut off to 0..1 first, then towards zero.
@@ -75,8 +76,8 @@ def qtile(low: float = 0.02, high: float = 0.98, per: str = "stack") -> Op:
     """Cuts values off at two quantiles, interpolated linearly."""
 
     def apply(df: DataFrame, _: Shape) -> DataFrame:
-        # one pass for both quantiles; percentile() keeps counts of distinct values, not rows
-        ends = df.groupBy(*_scope(per)).agg(F.expr(f"percentile(v, array({low}, {high}))").alias("_q"))
+        # percentile() keeps counts of the distinct values of a group: of a frame, but not of a stack
+        ends = df.groupBy("n").agg(F.expr(f"percentile(v, array({low}, {high}))").alias("_q")) if _scope(per) else stack_quantiles(df, [low, high]).withColumnRenamed("q", "_q")
         both = df.join(ends, "n") if _scope(per) else df.crossJoin(F.broadcast(ends))
         return both.withColumn("v", F.least(F.greatest(F.col("v"), F.get("_q", F.lit(0))), F.get("_q", F.lit(1)))).drop("_q")
 
