@@ -42,16 +42,18 @@ def within(ranges: dict) -> Column:
 
 
 class FramePipe:
-    def __init__(self, frame: DataFrame, shape: Shape, ops: tuple[Op, ...] = ()):
-        self.frame, self.source_shape, self.ops = frame, shape, ops
+    """ticks: a table (n, ticks) of the source frames' clock ticks, if the source has them."""
+
+    def __init__(self, frame: DataFrame, shape: Shape, ops: tuple[Op, ...] = (), ticks: DataFrame | None = None):
+        self.frame, self.source_shape, self.ops, self.ticks = frame, shape, ops, ticks
 
     def then(self, op: Op | Chain | Callable[[Column], Column]) -> FramePipe:
         """Adds an operator, a chain of them, or a function of the value column."""
         if isinstance(op, Chain):
-            return FramePipe(self.frame, self.source_shape, (*self.ops, *op.ops))
+            return FramePipe(self.frame, self.source_shape, (*self.ops, *op.ops), self.ticks)
         if not isinstance(op, Op):
             op = elementwise(getattr(op, "__name__", "function"), op)
-        return FramePipe(self.frame, self.source_shape, (*self.ops, op))
+        return FramePipe(self.frame, self.source_shape, (*self.ops, op), self.ticks)
 
     __or__ = then
 
@@ -103,6 +105,19 @@ class FramePipe:
         ranges, picked = normalise(index, self.shape)
         return self._run(ranges).drop(*picked)
 
+    def timestamps(self, index=slice(None)) -> DataFrame:
+        """n and ticks of the output's frames in a range: those of the first source frame that each one reads."""
+        if self.ticks is None:
+            raise ValueError("the source has no ticks")
+        ranges, _ = normalise(index, self.shape)
+        step = 1
+        for op in self.ops:
+            step *= op.halo.reach.get("n", Reach()).stride
+        a, b = ranges["n"]
+        first = self.needs(ranges | {"n": (0, 1)})[0]["n"][0] if b > a else 0
+        at = F.col("n") - first
+        return self.ticks.where((at >= a * step) & (at < b * step) & (at % step == 0)).select(F.floor(at / step).cast("long").alias("n"), "ticks")
+
     def batches(self, size: int, frames: int | None = None):
         """Consecutive ranges of `size` frames, lazily: start, stop and the DataFrame of each."""
         n = min(len(self), frames if frames is not None else len(self))

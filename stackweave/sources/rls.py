@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 HEADER = 30 * 1024
@@ -83,8 +86,6 @@ class RawRecording(DataSource):
 
 def load(spark, path: str, max_frames: int | None = None, frames_per_task: int = 512):
     """The recording as a FramePipe; the file has to be at the same path on all machines."""
-    from pyspark.sql import functions as F
-
     from ..plans.index import Shape
     from ..plans.pipe import FramePipe
 
@@ -93,6 +94,35 @@ def load(spark, path: str, max_frames: int | None = None, frames_per_task: int =
     head = read_header(path)
     n = min(head["frames"], max_frames) if max_frames else head["frames"]
     packed = spark.read.format("raw_recording").option("frames_per_task", frames_per_task).options(**({"max_frames": max_frames} if max_frames else {})).load(path)
-    bytes_ = packed.select("n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("px")), lambda k: F.conv(F.hex(F.col("px").substr(k, F.lit(1))), 16, 10).cast("double"))).alias("p", "v"))
+    bytes_ = packed.select("n", F.posexplode(_values()("px")).alias("p", "v"))
     frame = bytes_.select("n", F.lit(0).alias("c"), F.floor(F.col("p") / head["width"]).cast("int").alias("y"), (F.col("p") % head["width"]).cast("int").alias("x"), "v")
-    return FramePipe(frame, Shape(n, 1, head["height"], head["width"]))
+    return FramePipe(frame, Shape(n, 1, head["height"], head["width"]), ticks=packed.select("n", "ticks"))
+
+
+def _values():
+    """The bytes of a frame as numbers, a batch of frames at once."""
+    @F.pandas_udf("array<double>")
+    def values(frames: pd.Series) -> pd.Series:
+        return frames.map(lambda b: np.frombuffer(b, np.uint8).astype(np.float64))
+
+    return values
+
+
+def blocks(spark, path: str, max_frames: int | None = None, frames_per_task: int = 64, layout=None):
+    """The recording as a BlockPipe: a row of bytes for each frame, no row for a pixel."""
+    from ..plans.blocks import BlockPipe, Layout, Source, Table
+    from ..plans.index import Shape
+
+    spark.dataSource.register(RawRecording)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters on n
+    head = read_header(path)
+    n = min(head["frames"], max_frames) if max_frames else head["frames"]
+    packed = spark.read.format("raw_recording").option("frames_per_task", frames_per_task).options(**({"max_frames": max_frames} if max_frames else {})).load(path)
+    h, w = head["height"], head["width"]
+
+    def read(batch):
+        for number, frame in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield 0, number, 0, 0, np.frombuffer(frame.as_buffer(), np.uint8).reshape(1, h, w)
+
+    shape, one = Shape(n, 1, h, w), Layout(1, h, w)
+    return BlockPipe([Table(packed.select(F.col("n"), F.col("px")), read, "n", one, shape, "u1")], Source(0, shape), layout or one)

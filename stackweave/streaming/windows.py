@@ -44,9 +44,37 @@ def windowed_mean(events: DataFrame, time: str, value: str, by: list[str], lengt
     return t.groupBy(F.window(time, length), *by).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).select(F.col("window.start").alias("start"), *by, "mean", "n")
 
 
-def append_encoded(frames: DataFrame, path: str, checkpoint: str):
-    """Starts a stream that encodes packed frames (n, px) and appends them to an encoded stack's folder."""
-    from ..sources.encoded import _encode
+def append_encoded(frames: DataFrame, path: str, checkpoint: str, channels: int, height: int, width: int, kind: str = "uint8"):
+    """Starts a stream that encodes packed frames (n, px and, if there are any, ticks) and adds them to a growing encoded stack.
 
-    coded = frames.select("n", _encode("uint8", 0.0)("px").alias("payload")).withColumn("length", F.length("payload").cast("long"))
-    return coded.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    Each batch is a folder of its own and a line in the log; both are written over when Spark runs a batch again, so a
+    frame is there once. Offsets go on from the bytes of the batches before. encoded.load reads what the log names, while
+    the stream runs, too. A new stream with the same checkpoint goes on where the last one ended.
+    """
+    from pyspark.errors import AnalysisException
+
+    from ..operators.window import exclusive_offsets
+    from ..sources import encoded
+
+    spark = frames.sparkSession
+    try:
+        encoded.header(spark, path)
+    except AnalysisException:
+        encoded.put_header(spark, path, encoded.Header(encoded.FORMAT, channels, height, width, encoded.Codec(kind)))
+
+    def before(batch: int) -> int:
+        try:
+            return encoded.batches(spark, path).where(F.col("batch") < batch).agg(F.sum("bytes")).head()[0] or 0
+        except AnalysisException:
+            return 0  # no log yet
+
+    def add(df: DataFrame, batch: int) -> None:
+        ticks = F.col("ticks").cast("long") if "ticks" in df.columns else F.lit(None).cast("long")
+        coded = df.select("n", ticks.alias("ticks"), encoded._encode(kind, 0.0)("px").alias("payload")).withColumn("length", F.length("payload").cast("long"))
+        start, folder = before(batch), f"{path}/frames/batch={batch}"
+        placed = exclusive_offsets(coded).select("n", "ticks", (F.col("offset") + start).alias("offset"), "length", "payload")
+        placed.repartitionByRange("n").sortWithinPartitions("n").write.mode("overwrite").parquet(folder)
+        line = spark.read.schema(placed.schema).parquet(folder).agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("n").alias("last"))
+        line.coalesce(1).write.mode("overwrite").parquet(f"{path}/log/batch={batch}")
+
+    return frames.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

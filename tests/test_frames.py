@@ -235,6 +235,9 @@ def test_recordings(spark, pipe, stack, tmp_path):
     back = registry.load(spark, path)
     assert back.shape == pipe.shape and np.allclose(back.to_numpy(), stack)
     assert rls.load(spark, path, max_frames=5).shape.n == 5
+    assert sorted(map(tuple, back.timestamps(slice(2, 4)).collect())) == [(2, 1014), (3, 1021)]
+    packed = rls.blocks(spark, path)
+    assert packed.tables[0].kind == "u1" and np.allclose(packed.to_numpy(), stack)
     raw = spark.read.format("raw_recording").option("frames_per_task", 3).load(path)
     assert sorted(r.ticks for r in raw.where("n >= 4 and n < 6").collect()) == [1028, 1035]
     assert raw.where("n >= 4 and n < 6").rdd.getNumPartitions() == 1

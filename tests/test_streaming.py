@@ -1,5 +1,7 @@
 import numpy as np
 
+from stackweave.plans.index import Shape
+from stackweave.sources import encoded, registry
 from stackweave.streaming.windows import append_encoded, streamed_moving, windowed_mean
 
 
@@ -33,9 +35,42 @@ def test_event_time_windows(spark, tmp_path):
 
 
 def test_frames_are_appended(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([(n, [float(n)] * 4) for n in range(6)], "n long, px array<double>").write.parquet(source)
-    q = append_encoded(spark.readStream.schema("n long, px array<double>").parquet(source), target, str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    rows = spark.read.parquet(target).collect()
-    assert sorted(r.n for r in rows) == list(range(6)) and all(r.length == len(r.payload) for r in rows)
+    source, target, held = str(tmp_path / "in"), str(tmp_path / "out.frames.parquet"), str(tmp_path / "cp")
+    kind, frames = "n long, px array<double>, ticks long", np.random.default_rng(1).integers(0, 256, (13, 4)).astype(float)
+
+    def more(a, b):
+        spark.createDataFrame([(n, frames[n].tolist(), 100 + n) for n in range(a, b)], kind).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        append_encoded(stream, target, held, 1, 2, 2).awaitTermination(120)
+
+    more(0, 5)
+    more(5, 8)
+    run()
+    assert encoded.load(spark, target).shape.n == 8
+    more(8, 13)
+    run()
+    pipe = registry.load(spark, target)
+    assert pipe.shape == Shape(13, 1, 2, 2) and np.allclose(pipe.to_numpy()[:, 0].reshape(13, 4), frames)
+    assert sorted(map(tuple, pipe.timestamps(slice(3, 5)).collect())) == [(3, 103), (4, 104)]
+    rows = sorted(map(tuple, encoded.stored(spark, target).select("n", "offset", "length").collect()))
+    assert [o for _, o, _ in rows] == np.cumsum([0, *(n for _, _, n in rows)])[:-1].tolist()  # exclusive, over batches, too
+    assert encoded.batches(spark, target).count() == 3 and encoded.ratio(spark, target) > 0
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    source, target, held = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "cp"
+    spark.createDataFrame([(n, [float(n)] * 4) for n in range(6)], "n long, px array<double>").coalesce(1).write.parquet(source)
+
+    def run():
+        append_encoded(spark.readStream.schema("n long, px array<double>").parquet(source), target, str(held), 1, 2, 2).awaitTermination(120)
+
+    run()
+    for name in ("0", ".0.crc"):  # the batch was written, but its end was not noted
+        (held / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert sorted(r.n for r in encoded.stored(spark, target).collect()) == list(range(6)) and encoded.load(spark, target).shape.n == 6
+    # frames of a batch that never came to its line in the log are not read
+    spark.createDataFrame([(9, None, 0, 1, b"x")], "n long, ticks long, offset long, length long, payload binary").write.parquet(f"{target}/frames/batch=7")
+    assert encoded.stored(spark, target).count() == 6
