@@ -177,7 +177,8 @@ _WRITERS = {"blocks": (write_blocks, SCHEMA), "pixels": (write_pixels, PIXELS)}
 class Table:
     """A table of a plan: read(batch) gives its blocks, `n` is the column of a row's first frame, layout its blocks' sizes.
 
-    kind is the smallest type that holds its values exactly: pieces are exchanged as that.
+    kind is the smallest type that holds its values exactly: pieces are exchanged as that. y and x are the columns of a
+    row's first row and column, if it has them: a wanted range filters by all three.
     """
 
     frame: DataFrame
@@ -186,6 +187,17 @@ class Table:
     layout: Layout
     shape: Shape
     kind: str = "<f8"
+    y: str | None = None
+    x: str | None = None
+
+    def within(self, ranges: Ranges) -> DataFrame:
+        """The rows whose blocks can reach into the ranges."""
+        df = self.frame
+        for axis, column in (("n", self.n), ("y", self.y), ("x", self.x)):
+            a, b = ranges[axis]
+            if column and (a, b) != (0, self.shape[axis]):
+                df = df.where((F.col(column) > a - self.layout[axis]) & (F.col(column) < b))
+        return df
 
 
 class _Router:
@@ -324,9 +336,7 @@ class BlockPipe:
         need = plan.need(ranges)
         frames = []
         for k, t in enumerate(self.tables):
-            lo, hi = need[k]["n"] if k in need else (0, 0)
-            cut = t.frame if (lo, hi) == (0, t.shape.n) else t.frame.where((F.col(t.n) > lo - t.layout.n) & (F.col(t.n) < hi))
-            frames.append(cut)
+            frames.append(t.within(need[k]) if k in need else None)
         if self.aligned(ranges):
             return frames[0].mapInArrow(_in_place(plan, self.tables[0].read, ranges, write), schema)
         dealt = None
@@ -427,7 +437,7 @@ def _meet(router: _Router, write):
 
 def stored(frame: DataFrame, shape: Shape, layout: Layout) -> BlockPipe:
     """A pipe over a table of blocks (SCHEMA), all of them of this layout."""
-    return BlockPipe([Table(frame.select(*_NAMES), read_blocks, "n0", layout, shape)], Source(0, shape), layout)
+    return BlockPipe([Table(frame.select(*_NAMES), read_blocks, "n0", layout, shape, "<f8", "y0", "x0")], Source(0, shape), layout)
 
 
 def from_arrays(df: DataFrame, n: str, values: str, height: int, width: int, channels: int = 1, frames: int | None = None, layout: Layout | None = None) -> BlockPipe:

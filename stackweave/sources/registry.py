@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 from ..plans.pipe import FramePipe
-from . import encoded, rls
+from . import encoded, rls, zarr
 
 READERS: dict[str, Callable[..., FramePipe]] = {}
 CACHES = ("no_caching", "cache_raw", "cache_compressed", "cache_raw_reuse", "cache_compressed_reuse")
@@ -23,6 +23,7 @@ def register(pattern: str, reader: Callable[..., FramePipe]) -> None:
 
 register("*.rls", rls.load)
 register("*.frames.parquet", encoded.load)
+register("*.zarr", zarr.load)
 
 
 def reader_of(path: str) -> Callable[..., FramePipe]:
