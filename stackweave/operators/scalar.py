@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import Halo, Shape, whole
+from ..plans.index import AXES, Halo, Shape, whole
 from ..plans.pipe import Op, elementwise
 from .order import stack_quantiles
 
@@ -120,6 +120,33 @@ class _Swapped(Halo):
 transpose = Op("transpose", lambda df, _: df.select(*(F.col({"y": "x", "x": "y"}.get(c, c)).alias(c) for c in df.columns)), _Swapped(), shape=lambda s: s.with_(y=s.x, x=s.y))
 
 
+class _Permuted(Halo):
+    """The reach of an operator whose axes are the source's in another order."""
+
+    def __init__(self, axes: tuple[str, ...]):
+        super().__init__({})
+        object.__setattr__(self, "axes", axes)
+
+    def source(self, ranges: dict, shape: Shape) -> dict:
+        return {old: ranges[new] for new, old in zip(AXES, self.axes, strict=True)}
+
+
+def permute(*axes: str) -> Op:
+    """The axes in another order: permute("x", "c", "y", "n") counts columns as frames, rows as rows and frames as columns."""
+    if sorted(axes) != sorted(AXES):
+        raise ValueError("each of the four axes has to be named once")
+
+    def apply(df: DataFrame, _: Shape) -> DataFrame:
+        kinds = {"n": "long"}
+        return df.select(*(F.col(old).cast(kinds.get(new, "int")).alias(new) for new, old in zip(AXES, axes, strict=True)), "v")
+
+    return Op(f"permute({', '.join(axes)})", apply, _Permuted(axes), shape=lambda s: Shape(*(s[old] for old in axes)))
+
+
+#: Columns, rows and frames, as environments that count the first axis fastest lay them out; and back.
+columns_first = permute("x", "c", "y", "n")
+
+
 def apply_mask(mask: DataFrame) -> Op:
     """Multiplies each frame by a mask (y, x, m). A mask has a frame's size; Spark sends it to all tasks if it is small."""
     return Op("apply_mask", lambda df, _: df.join(mask.select("y", "x", "m"), ["y", "x"]).withColumn("v", F.col("v") * F.col("m")).select(*df.columns))

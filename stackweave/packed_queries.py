@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
-from .operators import packed, shaped
+from pyspark.sql import functions as F
+
+from .operators import aggregate, masks, order, packed, scalar, shaped
 from .plans import blocks
 from .plans.blocks import BlockPipe, Layout
 from .plans.trace import trace
-from .queries import E0, ORACLE, PIX, S0, U0, W25, query, sales, table
+from .plans.counting import FrameCounter
+from .queries import E0, ORACLE, PIX, S0, U0, W25, emb, query, sales, table, unit
+from .sinks.recording import scratch_folder
+from .sources import images, zarr
 
 
 def emb_blocks(spark, sf_dir, layout: Layout | None = None) -> BlockPipe:
@@ -175,3 +180,73 @@ def block_frame_contrast(spark, sf_dir):
 @query("block_opening", f"WITH {S0}, k AS (SELECT * FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)), o AS (SELECT a.n, a.y, a.x, min(b.v) AS v FROM s a, k JOIN s b ON b.n = a.n AND b.y = least(greatest(a.y + dy, 0), 6) AND b.x = least(greatest(a.x + dx, 0), 9) GROUP BY ALL) SELECT a.n, CAST(0 AS BIGINT) AS c, a.y, a.x, round(max(b.v), 6) + 0.0 AS v FROM o a, k JOIN o b ON b.n = a.n AND b.y = least(greatest(a.y + dy, 0), 6) AND b.x = least(greatest(a.x + dx, 0), 9) GROUP BY a.n, a.y, a.x")
 def block_opening(spark, sf_dir):
     return (blocks.from_pixels(sales(spark, sf_dir), Layout(16, 4, 5)) | packed.opening(3)).all()
+
+
+_MASKS = f"""{U0}, p AS (SELECT n // 256 AS block, y, x, stddev_samp(v) AS s, avg(v) AS m FROM u GROUP BY ALL),
+w AS (SELECT *, (s - min(s) OVER k) / (max(s) OVER k - min(s) OVER k + 1e-8) AS s1, sqrt((m - min(m) OVER k) / (max(m) OVER k - min(m) OVER k + 1e-8) + 1e-6) AS m1 FROM p WINDOW k AS (PARTITION BY block)),
+d AS (SELECT block, 's' AS kind, y, x, s1 AS v FROM w UNION ALL SELECT block, 'm', y, x, m1 FROM w),
+z AS (SELECT *, (v - min(v) OVER k) / (max(v) OVER k - min(v) OVER k + 1e-8) AS z, (max(v) OVER k - min(v) OVER k) / (max(v) OVER k - min(v) OVER k + 1e-8) AS top FROM d WINDOW k AS (PARTITION BY block, kind)),
+hh AS (SELECT g.block, g.kind, g.bin, count(z.b) AS count FROM (SELECT DISTINCT block, kind, bin FROM d, range(256) r(bin)) g LEFT JOIN (SELECT block, kind, CAST(least(floor(z / top * 256), 255) AS BIGINT) AS b FROM z) z
+      ON z.block = g.block AND z.kind = g.kind AND z.b = g.bin GROUP BY ALL),
+k AS (SELECT block, kind, first(bin ORDER BY count DESC, bin) AS peak FROM hh GROUP BY ALL),
+q AS (SELECT block, kind, ceil(quantile_cont(v, 0.9) * 256) AS upper FROM d GROUP BY ALL),
+c AS (SELECT k.block, k.kind, coalesce(first(hh.bin ORDER BY hh.count, hh.bin) FILTER (WHERE hh.bin >= peak AND hh.bin < upper), any_value(peak)) / 256.0 AS cutoff FROM k JOIN q USING (block, kind) JOIN hh USING (block, kind) GROUP BY ALL),
+o AS (SELECT block, y, x, max(CAST(v > cutoff AS INT)) AS m FROM d JOIN c USING (block, kind) GROUP BY ALL),
+o1 AS (SELECT *, (m - min(m) OVER k) / (max(m) OVER k - min(m) OVER k + 1e-8) AS m1 FROM o WINDOW k AS (PARTITION BY block)),
+f AS (SELECT a.block, a.y, a.x, any_value(a.m) AS m, sum(b.m1) / 9 AS blurred FROM o1 a, range(-1, 2) i(dy), range(-1, 2) j(dx), o1 b
+      WHERE b.block = a.block AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7) GROUP BY a.block, a.y, a.x)
+SELECT block, CAST(0 AS BIGINT) AS c, y, x, CAST(CASE WHEN blurred > 0.5 THEN m ELSE 0 END AS BIGINT) AS m FROM f"""
+
+
+@query("foreground_mask", f"WITH {_MASKS}")
+def foreground_mask(spark, sf_dir):
+    """Before small parts are cleaned away: frames of 8 x 8 have no others."""
+    return masks.foreground_mask(unit_blocks(spark, sf_dir, Layout(100, 4, 8)), 256, clean=False)
+
+
+@query(
+    "prepared_gradient",
+    f"""WITH {U0}, k(y, x, m) AS (SELECT y, x, CAST(avg(v) > 0.5 AS INT) FROM u GROUP BY ALL), l AS (SELECT n, y, x, ln(v + 0.5) AS v FROM u),
+z AS (SELECT n, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8) AS v FROM l WINDOW w AS (PARTITION BY n)),
+g AS (SELECT a.n, a.y, a.x, sum(coalesce(b.v, 0) * dx * (2 - abs(dy))) AS gx, sum(coalesce(b.v, 0) * dy * (2 - abs(dx))) AS gy
+      FROM (SELECT a.*, dy, dx FROM z a, range(-1, 2) i(dy), range(-1, 2) j(dx)) a LEFT JOIN z b ON b.n = a.n AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.n, a.y, a.x)
+SELECT n, CAST(0 AS BIGINT) AS c, y, x, round(-gx / (sqrt(gx * gx + gy * gy + 1) + 1e-6) * m, 6) + 0.0 AS v FROM g JOIN k USING (y, x)""",
+)
+def prepared_gradient(spark, sf_dir):
+    pipe = unit(spark, sf_dir)
+    mask = aggregate.mean_frame(pipe.all()).select("y", "x", (F.col("v") > 0.5).cast("int").alias("m"))
+    return (pipe | (lambda v: v + 0.5) | masks.prepared_gradient("x", mask)).all()
+
+
+@query("permuted_axes", f"WITH {S0} SELECT x AS n, CAST(c AS BIGINT) AS c, y, n AS x, round(v, 6) AS v FROM s WHERE x BETWEEN 2 AND 5 AND n < 40")
+def permuted_axes(spark, sf_dir):
+    return (sales(spark, sf_dir) | scalar.columns_first)[2:6, :, :, 0:40]
+
+
+@query("stack_quantiles", f"WITH {E0} SELECT round(quantile_cont(v, 0.01), 6) AS q01, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.995), 6) AS q995 FROM e")
+def stack_quantiles(spark, sf_dir):
+    q = order.stack_quantiles(emb(spark, sf_dir).all(), [0.01, 0.5, 0.995])
+    return q.select(*(F.get("q", F.lit(k)).alias(name) for k, name in enumerate(("q01", "q50", "q995"))))
+
+
+@query("counted_frames", f"WITH {U0} SELECT CAST(max(n) + 1 AS DOUBLE) AS frames, round(sum(v), 6) AS total FROM u")
+def counted_frames(spark, sf_dir):
+    """The frames that passed while something else was summed: no job of its own counts them."""
+    counter = FrameCounter()
+    total = (unit(spark, sf_dir) | counter.op).all().agg(F.sum("v").alias("total")).head()[0]
+    return spark.createDataFrame([(counter.count, total)], "frames double, total double")
+
+
+@query("image_roundtrip", f"WITH {U0} SELECT n, CAST(c AS BIGINT) AS c, y, x, round(v * 255, 6) AS v FROM u")
+def image_roundtrip(spark, sf_dir):
+    """Frames as image files in a table, and decoded again."""
+    bytes_ = emb_blocks(spark, sf_dir) | packed.elementwise("bytes", _to_unit)
+    return images.from_files(images.encoded(bytes_), bytes_.shape).all()
+
+
+@query("chunked_roundtrip", f"WITH {U0} SELECT n, CAST(c AS BIGINT) AS c, y, x, round(v * 255, 6) AS v FROM u WHERE n BETWEEN 20 AND 69 AND x BETWEEN 1 AND 5")
+def chunked_roundtrip(spark, sf_dir):
+    """Frames written as a folder of chunks, and a range read from it."""
+    path = f"{scratch_folder(spark).removeprefix('file://')}/a.zarr"
+    zarr.save(emb_blocks(spark, sf_dir, Layout(64, 4, 8)) | packed.elementwise("bytes", _to_unit), path)
+    return zarr.blocks(spark, path)[20:70, :, :, 1:6]

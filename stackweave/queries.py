@@ -554,12 +554,15 @@ def page_manifest(spark, sf_dir):
 
 @query("encoded_roundtrip", f"WITH {U0} SELECT n, CAST(c AS BIGINT) AS c, y, x, round(v * 255, 6) AS v FROM u")
 def encoded_roundtrip(spark, sf_dir):
-    """Frames encoded and decoded again."""
+    """Frames saved, verified and loaded again."""
+    from .sinks.recording import scratch_folder
     from .sources import encoded
 
-    bytes_ = unit(spark, sf_dir) | (lambda v: F.round(v * 255))
-    back = encoded.encode(bytes_).select("n", F.posexplode(encoded._decode("uint8")("payload")).alias("p", "v"))
-    return back.select("n", F.lit(0).cast("long").alias("c"), F.floor(F.col("p") / 8).alias("y"), (F.col("p") % 8).cast("long").alias("x"), "v")
+    bytes_, path = unit(spark, sf_dir) | (lambda v: F.round(v * 255)), f"{scratch_folder(spark)}/a.frames.parquet"
+    encoded.save(bytes_, path)
+    if not encoded.verify(bytes_, path):
+        raise ValueError(f"{path} does not hold what was saved")
+    return encoded.load(spark, path).all().select("n", F.col("c").cast("long").alias("c"), "y", "x", "v")
 
 
 @query("image_digest_per_frame", f"WITH {E0} SELECT n, round(sum(v * (y * 8 + x + 1)), 6) AS v, count(*) AS pixels FROM e GROUP BY n")

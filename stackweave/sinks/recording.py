@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +41,46 @@ def save_recording(pipe: FramePipe, path: str, ticks: DataFrame | None = None, s
     frames.foreachPartition(write)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for tables between jobs in the one that all machines share; a local one only where the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to be set to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="stackweave-")
+    return f"{base.rstrip('/')}/stackweave-{uuid.uuid4().hex}"
+
+
+def copy_files(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> DataFrame:
+    """Copies a folder's files, each in a task of its own, and returns the manifest of both folders, see manifest().
+
+    A file is written under a name of its own and renamed when it is whole and has the digest of what was read. The target is
+    a folder that all machines have at the same path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.sha2("content", 512).alias("digest"))
+    folder = target.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def put(rows):
+        for r in rows:
+            path = f"{folder}/{r.name}"
+            if os.path.exists(path) and not overwrite:
+                with open(path, "rb") as f:
+                    if hashlib.sha512(f.read()).hexdigest() != r.digest:
+                        raise FileExistsError(path)
+                continue
+            own = f"{path}.{uuid.uuid4().hex}.part"
+            with open(own, "wb") as f:
+                f.write(r.content)
+            with open(own, "rb") as f:
+                if hashlib.sha512(f.read()).hexdigest() != r.digest:
+                    raise OSError(f"{own} is not what was written")
+            os.replace(own, path)
+
+    files.foreachPartition(put)
+    return manifest(spark, source, target)
+
+
 def manifest(spark: SparkSession, source: str, target: str) -> DataFrame:
     """name, both digests and whether they are equal for each file of two folders."""
 
