@@ -17,6 +17,7 @@ import ctypes
 import functools
 import inspect
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -119,13 +120,15 @@ def small_batches(spark: SparkSession):
 class Scratch:
     """Tables written to the folder that all machines share, which cut lineage and survive lost executors.
 
-    The folder is spark.checkpoint.dir; a folder of its own is made only where that is unset.
+    The folder is spark.checkpoint.dir; where that is unset, a local master gets a folder of its own and a cluster an error.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to be set to a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="stackweave-")
         self.base = f"{base.rstrip('/')}/stackweave-{uuid.uuid4().hex}"
         self.n = 0

@@ -58,6 +58,28 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.linked_components(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op5_ngram_jaccard_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w
+), n AS MATERIALIZED (
+  SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+), pairs AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b, shared = x.n AND shared = y.n AS same FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, least(n.doc_id, (SELECT min(b) FROM links WHERE a = n.doc_id AND same)) AS class_id, min(other) AS component_id
+FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id
+"""
+
+
 @query("op4_pii")
 def op4_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
