@@ -6,12 +6,11 @@ pixel's frames are one window partition, so the work is spread over the pixels;
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import Halo, Reach, Shape
+from ..plans.ordered import EmaRate, scanned
 from ..plans.pipe import Op
 
 PIXEL = ("c", "y", "x")
@@ -63,8 +62,10 @@ def cumulative_mean(df: DataFrame) -> DataFrame:
 
 def elapsed(df: DataFrame, by: list[str], ticks: str = "ticks", order: str = "n", frequency: int = 1000) -> DataFrame:
     """Adds elapsed_ns: nanoseconds since the first frame of each recording, from its clock ticks."""
-    first = F.first(ticks).over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("elapsed_ns", ((F.col(ticks) - first) * (1e9 / frequency)).cast("long"))
+    starts = df.groupBy(*by).agg(F.min_by(F.col(ticks), F.col(order)).alias("_first"))  # one row for each recording
+    both = df.alias("r").join(starts.alias("s"), [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in by])
+    elapsed_ns = ((F.col(f"r.`{ticks}`") - F.col("s._first")) * (1e9 / frequency)).cast("long")
+    return both.select(*(F.col(f"r.`{c}`") for c in df.columns), elapsed_ns.alias("elapsed_ns"))
 
 
 def exclusive_offsets(df: DataFrame, length: str = "length", order: str = "n", block: int = 1 << 16) -> DataFrame:
@@ -82,33 +83,8 @@ def exclusive_offsets(df: DataFrame, length: str = "length", order: str = "n", b
 def ema_rate(df: DataFrame, by: list[str], time: str, value: str, alpha: float = 0.2) -> DataFrame:
     """Adds ema: the rate of growth of a counter, averaged exponentially; rows without growth leave it as it is.
 
-    The first positive rate is the start. ema(m) = a(m) + (1 - alpha) ema(m - 1) over the growing rows is a recurrence
-    that is linear in what came before, so blocks of rows are summed by themselves, each block becomes one pair of a
-    factor and an offset, and a run through a key's short list of pairs says what each block starts with. The work is
-    linear; a recording's rows are ordered in one window partition, which can spill.
+    The first positive rate is the start. What a stretch of rows does to the average is a linear map, and maps of
+    neighbouring stretches are combined, so a key's rows are spread over tasks, see plans.ordered. Times and values may not be
+    null.
     """
-    keep = 1 - alpha
-    size = max(1, int(6 * math.log(10) / -math.log(keep))) if 0 < keep < 1 else 1  # powers within a block stay small
-    w = Window.partitionBy(*by).orderBy(time)
-    grown = df.withColumn("_dv", F.col(value) - F.lag(value).over(w)).withColumn("_dt", F.greatest(F.col(time) - F.lag(time).over(w), F.lit(1e-12)))
-    rated = grown.withColumn("_r", F.when(F.col("_dv") > 0, F.col("_dv") / F.col("_dt")))
-    rated = rated.withColumn("_m", F.count("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rated = rated.withColumn("_b", F.floor((F.col("_m") - 1) / size)).withColumn("_k", (F.col("_m") - 1) % size)
-    added = F.when(F.col("_m") == 1, F.col("_r")).otherwise(alpha * F.col("_r")) * F.pow(F.lit(keep), -F.col("_k")) if keep > 0 else F.col("_r")
-    inside = Window.partitionBy(*by, "_b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    rated = rated.withColumn("_s", F.sum(added).over(inside) * F.pow(F.lit(keep), F.col("_k")) if keep > 0 else F.last("_r", True).over(inside))
-    pairs = rated.where("_m > 0").groupBy(*by, "_b").agg(F.max(F.struct("_k", F.struct(time), "_s")).alias("_z")).select(*by, "_b", (F.col("_z._k") + 1).alias("_n"), F.col("_z._s").alias("_o"))
-
-    def starts(rows):
-        rows = rows.sort_values("_b")
-        out, e = [], 0.0
-        for n, o in zip(rows["_n"], rows["_o"], strict=True):
-            out.append(e)
-            e = o + keep**n * e
-        return rows.assign(_start=out)[[*by, "_b", "_start"]]
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*by).schema)
-    before = pairs.groupBy(*by).applyInPandas(starts, f"{kinds}, _b long, _start double")
-    both = rated.alias("r").join(before.alias("q"), [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in (*by, "_b")], "left")
-    ema = F.when(F.col("_m") > 0, F.col("_s") + F.pow(F.lit(keep), F.col("_k") + 1) * F.coalesce("_start", F.lit(0.0)))
-    return both.withColumn("ema", ema).select(*(F.col(f"r.{c}") for c in df.columns), "ema")
+    return scanned(df, by, [time], EmaRate(time, value, alpha))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import aggregate, fuse, geometry, noise, scalar, spatial, spectral, window
+from .plans import ordered
 from .plans.index import Shape
 from .plans.pipe import FramePipe
 from .sources import stacks
@@ -539,10 +540,8 @@ l AS (SELECT user_id, t, list(dv) FILTER (WHERE dv > 0) OVER (PARTITION BY user_
 SELECT user_id, t, round(list_reduce(rs, lambda a, b: 0.2 * b + 0.8 * a), 6) AS ema FROM l""",
 )
 def ema_rate(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("t"), F.sum(F.when(F.col("value") > 0, F.col("value")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("value") > 0, F.col("value")).alias("grown"))
+    e = ordered.scanned(rows, ["user_id"], ["ts", "event_id"], ordered.Numbered("k", {"total": "grown"})).select("user_id", (F.col("k") + 1).alias("t"), "total")
     return window.ema_rate(e, ["user_id"], "t", "total").select("user_id", "t", "ema")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.index import Shape
+from ..plans.ordered import Numbered, scanned
 from ..plans.pipe import FramePipe
 
 
@@ -32,8 +33,8 @@ def to_arrays(pipe: FramePipe) -> DataFrame:
 
 def signals(events: DataFrame, by: str, time: str, order: str, value: str) -> DataFrame:
     """n, ticks (microseconds) and v of each event within its kind, in order of time."""
-    w = Window.partitionBy(by).orderBy(time, order)
-    return events.select(by, (F.row_number().over(w) - 1).cast("long").alias("n"), F.unix_micros(F.col(time).cast("timestamp")).alias("ticks"), F.col(value).alias("v"))
+    rows = events.select(by, order, F.unix_micros(F.col(time).cast("timestamp")).alias("ticks"), F.col(value).alias("v"))
+    return scanned(rows, [by], ["ticks", order], Numbered()).select(by, "n", "ticks", "v")
 
 
 def summed_grid(df: DataFrame, n, y, x, value, shape: Shape) -> FramePipe:
