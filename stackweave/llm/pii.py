@@ -4,9 +4,10 @@ Four base kinds (email, ip, card, phone) are found by pattern and check, and alw
 are taken from each text: keys and tokens, numbers of eight digits or more, handles and names. Labelers vote on each
 candidate, yes, no or not at all: shape patterns, a gazetteer of names and one of words that only look like names, the
 words before the span, the characters around it, and its mix of characters. Expectation-maximisation estimates how
-reliable each labeler is, for spans that are personal data and for others, from the counts of vote patterns. The
-probabilities that follow are the labels of the final classifier, a naive Bayes model of the span's features, which
-decides. Vote patterns and features are bounded in number; only their sums are collected.
+reliable each labeler is, for spans that are personal data and for others, from the counts of vote patterns of one kind of
+span. A labeler that does not vote says nothing, and none is taken to be worse than chance, so spans on which all votes
+agree keep the side that they agree on. The probabilities that follow are the labels of the final classifier, a naive Bayes
+model of the features of spans of that kind, which decides. Vote patterns and features are bounded in number; only their sums are collected.
 """
 
 from __future__ import annotations
@@ -130,7 +131,9 @@ def votes(text: str, span: tuple[int, int, str]) -> list[int]:
     if kind == "secret":
         shape = 1 if re.fullmatch(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})", got) else 0 if "/" in got or got.count("-") > 2 else 2
     elif kind == "number":
-        shape = 0 if re.fullmatch(r"(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2}", got) else 1 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{13,19}", got) else 2
+        shape = 0 if re.fullmatch(r"(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2}", got) else 1 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", got) else 2
+        if 13 <= len(plain) <= 19 and plain.isdigit():
+            shape = int(luhn(plain))  # as long as a card's number: one, or none
     elif kind == "handle":
         shape = 1
     names = (1 if got in NAMES else 0 if got in NOT_NAMES else 2) if kind == "person" else 2
@@ -140,12 +143,14 @@ def votes(text: str, span: tuple[int, int, str]) -> list[int]:
     mix = 2
     if kind in ("secret", "number"):
         distinct = len(set(plain)) / min(len(plain), 16 if kind == "secret" else 10)
-        mix = 1 if distinct > 0.5 and digits >= len(plain) / 4 else 0 if distinct < 0.3 else 2
+        mix = 0 if distinct < 0.3 else 1 if kind == "secret" and distinct > 0.5 and digits >= len(plain) / 4 else 2
     return [shape, names, before, around, mix]
 
 
-def _hashed(*parts) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=4).digest(), "little") % FEATURES
+def _hashed(kind: str, *parts) -> int:
+    """A feature's place among those of its kind of span."""
+    size = FEATURES // len(ADDED)
+    return ADDED.index(kind) * size + int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=4).digest(), "little") % size
 
 
 def features(text: str, span: tuple[int, int, str]) -> list[int]:
@@ -153,7 +158,9 @@ def features(text: str, span: tuple[int, int, str]) -> list[int]:
     s, e, kind = span
     got, prior = text[s:e], _before(text, s)
     shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in got))[:12]
-    return [_hashed(kind, n, v) for n, v in (("kind", ""), ("length", len(got).bit_length()), ("shape", shape), ("word", prior[0] if prior and prior[0] in PRIVATE | PUBLIC | TITLES else "-"), ("left", text[s - 1 : s]), ("right", text[e : e + 1]), ("name", got in NAMES))]
+    digits = _SEPARATORS.sub("", got)
+    sum_fits = luhn(digits) if digits.isdigit() and digits.isascii() else None
+    return [_hashed(kind, n, v) for n, v in (("length", len(got).bit_length()), ("shape", shape), ("word", prior[0] if prior and prior[0] in PRIVATE | PUBLIC | TITLES else "-"), ("left", text[s - 1 : s]), ("right", text[e : e + 1]), ("name", got in NAMES), ("sum", sum_fits))]
 
 
 _FOUND = pa.schema(
@@ -176,24 +183,38 @@ def _extract(batches):
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
 
 
+#: What is taken for granted of a labeler that votes: so many right and wrong votes on either class.
+_RIGHT, _WRONG = 4.0, 1.0
+
+
 def reliabilities(counts: dict[int, int], rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns: the probability of each pattern, and by class, labeler and vote.
 
-    It starts from the majority of the votes, which also decides what the two classes mean. Returns the probability that
-    a span with the pattern is personal data, theta[class, labeler, vote], and the classes' shares.
+    It starts from the majority of the votes, which also decides what the two classes mean. Labelers that do not vote are
+    left out of a span's likelihood. Returns the probability that a span with the pattern is personal data, theta[class,
+    labeler, vote], where the third vote is not to vote, alike in both classes, and the classes' shares.
     """
     patterns = np.array([*itertools.product(range(3), repeat=len(LABELERS))])
     n = np.array([counts.get(k, 0) for k in range(len(patterns))], float)
+    cast = np.stack([patterns == v for v in (0, 1)])  # vote, pattern, labeler
     yes, no = (patterns == 1).sum(1), (patterns == 0).sum(1)
     p = (yes + 0.5) / (yes + no + 1)
-    theta, share = np.full((2, len(LABELERS), 3), 1 / 3), np.full(2, 0.5)
+    right, share = np.full((2, len(LABELERS)), _RIGHT / (_RIGHT + _WRONG)), np.full(2, 0.5)
     for _ in range(rounds if n.sum() else 0):
         weight = np.stack([n * (1 - p), n * p])
         share = (weight.sum(1) + 1) / (n.sum() + 2)
-        for j, v in itertools.product(range(len(LABELERS)), range(3)):
-            theta[:, j, v] = (weight[:, patterns[:, j] == v].sum(1) + 1) / (weight.sum(1) + 3)
-        log = np.log(share)[:, None] + np.stack([np.log(theta[c, np.arange(len(LABELERS)), patterns]).sum(1) for c in (0, 1)])
+        for c in (0, 1):
+            own, other = weight[c] @ cast[c], weight[c] @ cast[1 - c]
+            right[c] = (own + _RIGHT) / (own + other + _RIGHT + _WRONG)
+        below = np.maximum(1 - right.sum(0), 0) / 2  # more often yes for what isn't: then it says nothing
+        right += below
+        like = [(cast[c] * np.log(right[c]) + cast[1 - c] * np.log1p(-np.minimum(right[c], 1 - 1e-9))).sum(1) for c in (0, 1)]
+        log = np.log(share)[:, None] + np.stack(like)
         p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+    quiet = (n @ (patterns == 2) + 1) / (n.sum() + 3)
+    theta = np.empty((2, len(LABELERS), 3))
+    for c in (0, 1):
+        theta[c, :, c], theta[c, :, 1 - c], theta[c, :, 2] = right[c] * (1 - quiet), (1 - right[c]) * (1 - quiet), quiet
     return p, theta, share
 
 
@@ -205,22 +226,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     spark = docs.sparkSession
     scratch = Scratch(spark)
     kept = scratch.keep(rows(docs, id_col, text_col).mapInArrow(_extract, "id long, base array<string>, starts array<int>, ends array<int>, kinds array<int>, patterns array<int>, features array<array<int>>"))
-    each = kept.where("size(patterns) > 0").select(F.explode(F.arrays_zip("patterns", "features")).alias("c")).select("c.*")
-    counts = {r.patterns: r.n for r in each.groupBy("patterns").agg(F.count(F.lit(1)).alias("n")).collect()}  # 3 ** labelers at most
-    p, _, share = reliabilities(counts)
-    label = F.element_at(F.array(*(F.lit(float(x)) for x in p)), F.col("patterns") + 1)
+    each = kept.where("size(patterns) > 0").select(F.explode(F.arrays_zip("kinds", "patterns", "features")).alias("c")).select("c.*")
+    counts: dict[int, dict[int, int]] = {}
+    for r in each.groupBy("kinds", "patterns").agg(F.count(F.lit(1)).alias("n")).collect():  # kinds times 3 ** labelers at most
+        counts.setdefault(r.kinds, {})[r.patterns] = r.n
+    size, p, share = 3 ** len(LABELERS), np.full((len(KINDS), 3 ** len(LABELERS)), 0.5), np.full((len(KINDS), 2), 0.5)
+    for kind, own in counts.items():
+        p[kind], _, share[kind] = reliabilities(own)
+    label = F.element_at(F.array(*(F.lit(float(x)) for x in p.ravel())), F.col("kinds") * size + F.col("patterns") + 1)
     sums = each.select(label.alias("p"), F.explode("features").alias("f")).groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # FEATURES at most
     table = np.zeros((2, FEATURES))
     for r in sums:
         table[:, r.f] = r.no, r.yes
-    total = [sum((1 - p[k]) * n for k, n in counts.items()), sum(p[k] * n for k, n in counts.items())]
-    ratio = np.log((table[1] + 0.5) / (total[1] + 1)) - np.log((table[0] + 0.5) / (total[0] + 1))
-    model = spark.sparkContext.broadcast((ratio, float(np.log(share[1]) - np.log(share[0])), float(np.log(threshold / (1 - threshold)))))
+    ratio, per = np.zeros(FEATURES), FEATURES // len(ADDED)
+    for kind, own in counts.items():
+        part = slice((kind - len(BASE)) * per, (kind - len(BASE) + 1) * per)
+        total = [sum((1 - p[kind][k]) * n for k, n in own.items()), sum(p[kind][k] * n for k, n in own.items())]
+        ratio[part] = np.log((table[1, part] + 0.5) / (total[1] + 1)) - np.log((table[0, part] + 0.5) / (total[0] + 1))
+    model = spark.sparkContext.broadcast((ratio, np.log(share[:, 1]) - np.log(share[:, 0]), float(np.log(threshold / (1 - threshold)))))
 
     @F.pandas_udf("array<string>")
     def decide(starts: pd.Series, ends: pd.Series, kinds: pd.Series, marks: pd.Series) -> pd.Series:
         weights, prior, least = model.value
-        return pd.Series([[f"{KINDS[k]}:{s}:{e}" for s, e, k, f in zip(*c, strict=True) if prior + sum(weights[x] for x in f) > least] for c in zip(starts, ends, kinds, marks, strict=True)], dtype=object)
+        return pd.Series([[f"{KINDS[k]}:{s}:{e}" for s, e, k, f in zip(*c, strict=True) if prior[k] + sum(weights[x] for x in f) > least] for c in zip(starts, ends, kinds, marks, strict=True)], dtype=object)
 
     some = kept.where("size(starts) > 0").select("id", "base", decide("starts", "ends", "kinds", "features").alias("added"))
     none = kept.where("size(starts) = 0").select("id", "base", F.array().cast("array<string>").alias("added"))

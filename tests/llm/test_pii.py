@@ -69,3 +69,58 @@ def test_report(spark):
         assert starts == sorted(starts)
     assert all("secret:9:49" in got[k].spans for k in range(4, 44))
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def labelled(seed, n=1500):
+    """Texts with spans that are personal data, and others that look like them: (text, kind, got, whether it is)."""
+    import random
+
+    r = random.Random(seed)
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    words = lambda: " ".join(r.choice("the of and to in is that for it as was with on by at from".split()) for _ in range(r.randint(4, 9)))
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+
+    def card_like(valid):
+        while True:
+            d = digits(16)
+            if pii.luhn(d) == valid and d[0] != "0":
+                return d
+
+    made = []
+    for _ in range(n):
+        kind, true = r.choice(["secret", "number", "handle", "person"]), r.random() < 0.5
+        if kind == "secret":
+            got = hexes(40) if true else r.choice([f"path/{word(5)}/{word(4)}{digits(2)}/{word(3)}", f"a-{word(4)}-{word(3)}-{word(5)}-{digits(1)}"])
+            text = f'{r.choice(["token", "api_key", "secret"])} = "{got}"' if true else f"see {got} and"
+        elif kind == "number":
+            got = f"{digits(3)}-{digits(2)}-{digits(4)}" if true else r.choice([f"20{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", card_like(False)])
+            text = f"{r.choice(['ssn', 'account', 'passport'])} {got}" if true else f"{r.choice(['version', 'section', 'issue'])} {got}"
+        elif kind == "handle":
+            got, true = f"@{word(7)}", True
+            text = f"by user {got}"
+        else:
+            got = r.choice(sorted(pii.NAMES)) if true else r.choice(["License", "Monday", "January", "Figure"])
+            text = f"{r.choice(['Mr', 'Dr', 'Frau'])} {got} said" if true else f"on {got} of"
+        made.append((f"{words()} {text} {words()}", kind, got, true))
+    return made
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    made = labelled(1)
+    docs = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(made)], "doc_id long, text string")
+    added = {r.id: {(s.split(":")[0], made[r.id][0][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in r.added} for r in pii.find(docs).collect()}
+    for kind in pii.ADDED:
+        own = [(k, got, true) for k, (_, k2, got, true) in enumerate(made) if k2 == kind]
+        hits = sum((kind, got) in added[k] for k, got, true in own if true)
+        false = sum((kind, got) in added[k] for k, got, true in own if not true)
+        assert hits >= 0.9 * sum(true for *_, true in own), kind
+        assert hits >= 0.9 * (hits + false), kind
+
+
+def test_votes_that_agree_keep_their_side():
+    for vote, side in ((1, True), (0, False)):
+        for others in ([], [(2, 500)]):
+            pattern = int("".join(str(vote) if k in (0, 4) else "2" for k in range(5)), 3)
+            counts = {pattern: 157, **{int("22222", 3): n for _, n in others}}
+            assert (pii.reliabilities(counts)[0][pattern] > 0.5) == side
