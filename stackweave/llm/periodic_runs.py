@@ -176,17 +176,16 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    chosen = F.coalesce(h % 10 == 0, F.lit(False))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = whole.where(chosen).select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
-    some = some.withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
-    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    held = F.array(F.struct(words.alias("w"), F.floor(h / 10).alias("g")))  # so that words are split once, and only where they are wanted
 
-    def changed(word: Column, i: Column) -> Column:
-        return F.when(i < F.col("a"), word).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    def changed(s: Column) -> Column:
+        n = F.size(s.w)
+        a = (s.g % F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + s.g % 8))).cast("int")
+        return F.array_join(F.transform(s.w, lambda word, i: F.when(i < a, word).otherwise(F.get(s.w, (a + (i - a) % p).cast("int")))), " ")
 
-    text = F.when(F.col("n") > 0, F.array_join(F.transform("w", changed), " ")).otherwise(F.col("text"))
-    return whole.where(~chosen).unionByName(some.select("doc_id", text.alias("text")))
+    return whole.select("doc_id", F.when(h % 10 == 0, F.get(F.transform(held, changed), F.lit(0))).otherwise(F.col("text")).alias("text"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
