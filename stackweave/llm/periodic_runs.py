@@ -17,7 +17,6 @@ stretch inside a run whose period divides the lag is that run again.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -56,3 +56,15 @@ def near(kept):
 def clean(kept, items):
     bad = {d for d, _ in leaks([(d, t) for d, t in kept.items() if any(" ".join(i.lower().split()[:2]) in " ".join(t.lower().split()) for i in items.values())], list(items.items()))}
     return {d: t for d, t in kept.items() if d not in bad}
+
+
+def test_repeated_ids_and_no_language(spark, tmp_path):
+    """No row has a language, so only texts without letters go; of an id with several rows none goes unless all do."""
+    text = " ".join(f"word{k} and" for k in range(40))
+    rows = [(1, text), (1, "another text of its own " * 3), (2, text + " "), (2, text), (3, "1234"), (3, "12"), (4, "5678"), (4, "letters"), (5, "one more text"), (None, "no id at all")]
+    docs = spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a passage that nobody has in any text of these at all, of more than twenty words, so that nothing is found anywhere here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want = [(d, t) for d, t in rows if t not in ("1234", "12", "5678") and d != 2]  # both rows of 2 equal one of 1
+    assert got == sorted((str(d), len(tokens(t))) for d, t in want)
