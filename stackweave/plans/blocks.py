@@ -210,6 +210,7 @@ class _Router:
         self.plan, self.ranges, self.layout, self.k, self.kinds = plan, ranges, layout, k, kinds
         self.count = layout.cut("n", ranges)
         self.tiles = list(itertools.product(*(range(layout.cut(a, ranges)) for a in ("y", "x"))))
+        self._ends: dict[int, tuple[int, int]] = {}  # of the blocks that a task asks for
 
     def block(self, i: int, tile: int) -> Ranges:
         j, k = self.tiles[tile]
@@ -219,7 +220,9 @@ class _Router:
         return self.plan.need(self.block(i, tile))[self.k]
 
     def ends(self, i: int) -> tuple[int, int]:
-        return self.need(i, 0)["n"]
+        if i not in self._ends:
+            self._ends[i] = self.need(i, 0)["n"]
+        return self._ends[i]
 
     def frames(self, a: int, b: int) -> range:
         """The output blocks along the frames that read some of the source's frames a to b - 1."""
