@@ -322,20 +322,27 @@ def repeated(packs: DataFrame, owned: bool = False) -> DataFrame:
 BLOOM_BITS = 1 << 28
 
 
-def _places(bucket: np.ndarray, low: np.ndarray, size: int) -> list[np.ndarray]:
+#: The fewest bits of a block of a Bloom filter, as a power of two.
+BLOCK_BITS = 10
+
+
+def _places(bucket: np.ndarray, low: np.ndarray, size: int, bits: int) -> list[np.ndarray]:
+    """Three places of each key, all in its bucket's block: tasks that hold different buckets fill different words."""
+    block = max(BLOCK_BITS, size.bit_length() - 1 - bits)
+    start = (bucket.astype(_U) >> _U(max(0, bits + block + 1 - size.bit_length()))) << _U(block)
     x = mix((bucket.astype(_U) << _U(32)) | low.astype(_U))
     y = mix(x)
-    return [((v & _U(0xFFFFFFFF)) * _U(size)) >> _U(32) for v in (x, x >> _U(32), y >> _U(32))]
+    return [start + (((v & _U(0xFFFFFFFF)) << _U(block)) >> _U(32)) for v in (x, x >> _U(32), y >> _U(32))]
 
 
-def _words(size: int):
+def _words(size: int, bits: int):
     def run(batches):
         for b in batches:
-            at = np.concatenate(_places(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint32), size))
+            at = np.concatenate(_places(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint32), size, bits))
             word, inverse = np.unique(at >> _U(6), return_inverse=True)
-            bits = np.zeros(len(word), _U)
-            np.bitwise_or.at(bits, inverse, _U(1) << (at & _U(63)))
-            yield pa.record_batch([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+            cells = np.zeros(len(word), _U)
+            np.bitwise_or.at(cells, inverse, _U(1) << (at & _U(63)))
+            yield pa.record_batch([pa.array(word.astype(np.int32)), pa.array(cells.view(np.int64))], names=["word", "bits"])
 
     return run
 
@@ -343,7 +350,7 @@ def _words(size: int):
 def bloom(keys: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of keys (bucket, low), with the bits of a bucket as its first number."""
     size = 1 << min(BLOOM_BITS.bit_length() - 1, max(16, (10 * keys.count()).bit_length()))
-    cells = keys.select("bucket", "low").mapInArrow(_words(size), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    cells = keys.select("bucket", "low").mapInArrow(_words(size, bits), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 + (size >> 6), np.int64)
     table[0] = bits
     table[1 + cells.column("word").to_numpy()] = cells.column("bits").to_numpy()
@@ -354,7 +361,7 @@ def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys the Bloom filter may hold."""
     left = np.arange(len(keys))
     bucket, low = folded(keys, int(table[0]))
-    for at in _places(bucket, low, (len(table) - 1) << 6):
+    for at in _places(bucket, low, (len(table) - 1) << 6, int(table[0])):
         at = at[left]
         left = left[((table[1 + (at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1)).astype(bool)]
     found = np.zeros(len(keys), bool)
@@ -640,7 +647,9 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = spark.sparkContext.broadcast((bloom(again, bits), bloom(again.where(F.col("c") > FREQUENT), bits)))
     scratch.drop(again)
     keys = texts.mapInArrow(_passing(n, percent, shared), "id long, key long")
-    keys = scratch.keep(keys.join(classes.select(F.col("class").alias("id")), "id", "left_semi"))
+    # copies are few or many, but never more than the sets: their ids may be few enough to send
+    copies = scratch.keep(member.where("id <> class").select("id"))
+    keys = scratch.keep(keys.join(sent(copies), "id", "left_anti"))
     shared.destroy()
     buckets = buckets_of(keys, scratch)
     found = scratch.keep(resolve(texts, signs.select("id", "n", "sketch"), buckets, scratch, n, percent).withColumnRenamed("id", "class"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stackweave.llm import ngram_join as nj
@@ -79,3 +80,23 @@ def test_odd_tables(spark):
     odd = spark.createDataFrame([(None, "a b c d", "k"), (5, "a b c d", "k"), (5, "a b", "k")], "doc_id long, text string, key string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.linked_components(odd).collect()), key=str)
     assert got == [(5, 1, 5), (5, 2, None), (None, 2, None)]  # each row is a document of its own
+
+
+def test_filter_words_follow_the_buckets():
+    """Tasks hold different buckets, so words that several tasks fill would grow with their number."""
+    rng = np.random.default_rng(6)
+    for bits, size in ((8, 1 << 22), (12, 1 << 16), (20, 1 << 28), (0, 1 << 16)):
+        bucket, low = nj.folded(rng.integers(0, 1 << 63, 40000, dtype=np.uint64), bits)
+        at = np.concatenate(nj._places(bucket, low, size, bits))
+        assert at.max() < size and len(np.unique(at >> np.uint64(12))) > 0.5 * min(size >> 12, 40000)
+        word = {b: set((at[np.tile(bucket >> max(0, bits - 2), 3) == b] >> np.uint64(6)).tolist()) for b in range(1 << min(bits, 2))}
+        assert len(set.union(*word.values())) == sum(map(len, word.values()))
+
+
+def test_filter_holds_its_keys_and_few_others(spark):
+    rng = np.random.default_rng(7)
+    keys = rng.integers(0, 1 << 63, 60000, dtype=np.uint64)
+    bucket, low = nj.folded(keys[:30000], 10)
+    table = nj.bloom(spark.createDataFrame(list(zip(bucket.tolist(), low.view(np.int32).tolist(), strict=True)), "bucket int, low int"), 10)
+    found = nj.holds(table, keys)
+    assert found[:30000].all() and found[30000:].mean() < 0.03
