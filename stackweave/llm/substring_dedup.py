@@ -75,50 +75,33 @@ def word_starts(raw: bytes) -> tuple[np.ndarray, int]:
 POWERS = 1 << 19
 
 
-def split_words(texts: list[bytes]) -> list[tuple]:
-    """Of each text its bytes in lower case, where its words start and end, and a hash of each word; short texts together."""
-    out, held, size = [], [], 0
-    for k, text in enumerate(texts):
-        held.append(text)
-        size += len(text) + 1
-        if k + 1 < len(texts) and size + len(texts[k + 1]) < POWERS:
-            continue
-        low = np.frombuffer(b"\n".join(held).lower(), np.uint8)  # bytes.lower() knows A-Z only
+class Paragraphs:
+    """The paragraphs of texts, all texts together: first and last word, ids and shingles.
+
+    Words are numbered through all texts; `edges` has where each text's words begin, and `doc` the text of each word.
+    """
+
+    def __init__(self, *texts: str | bytes):
+        parts = [t.encode() if isinstance(t, str) else t for t in texts]
+        self.raw = b"\n".join(parts)
+        low = np.frombuffer(self.raw.lower(), np.uint8)  # bytes.lower() knows A-Z only
         word = np.zeros(len(low) + 2, np.int8)
         np.take(_WORD, low, out=word[1:-1])
         edge = np.flatnonzero(word[1:] != word[:-1])
-        start, end = edge[::2], edge[1::2]
-        up, down = _powers(max(POWERS, 1 << len(low).bit_length()))
-        sums = np.zeros(len(low) + 1, _U)
-        np.cumsum(_byte_values()[low] * up[: len(low)], out=sums[1:])
-        hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-        ends = np.cumsum([len(t) + 1 for t in held])
-        first = 0
-        for at, last, n in zip((ends - [len(t) + 1 for t in held]).tolist(), np.searchsorted(start, ends).tolist(), map(len, held), strict=True):
-            out.append((low[at : at + n], start[first:last] - at, end[first:last] - at, hashes[first:last]))
-            first = last
-        held, size = [], 0
-    return out
-
-
-def paragraphs(texts: list[str]) -> list[Paragraphs]:
-    return [Paragraphs(t, w) for t, w in zip(texts, split_words([t.encode() for t in texts]), strict=True)]
-
-
-class Paragraphs:
-    """The paragraphs of a text: first and last word, ids and shingles."""
-
-    def __init__(self, text: str, words: tuple | None = None):
-        self.raw = text.encode()
-        low, start, end, self.hashes = words or split_words([self.raw])[0]
+        self.start, self.end = start, end = edge[::2], edge[1::2]
         self.n_words = len(start)
+        self.edges = np.concatenate([[0], np.searchsorted(start, np.cumsum([len(t) + 1 for t in parts]))])
+        self.doc = np.repeat(np.arange(len(parts)), np.diff(self.edges))
         if not self.n_words:
             self.first = self.last = self.ids = np.zeros(0, np.int64)
-            self.pieces = 0
+            self.hashes, self.pieces = np.zeros(0, _U), 0
             return
         up, down = _powers(max(POWERS, 1 << len(low).bit_length()))
+        sums = np.zeros(len(low) + 1, _U)
+        np.cumsum(_byte_values()[low] * up[: len(low)], out=sums[1:])
+        self.hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
         lines = np.searchsorted(np.flatnonzero(low == 10), start)
-        # before which words a line or a sentence ends
+        # before which words a text, a line or a sentence ends
         breaks = np.ones(self.n_words, bool)
         breaks[1:] = lines[1:] != lines[:-1]
         last = low[end[:-1] - 1]
@@ -138,13 +121,24 @@ class Paragraphs:
         tail = np.append(head[1:], self.pieces)
         several = tail - head > 1
         self.first, self.last = np.concatenate([first, first[head[several]]]), np.concatenate([edges[1:], edges[tail[several]]])
-        self.start, self.end = start, end
         total = np.zeros(self.n_words + 1, _U)
         np.cumsum(self.hashes * up[: self.n_words], out=total[1:])
         self.ids = mix((total[self.last] - total[self.first]) * down[self.first] + (self.last - self.first).astype(_U)).view(np.int64)
         self.ids[self.pieces :] ^= LINE  # lines are compared with lines only: one is like its own paragraphs
         self.total = total
 
+    def own(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts of words, and the words' places in them."""
+        doc = self.doc[at]
+        return doc, at - self.edges[doc]
+
+    def _apart(self, values: np.ndarray, gap: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values of words with a gap before, between and behind the texts, and where the words are."""
+        at = np.arange(self.n_words) + gap * (self.doc + 1)
+        wide = np.full(self.n_words + gap * (len(self.edges)), fill, values.dtype)
+        wide[at] = values
+        return wide, at
+
     def text(self, k: int) -> str:
         """The text of a paragraph."""
         return self.raw[self.start[self.first[k]] : self.end[self.last[k] - 1]].decode()
@@ -153,12 +147,12 @@ class Paragraphs:
         """More cuts in stretches of more than LONG words, between pairs of words that have the smallest hash around them."""
         if (edges[1:] - edges[:-1]).max() <= LONG:
             return edges[:-1]
-        pairs = mix(self.hashes[:-1] * _U(0x9FB21C651E98DF25) + self.hashes[1:])
-        n = len(pairs)
-        wide = np.full(n + 2 * AROUND, _U(0xFFFFFFFFFFFFFFFF))
-        wide[AROUND : AROUND + n] = pairs
+        pairs = np.full(self.n_words, _U(0xFFFFFFFFFFFFFFFF))  # a text's last word has none
+        inside = self.doc[1:] == self.doc[:-1]
+        pairs[:-1][inside] = mix(self.hashes[:-1] * _U(0x9FB21C651E98DF25) + self.hashes[1:])[inside]
+        wide, at = self._apart(pairs, AROUND, 0xFFFFFFFFFFFFFFFF)
         near = least_of(wide, AROUND)
-        more = np.flatnonzero((pairs < near[:n]) & (pairs <= near[AROUND + 1 : AROUND + 1 + n])) + 1
+        more = np.flatnonzero((pairs < near[at - AROUND]) & (pairs <= near[at + 1])) + 1
         at = np.searchsorted(edges, more, "right") - 1
         more = more[(edges[at + 1] - edges[at] > LONG) & (more - edges[at] >= SHORT) & (edges[at + 1] - more >= SHORT)]
         return np.sort(np.concatenate([edges[:-1], more]))
@@ -171,19 +165,21 @@ class Paragraphs:
     def seeds(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
         """The first words of the seeds and their hashes: every run of `least_words` words holds one of them."""
         around, length = seed_sizes(least_words)
-        if self.n_words < least_words:
+        # a run that reaches into the next text is in none of the windows that are asked
+        windows = np.flatnonzero(np.arange(self.n_words) + least_words <= self.edges[1:][self.doc])
+        if not len(windows):
             return np.zeros(0, np.int64), np.zeros(0, _U)
         runs = self._runs(length)
         packed = (runs & ~PLACE) | np.arange(len(runs), dtype=_U)  # of equal ones the first
-        at = (least_of(packed, around) & PLACE).astype(np.int64)
+        at = (least_of(packed, around)[windows] & PLACE).astype(np.int64)
         at = at[np.flatnonzero(np.diff(at, prepend=-1))]
         return at, runs[at] ^ SEED
 
     def beside(self, at: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """16 bits of each of the `reach` words before and behind runs of words, from the run outwards; 0 where the text has ended."""
-        words = np.concatenate([np.zeros(reach, np.uint16), np.maximum((self.hashes >> _U(40)).astype(np.uint16), 1), np.zeros(reach, np.uint16)])
-        away = np.arange(reach)
-        return words[at[:, None] + (reach - 1 - away)[None, :]], words[at[:, None] + (reach + length + away)[None, :]]
+        words, place = self._apart(np.maximum((self.hashes >> _U(40)).astype(np.uint16), 1), reach, 0)
+        away, place = np.arange(reach)[None, :], place[at][:, None]
+        return words[place - 1 - away], words[place + length + away]
 
     def signatures(self, hashes: int, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """The paragraphs of so many words or more, and their MinHash values."""
@@ -217,6 +213,21 @@ def seed_sizes(least_words: int) -> tuple[int, int]:
     return around, least_words - around + 1
 
 
+def _together(batches):
+    """The ids (as they are in the batches) and the paragraphs of a few texts at once."""
+    for b in slices(batches, 64):
+        ids, held, size = b.column(0).to_numpy(), [], 0
+        for k, text in enumerate(b.column(1).to_pylist()):
+            raw = text.encode()
+            if held and size + len(raw) >= POWERS:
+                yield ids[k - len(held) : k], Paragraphs(*held)
+                held, size = [], 0
+            held.append(raw)
+            size += len(raw) + 1
+        if held:
+            yield ids[len(ids) - len(held) :], Paragraphs(*held)
+
+
 def _fresh(p: Paragraphs, which: np.ndarray, seen: set[int]) -> np.ndarray:
     """The paragraphs that the task has not met yet."""
     keep = np.zeros(len(which), bool)
@@ -234,13 +245,14 @@ def _counted(n_bands: int, width: int, least_words: int, across: bool, bits: int
 
     def chunks(batches):
         seen: set[int] = set()
-        for b in slices(batches, 64):
-            for doc, p in zip(b.column(0).to_numpy().view(_U), paragraphs(b.column(1).to_pylist()), strict=True):
-                which, keys = p.keys(n_bands, width, least_words // 2)
-                fresh = _fresh(p, which, seen)
-                yield keys[fresh].ravel(), np.repeat(p.ids[which[fresh]].view(_U), n_bands)
-                at, seeds = p.seeds(least_words)
-                yield seeds, mix(np.full(len(at), doc) ^ _U(0x5851F42D4C957F2D)) if across else mix(mix(np.full(len(at), doc)) ^ at.astype(_U))
+        for ids, p in _together(batches):
+            which, keys = p.keys(n_bands, width, least_words // 2)
+            fresh = _fresh(p, which, seen)
+            yield keys[fresh].ravel(), np.repeat(p.ids[which[fresh]].view(_U), n_bands)
+            at, seeds = p.seeds(least_words)
+            doc, place = p.own(at)
+            docs = ids.view(_U)[doc]
+            yield seeds, mix(docs ^ _U(0x5851F42D4C957F2D)) if across else mix(mix(docs) ^ place.astype(_U))
 
     return lambda batches: packed(chunks(batches), bits)
 
@@ -256,36 +268,48 @@ def _repeats(n_bands: int, width: int, least_words: int, shared):
 
     def run(batches):
         table, seen = shared.value, set()
-        for b in slices(batches, 64):
-            texts = paragraphs(b.column(1).to_pylist())
-            seeds = [p.seeds(least_words) for p in texts]
-            bands_ = [p.keys(n_bands, width, least_words // 2) for p in texts]
-            hits = holds(table, np.concatenate([np.zeros(0, _U), *(f[1] for f in seeds), *(k.ravel() for _, k in bands_)]))
-            columns, n, m = [[] for _ in _ROWS], 0, sum(len(f[1]) for f in seeds)
-            for doc, p, (at, own), (which, keys) in zip(b.column(0).to_pylist(), texts, seeds, bands_, strict=True):
-                hit, found = hits[n : n + len(at)], hits[m : m + keys.size].reshape(keys.shape)
-                n, m, at, own = n + len(at), m + keys.size, at[hit], own[hit]
-                if k := len(at):
-                    left, right = (x.tobytes() for x in p.beside(at, length, around))
-                    cut = lambda x: [x[j : j + 2 * around] for j in range(0, len(x), 2 * around)]
-                    for column, values in zip(columns, ([doc] * k, own.view(np.int64).tolist(), [True] * k, at.tolist(), (at + length).tolist(), cut(left), cut(right), [None] * k, [None] * k), strict=True):
-                        column.extend(values)
-                rows_ = np.flatnonzero(found.any(1))
-                for row, fresh in zip(rows_.tolist(), _fresh(p, which[rows_], seen).tolist(), strict=True):
-                    k = which[row]
-                    text, kept = (p.text(k), keys[row, found[row]].view(np.int64)) if fresh else (None, None)
-                    for column, value in zip(columns, (doc, int(p.ids[k]), False, int(p.first[k]), int(p.last[k]), None, None, text, kept), strict=True):
-                        column.append(value)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
+        for ids, p in _together(batches):
+            at, own = p.seeds(least_words)
+            which, keys = p.keys(n_bands, width, least_words // 2)
+            hits = holds(table, np.concatenate([own, keys.ravel()]))
+            hit, found = hits[: len(at)], hits[len(at) :].reshape(keys.shape)
+            at, own = at[hit], own[hit]
+            doc, s = p.own(at)
+            left, right = (_binary(x) for x in p.beside(at, length, around))
+            yield _batch(len(at), id=ids[doc], key=own.view(np.int64), seed=np.ones(len(at), bool), s=s, e=s + length, left=left, right=right)
+            some = np.flatnonzero(found.any(1))
+            which, keys, found = which[some], keys[some].view(np.int64), found[some]
+            fresh = _fresh(p, which, seen).tolist()
+            doc, s = p.own(p.first[which])
+            texts = [p.text(k) if new else None for k, new in zip(which.tolist(), fresh, strict=True)]
+            kept = [keys[k, found[k]] if new else None for k, new in enumerate(fresh)]
+            yield _batch(len(which), id=ids[doc], key=p.ids[which], seed=np.zeros(len(which), bool), s=s, e=s + p.last[which] - p.first[which], text=texts, keys=kept)
 
     return run
 
 
+def _binary(x: np.ndarray) -> pa.Array:
+    """Each row of an array as bytes."""
+    size = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, len(x) * size + 1, size, dtype=np.int32)), pa.py_buffer(x.tobytes())])
+
+
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    """A batch of _ROWS; what isn't given is null."""
+    return pa.record_batch([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
+
+
+def _rows_of(x: pa.Array) -> np.ndarray:
+    """The numbers of 16 bits in all rows of an array of bytes without nulls."""
+    ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16)
+
+
 def _widened(batches):
     """Ranges s to e of later places, widened as far as the words beside them are those beside the first place."""
 
     def agree(a: pa.Array, b: pa.Array) -> np.ndarray:
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1) for x in (a, b))
+        a, b = (_rows_of(x).reshape(len(x), -1) for x in (a, b))
         return np.minimum.accumulate((a == b) & (a != 0), 1).sum(1)
 
     for b in slices(batches, 4096):

@@ -180,3 +180,23 @@ def test_importance_keeps_the_labelled_share(spark):
     labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(100)], "doc_id long, quality int, toxic int")
     assert importance.report(docs, labels).where("kept").count() == 100
     assert importance.report(docs, labels.limit(0)).where("kept").count() == 200
+
+
+def test_texts_together_are_cut_as_alone():
+    r = random.Random(11)
+    texts = [sentences(r, 90), "", "one\ntwo", " ".join(f"w{r.randrange(40)}" for _ in range(400)), "x y " * 40, "\n", sentences(r, 30) + "\n" + sentences(r, 200), " ".join(f"v{k}" for k in range(20))]
+    both = substring_dedup.Paragraphs(*texts)
+    which, keys = both.keys(4, 2, 10)
+    at, seeds = both.seeds(20)
+    near = both.beside(at, *(substring_dedup.seed_sizes(20)[::-1]))
+    doc, place = both.own(at)
+    owner, first = both.own(both.first[which])
+    for k, text in enumerate(texts):
+        p = substring_dedup.Paragraphs(text)
+        own, own_keys = p.keys(4, 2, 10)
+        own_at, own_seeds = p.seeds(20)
+        assert place[doc == k].tolist() == own_at.tolist() and seeds[doc == k].tolist() == own_seeds.tolist()
+        if len(own_at):
+            assert all((a[doc == k] == b).all() for a, b in zip(near, p.beside(own_at, *(substring_dedup.seed_sizes(20)[::-1])), strict=True))
+        assert first[owner == k].tolist() == p.first[own].tolist() and (keys[owner == k] == own_keys).all()
+        assert [both.text(j) for j in which[owner == k]] == [p.text(j) for j in own]
