@@ -5,6 +5,10 @@ buckets, sorted within each bucket, and numbered in that order. Names of neighbo
 named in the same way, level by level, until one name is left of each document. Two documents with as many blocks
 have the same last name if and only if their texts are equal: no digest decides.
 
+Hashes of blocks are counted first. A block whose hash no other block has is equal to none, so its hash is its name and
+it stays where it is; only blocks whose hash occurs again are dealt out. Which these are is a function of the hash (a
+Bloom filter), so equal blocks are named in the same way, and a filter that lets more through changes no result.
+
 A block that is found again in the same task is replaced by a reference to its first place, so that a block with a
 third of all rows reaches its bucket once for each task. Names go back to their places over those references, whose
 keys are as evenly spread as the documents.
@@ -14,42 +18,80 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, every_row, id_back, rows, slices
+from .ngram_join import bloom, bucket_bits, holds, packed, repeated
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct blocks that a task remembers at once.
 REMEMBERED = 16 << 20
-PLACES = "id long, n_points long, sha string, n_blocks int, pos int, rep_id long, rep_pos int, block binary"
-_ARROW = pa.schema([("id", pa.int64()), ("n_points", pa.int64()), ("sha", pa.string()), ("n_blocks", pa.int32()), ("pos", pa.int32()), ("rep_id", pa.int64()), ("rep_pos", pa.int32()), ("block", pa.binary())])
+PLACES = "id long, n_points long, sha string, n_blocks int, pos int, rep_id long, rep_pos int, block binary, name long"
+_ARROW = pa.schema([("id", pa.int64()), ("n_points", pa.int64()), ("sha", pa.string()), ("n_blocks", pa.int32()), ("pos", pa.int32()), ("rep_id", pa.int64()), ("rep_pos", pa.int32()), ("block", pa.binary()), ("name", pa.int64())])
+
+
+def blocks_of(norm: bytes, block_bytes: int) -> list[bytes]:
+    return [norm[i : i + block_bytes] for i in range(0, len(norm), block_bytes)] or [b""]
+
 
+def hashes(blocks: list[bytes]) -> np.ndarray:
+    """A hash of 62 bits of each block."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in blocks), np.uint64) >> np.uint64(2)
 
-def _cut(block_bytes: int):
-    def cut(batches):
+
+def _counted(block_bytes: int, bits: int):
+    """The hash of each block, once for equal blocks that the task still remembers."""
+
+    def chunks(batches):
+        seen: set[bytes] = set()
+        held = 0
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist():
+                new = []
+                for block in blocks_of(text.encode().translate(None, WHITE), block_bytes):
+                    if block in seen:
+                        continue
+                    if held > REMEMBERED:
+                        seen, held = set(), 0
+                    seen.add(block)
+                    held += len(block) + 100
+                    new.append(block)
+                yield hashes(new)
+
+    return lambda batches: packed(chunks(batches), bits)
+
+
+def _cut(block_bytes: int, shared):
+    def run(batches):
+        again = shared.value
         first: dict[bytes, tuple[int, int]] = {}
         held = 0
         for batch in slices(batches):
             out: list[list] = [[] for _ in _ARROW]
             size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                norm = text.encode().translate(None, WHITE)
-                blocks = [norm[i : i + block_bytes] for i in range(0, len(norm), block_bytes)] or [b""]
+            texts = batch.column(1).to_pylist()
+            norms = [text.encode().translate(None, WHITE) for text in texts]
+            cut = [blocks_of(norm, block_bytes) for norm in norms]
+            found = hashes([block for blocks in cut for block in blocks])
+            numbers = zip(found.tolist(), holds(again, found).tolist(), strict=True)
+            for doc, text, norm, blocks in zip(batch.column(0).to_pylist(), texts, norms, cut, strict=True):
                 for pos, block in enumerate(blocks):
-                    rep = first.get(block)
-                    if rep is None:
-                        if held > REMEMBERED:
-                            first, held = {}, 0
-                        first[block] = rep = (doc, pos)
-                        held += len(block) + 100
-                        size += len(block)
-                        sent = block
-                    else:
-                        sent = None
+                    number, several = next(numbers)
+                    rep, sent, name = (None, None), None, -2 - number  # names of other blocks aren't negative, and -1 is no block
+                    if several:
+                        rep, name = first.get(block), None
+                        if rep is None:
+                            if held > REMEMBERED:
+                                first, held = {}, 0
+                            first[block] = rep = (doc, pos)
+                            held += len(block) + 100
+                            size += len(block)
+                            sent = block
                     sha = hashlib.sha256(norm).hexdigest() if not pos else None
-                    for column, value in zip(out, (doc, len(text), sha, len(blocks), pos, *rep, sent), strict=True):
+                    for column, value in zip(out, (doc, len(text), sha, len(blocks), pos, *rep, sent, name), strict=True):
                         column.append(value)
                 if size > 8 << 20:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
@@ -57,7 +99,7 @@ def _cut(block_bytes: int):
             if out[0]:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
 
-    return cut
+    return run
 
 
 def sorted_names(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
@@ -69,9 +111,17 @@ def sorted_names(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
 
 def identities(docs: DataFrame, scratch: Scratch, block_bytes: int = 2048, buckets: int = 1 << 16) -> DataFrame:
     """id, n_points, sha, n_blocks, name: (n_blocks, name) is the same for equal normalised texts only."""
-    places = scratch.keep(docs.mapInArrow(_cut(block_bytes), PLACES))
+    most = docs.agg(F.sum(F.octet_length("text") / block_bytes + 1).cast("long")).head()[0] or 0
+    bits = bucket_bits(most)
+    again = scratch.keep(repeated(docs.mapInArrow(_counted(block_bytes, bits), "bucket int, keys binary")))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(again, bits))
+    scratch.drop(again)
+    places = scratch.keep(docs.mapInArrow(_cut(block_bytes, shared), PLACES))
+    shared.destroy()
     named = sorted_names(places.where("block is not null").select("rep_id", "rep_pos", "block"), ["block"], buckets).drop("block")
-    level = scratch.keep(places.drop("block").join(named, ["rep_id", "rep_pos"]).select("id", "n_points", "sha", "n_blocks", "pos", "name"))
+    alone = places.where("name is not null").select("id", "n_points", "sha", "n_blocks", "pos", "name")
+    several = places.where("name is null").drop("block", "name").join(named, ["rep_id", "rep_pos"])
+    level = scratch.keep(alone.unionByName(several.select("id", "n_points", "sha", "n_blocks", "pos", "name")))
     scratch.drop(places)
     heads = level.where("pos = 0").select("id", "n_points", "sha", "n_blocks")
     done = level.where("n_blocks = 1").select("id", "name")

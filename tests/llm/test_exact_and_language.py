@@ -1,7 +1,11 @@
 import random
 import re
+import types
 
-from stackweave.llm import exact_dedup, language_id
+import numpy as np
+import pyarrow as pa
+
+from stackweave.llm import common, exact_dedup, language_id
 
 
 def test_exact_duplicates(spark):
@@ -19,6 +23,39 @@ def test_exact_duplicates(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_blocks_of_their_own_are_not_dealt_out(spark):
+    class Seen(common.Scratch):
+        dealt = 0
+
+        def keep(self, df):
+            out = super().keep(df)
+            if "block" in out.columns:
+                self.dealt += out.where("block is not null").count()
+            return out
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc") for _ in range(r.randrange(20, 60))) for _ in range(300)]
+    docs = [(k, t) for k, t in enumerate([*texts, texts[7] + " ", texts[9][:16] + texts[8][16:]])]
+    scratch = Seen(spark)
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=16, scratch=scratch).collect()
+    assert sorted((x.doc_id, x.keep_id) for x in got if x.group_size > 1) == [(7, 300), (300, 300)] and len(got) == len(docs)
+    assert 0 < scratch.dealt < 40  # of about 900 blocks
+
+
+def test_blocks_are_named_alike_whatever_the_filter_lets_through():
+    texts = ["aaaabbbb", "aaaacccc", "dddd", "eeee", "aaaabbbb", "dd dd", ""]
+    docs = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    names = []
+    for bits in (0, -1):  # a filter that holds nothing, and one that holds all hashes
+        table = np.full(1 + (1 << 10), bits, np.int64).view(np.uint64)
+        table[0] = 8
+        places = [x for b in exact_dedup._cut(4, types.SimpleNamespace(value=table))([docs]) for x in b.to_pylist()]
+        found = [(x["name"], x["rep_id"], x["rep_pos"]) for x in places]
+        assert len(found) == 10 and all((name is None) == (rep is not None) == bool(bits) for name, rep, _ in found)
+        names.append([found.index(x) for x in found])
+    assert names[0] == names[1] == [0, 1, 0, 3, 4, 5, 0, 1, 4, 9]
+
+
 def test_languages(spark):
     r = random.Random(2)
     parts = {"xx": ["the", "ing", "and", "er"], "yy": ["oui", "eau", "ment", "le"], "zz": ["sch", "ung", "ein", "über"]}
