@@ -527,20 +527,30 @@ def _meeting(shared):
     return run
 
 
-def _asked(shared):
-    """Leaves of `meet` the elements that a Bloom filter holds."""
+def _useful(shared):
+    """Leaves of `prefix` and `meet` the elements that a Bloom filter holds: meet are their places, prefix is what stands there."""
 
     def run(batches):
         for b in slices(batches):
             keys, row, place = _elements(b)
             hit = holds(shared.value, keys)
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=b.num_rows))]), pa.int32())
-            meet = pa.ListArray.from_arrays(ends, pa.array(place[hit], pa.int32()))
-            yield pa.record_batch([meet if n == "meet" else c for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
+            values = b.column(b.schema.get_field_index("prefix")).flatten().to_numpy()[hit]
+            left = {"prefix": pa.ListArray.from_arrays(ends, pa.array(values)), "meet": pa.ListArray.from_arrays(ends, pa.array(place[hit], pa.int32()))}
+            yield pa.record_batch([left.get(n, c) for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
 
     return run
 
 
+def _meets(found: DataFrame) -> DataFrame:
+    """b, e of the elements at which sets of different components meet, one of them among its first `short` elements and
+    the other one not linked with the centre."""
+    at = found.select("b", "component", "linked", "short", "prefix", F.explode("meet").alias("r")).withColumn("e", F.get("prefix", F.col("r")))
+    asks, asked = (F.when(c, F.col("component")) for c in (F.col("r") < F.col("short"), ~F.col("linked")))
+    sides = at.groupBy("b", "e").agg(F.min(asks).alias("lo"), F.max(asks).alias("hi"), F.min(asked).alias("lo_"), F.max(asked).alias("hi_"))
+    return sides.where("lo is not null and lo_ is not null and least(lo, lo_) <> greatest(hi, hi_)").select("b", "e")
+
+
 def _folded_elements(bits: int):
     """The bucket and the further bits of elements (b, e)."""
 
@@ -571,18 +581,20 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     found = found.select("a", "b", "na", "component", "linked", "x", "more", "short", "long", "bits", "prefix").mapInArrow(_meeting(shared), kinds)
     found = scratch.keep(found.where("size(meet) > 0"))
     shared.destroy()
-    short = found.withColumn("r", F.explode(F.filter("meet", lambda r: r < F.col("short")))).withColumn("e", F.get("prefix", F.col("r")))
-    short = scratch.keep(short.drop("meet").withColumn("prefix", F.slice("prefix", F.lit(1), F.col("short").cast("int"))))
-    asked = scratch.keep(short.select("b", "e").distinct().mapInArrow(_folded_elements(bits), "bucket int, low int"))
-    each = found.where("not linked").mapInArrow(_asked(spark.sparkContext.broadcast(bloom(asked, bits))), kinds)
-    each = each.withColumn("r", F.explode("meet")).withColumn("e", F.get("prefix", F.col("r"))).drop("meet")
-    first = short.select("b", "e", *(F.col(c).alias(f"{c}_") for c in ("a", "na", "component", "linked", "x", "more", "bits", "prefix")))
+    # an element is dealt out if two sets still have it, with those before it at which sets meet, not with the whole prefix
+    meets = scratch.keep(_meets(found).mapInArrow(_folded_elements(bits), "bucket int, low int"))
+    shared = spark.sparkContext.broadcast(bloom(meets, bits))
+    found = scratch.keep(found.mapInArrow(_useful(shared), kinds).where("size(meet) > 0"))
+    shared.destroy()
+    each = found.select("*", F.posexplode("meet").alias("k", "r")).withColumn("e", F.get("prefix", F.col("k"))).withColumn("before", F.slice("prefix", F.lit(1), F.col("k")))
+    first = each.where("r < short").select("b", "e", *(F.col(c).alias(f"{c}_") for c in ("a", "na", "component", "linked", "x", "more", "bits", "before")))
+    each = each.where("not linked").select("b", "e", "r", "a", "na", "component", "x", "more", "bits", "before")
     least = F.abs(F.col("x") - F.col("x_"))
     held = F.col("more") + F.col("more_") + F.abs(F.col("x") - F.col("more") - F.col("x_") + F.col("more_"))
     least = F.when(F.col("r") < F.col("more"), least).otherwise(F.greatest(least, held))
     apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_", F.lit(k)))) for k in range(FOLDED)), F.lit(0))
     near = F.greatest(least, apart) * (100 + percent) <= (F.col("na") + F.col("na_")) * (100 - percent)
-    once = F.get(F.array_intersect("prefix_", "prefix"), F.lit(0)) == F.col("e")  # a pair meets at the first element that it shares
+    once = ~F.arrays_overlap("before_", "before")  # a pair meets at the first element that it shares
     pairs = first.join(each, ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near & once)
     return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).distinct()
 

@@ -1,3 +1,4 @@
+import types
 import random
 import re
 
@@ -100,3 +101,21 @@ def test_filter_holds_its_keys_and_few_others(spark):
     table = nj.bloom(spark.createDataFrame(list(zip(bucket.tolist(), low.view(np.int32).tolist(), strict=True)), "bucket int, low int"), 10)
     found = nj.holds(table, keys)
     assert found[:30000].all() and found[30000:].mean() < 0.03
+
+
+def test_elements_that_meet_are_left_and_nothing_else(spark):
+    kinds = "a long, b long, na long, component long, linked boolean, x long, more long, short long, long long, bits array<long>, prefix array<long>, meet array<int>"
+    found = [  # elements 7 and 9 have an asking set and another one that isn't linked; 8 is one component's, 5 is asked for by none, 6 by linked ones only
+        (1, 0, 9, 1, True, 3, 0, 3, 4, [0], [7, 8, 6, 5], [0, 1, 2, 3]),
+        (2, 0, 9, 2, False, 3, 0, 2, 4, [0], [7, 9, 5, 4], [0, 1, 2]),
+        (3, 0, 9, 2, False, 3, 0, 1, 4, [0], [3, 9, 2, 1], [1]),
+        (4, 0, 9, 1, False, 3, 0, 1, 2, [0], [8, 9], [0, 1]),
+        (5, 0, 9, 3, True, 3, 0, 1, 2, [0], [6, 2], [0]),
+    ]
+    frame = spark.createDataFrame(found, kinds)
+    meets = nj._meets(frame)
+    assert sorted(x.e for x in meets.collect()) == [7, 9]
+    shared = types.SimpleNamespace(value=nj.bloom(meets.mapInArrow(nj._folded_elements(8), "bucket int, low int"), 8))
+    batch = frame.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    left = [(x["a"], x["prefix"], x["meet"]) for b in nj._useful(shared)([batch]) for x in b.to_pylist()]
+    assert left == [(1, [7], [0]), (2, [7, 9], [0, 1]), (3, [9], [1]), (4, [9], [1]), (5, [], [])]
