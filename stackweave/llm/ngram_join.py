@@ -11,10 +11,10 @@ out: each set is verified against the bucket's smallest id, in a large bucket wh
 that, a few times, and only buckets that hold several components then go on:
 
 * in a small bucket, sets of different components are paired;
-* in a large one, each set is written as its difference from the bucket's smallest id, the centre. For a pair of
-  which one is not linked with the centre the differences overlap, by an amount that follows from the sizes, so a
-  prefix join over the differences, what the centre lacks first, finds it; pairs whose sketches are too far apart do
-  not leave that join.
+* in large ones, each set is written as its difference from a centre, the smallest id of all large buckets that sets
+  join with its own; so it is written once, in however many of them it is. For a pair of which one is not linked with
+  the centre the differences overlap, by an amount that follows from the sizes, so a prefix join over the differences,
+  what the centre lacks first, finds it; pairs whose sketches are too far apart do not leave that join.
 
 Every pair that is found is compared by sketches of the whole sets first, and verified exactly if those allow it. No candidate is dropped and no bucket is capped.
 """
@@ -385,7 +385,7 @@ FREQUENT = 8
 
 
 def _prefix(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) -> list:
-    """The size of a set's difference from its bucket's centre, how many of its first elements count, and these elements.
+    """The size of a set's difference from its centre, how many of its first elements count, and these elements.
 
     All that the centre lacks is there, as it is put into another order later, see _meeting().
 
@@ -500,7 +500,7 @@ def _elements(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _meeting(shared):
-    """Puts what a centre lacks into the order that all sets of its bucket share, the elements of one set alone first and
+    """Puts what a centre lacks into the order that all sets around it share, the elements of one set alone first and
     frequent ones last, and cuts the list off. `meet` are the places of elements that another set may have as well."""
 
     def run(batches):
@@ -563,10 +563,18 @@ def _folded_elements(bits: int):
 
 
 def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """Pairs of different components within large buckets, from the differences to the buckets' centres."""
-    members = scratch.keep(large.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "component").distinct())
+    """Pairs of different components within large buckets, from the differences to centres that all buckets of a set share.
+
+    Near copies of one text meet in many buckets. Around the centre of each of them a set would be written, and a pair
+    found, once for each bucket, and buckets grow into large ones as the copies do. A pair of which both link with the
+    centre isn't looked for, so each set's link with it is among the pairs, as no bucket need hold these two.
+    """
+    around = scratch.keep(components(large.select(F.col("id").alias("a"), F.col("centre").alias("b")), scratch).withColumnRenamed("component", "b"))
+    members = large.select("id", "component").distinct().join(around, "id").where("id <> b").withColumnRenamed("id", "a")
+    members = scratch.keep(members)
     found = compare(texts, members.select("a", "b"), scratch, n, percent, True)
     found = scratch.keep(found.join(members, ["a", "b"]))
+    centred = found.where("linked").select(F.col("b").alias("a"), F.col("a").alias("b"))
     # most elements are those of one component alone: they are counted first, and only the others are dealt out
     bits, spark = bucket_bits(found.agg(F.sum(F.size("prefix"))).head()[0] or 0), texts.sparkSession
 
@@ -596,7 +604,7 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     near = F.greatest(least, apart) * (100 + percent) <= (F.col("na") + F.col("na_")) * (100 - percent)
     once = ~F.arrays_overlap("before_", "before")  # a pair meets at the first element that it shares
     pairs = first.join(each, ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near & once)
-    return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).distinct()
+    return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).union(centred).distinct()
 
 
 def buckets_of(keys: DataFrame, scratch: Scratch) -> DataFrame:

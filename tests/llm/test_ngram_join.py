@@ -119,3 +119,45 @@ def test_elements_that_meet_are_left_and_nothing_else(spark):
     batch = frame.coalesce(1).toArrow().combine_chunks().to_batches()[0]
     left = [(x["a"], x["prefix"], x["meet"]) for b in nj._useful(shared)([batch]) for x in b.to_pylist()]
     assert left == [(1, [7], [0]), (2, [7, 9], [0, 1]), (3, [9], [1]), (4, [9], [1]), (5, [], [])]
+
+
+def test_sets_of_several_large_buckets_are_written_once(spark, monkeypatch):
+    """Near copies of one text meet in many buckets, with other centres: each of them is set against one centre only."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(220)]
+    docs = []
+    for d in range(90):
+        own = list(base)
+        for k in r.sample(range(len(own)), r.choice([1, 4, 5, 6])):
+            own[k] = f"own{r.randrange(400)}"
+        docs.append((d, " ".join(own)))
+    around, compare, seen = nj._around, nj.compare, {}
+
+    def looked(texts, large, *rest):
+        seen["buckets"] = [tuple(x) for x in large.select("id", "centre").where("id <> centre").distinct().collect()]
+        return around(texts, large, *rest)
+
+    def compared(texts, pairs, scratch, n, percent, differences=False):
+        if differences:
+            seen["sets"] = [x.a for x in pairs.collect()]
+        return compare(texts, pairs, scratch, n, percent, differences)
+
+    for name, value in (("SMALL", 2), ("ROUNDS", 1), ("_around", looked), ("compare", compared)):
+        monkeypatch.setattr(nj, name, value)
+    got = nj.linked_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute(docs, 3, 90)
+    assert len(seen["buckets"]) > 1.5 * len({d for d, _ in seen["buckets"]})
+    assert len(seen["sets"]) == len(set(seen["sets"])) > 0
+
+
+def test_links_of_sets_that_share_no_bucket_with_their_centre(spark, monkeypatch):
+    """5 and 6 link with each other and with 0, the centre of both buckets by way of 3, but share no bucket with it."""
+    monkeypatch.setattr(nj, "SMALL", 2)
+    monkeypatch.setattr(nj, "ROUNDS", 0)
+    text = {d: " ".join(f"t{d}w{k}" for k in range(60)) for d in (0, 1, 2, 3)}
+    text |= {5: text[0] + " x", 6: text[0] + " y"}
+    scratch = nj.Scratch(spark)
+    texts = nj.rows(spark.createDataFrame(list(text.items()), "doc_id long, text string"))
+    keys = spark.createDataFrame([(d, k) for k, ids in ((1, (0, 1, 3)), (2, (2, 3, 5, 6))) for d in ids], "id long, key long")
+    got = {x.id: x.component for x in nj.resolve(texts, None, nj.buckets_of(keys, scratch), scratch, 3, 90).collect()}
+    assert 5 in got and got[5] == got[6]
