@@ -7,8 +7,8 @@ sketch of a size band is cut into D + 1 + E parts: more than E parts of a linked
 no more than E parts of a set are empty, those can be left out and an equal part still finds the pair.
 
 Equal sets are one class from the start, so copies cost nothing. Within a bucket of equal parts no pairs are spelled
-out: each set is verified against the bucket's smallest id, in a large bucket what is left against the smallest id of
-that, a few times, and only buckets that hold several components then go on:
+out: each set is verified against the bucket's smallest id, in a large bucket what is left against a few others of
+it, and only buckets that hold several components then go on:
 
 * in a small bucket, sets of different components are paired;
 * in large ones, each set is written as its difference from a centre, the smallest id of all large buckets that sets
@@ -37,7 +37,7 @@ from .components import components
 PART_BITS = 20
 #: Members up to which all pairs of different components of a bucket are verified.
 SMALL = 32
-#: Further centres of a large bucket.
+#: Further centres of a large bucket, all looked at together.
 ROUNDS = 4
 #: Longs of the sketches by which pairs of large buckets are judged in their join.
 FOLDED = 16
@@ -485,9 +485,9 @@ def linked(texts: DataFrame, sketches: DataFrame | None, pairs: DataFrame, scrat
 
 
 def _across(open_rows: DataFrame) -> DataFrame:
-    """Pairs of different components within small buckets."""
+    """Pairs of different components within small buckets, each one as often as it is in them."""
     a, b = (open_rows.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return a.join(b, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    return a.join(b, "key").where("a < b and ca <> cb").select("a", "b")
 
 
 def _elements(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -563,7 +563,7 @@ def _folded_elements(bits: int):
 
 
 def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """Pairs of different components within large buckets, from the differences to centres that all buckets of a set share.
+    """Pairs of different components within large buckets, some of them twice, from the differences to centres that all buckets of a set share.
 
     Near copies of one text meet in many buckets. Around the centre of each of them a set would be written, and a pair
     found, once for each bucket, and buckets grow into large ones as the copies do. A pair of which both link with the
@@ -604,7 +604,7 @@ def _around(texts: DataFrame, large: DataFrame, scratch: Scratch, n: int, percen
     near = F.greatest(least, apart) * (100 + percent) <= (F.col("na") + F.col("na_")) * (100 - percent)
     once = ~F.arrays_overlap("before_", "before")  # a pair meets at the first element that it shares
     pairs = first.join(each, ["b", "e"]).where((F.col("linked_") | (F.col("x") >= F.col("x_"))) & (F.col("component") != F.col("component_")) & near & once)
-    return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).union(centred).distinct()
+    return pairs.select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).union(centred)
 
 
 def buckets_of(keys: DataFrame, scratch: Scratch) -> DataFrame:
@@ -613,23 +613,32 @@ def buckets_of(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(keys.join(scratch.keep(several), "key"))
 
 
+def _further(buckets: DataFrame, star: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of what doesn't link with a large bucket's centre and further centres b, which spare pairs later on.
+
+    They are the first sets in each of ROUNDS orders, so that those of a large group of near copies come up whatever
+    their ids, and all are looked at together. What they leave open comes up again at the end.
+    """
+    rest = buckets.where(F.col("members") > SMALL).where("id <> centre").select("key", "id", "centre")
+    done = sent(links.select(F.col("a").alias("id"), F.col("b").alias("centre")))
+    left = scratch.keep(rest.join(done, ["id", "centre"], "left_anti").select("key", "id"))
+    names = [f"c{k}" for k in range(ROUNDS)]
+    orders = [F.min(F.struct(F.xxhash64("id", F.lit(k)), "id")).alias(c) for k, c in enumerate(names)]
+    centres = left.groupBy("key").agg(*orders, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # for each order one comparison for each set, however many buckets hold it
+    chosen = left.join(scratch.keep(centres), "key").groupBy(F.col("id").alias("a")).agg(*(F.min(c).alias(c) for c in names))
+    chosen = chosen.select("a", F.explode(F.array_distinct(F.array(*(f"{c}.id" for c in names)))).alias("b")).where("a <> b")
+    return scratch.keep(chosen.join(sent(star), ["a", "b"], "left_anti"))
+
+
 def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """id, component of the sets that link with another one of the same bucket (key, id, members, centre)."""
     star = scratch.keep(buckets.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
     links = linked(texts, sketches, star, scratch, n, percent)
-    # what a large bucket's centre doesn't link with has further centres, which spare pairs later on
-    rest, last = buckets.where(F.col("members") > SMALL).where("id <> centre").select("key", "id", "centre"), links
-    for _ in range(ROUNDS):
-        left = scratch.keep(rest.join(last.select(F.col("a").alias("id"), F.col("b").alias("centre")), ["id", "centre"], "left_anti").select("key", "id"))
-        centres = left.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        rest = scratch.keep(left.join(scratch.keep(centres), "key").where("id <> centre"))
-        scratch.drop(left)
-        # one comparison for each set; what it leaves open comes up again in a later round or at the end
-        more = scratch.keep(rest.groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b")).join(star, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        last = linked(texts, sketches, more, scratch, n, percent)
-        star, links = star.union(more), links.union(last)
+    if ROUNDS:
+        more = _further(buckets, star, links, scratch)
+        if not more.isEmpty():
+            star, links = star.union(more), links.union(linked(texts, sketches, more, scratch, n, percent))
     first = scratch.keep(components(links, scratch))
     # a pair that is alone in its bucket has been verified
     placed = buckets.where("members > 2").join(sent(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -637,7 +646,8 @@ def resolve(texts: DataFrame, sketches: DataFrame | None, buckets: DataFrame, sc
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     still = scratch.keep(placed.join(several, "key"))
     pairs = _across(still.where(F.col("members") <= SMALL)).union(_around(texts, still.where(F.col("members") > SMALL), scratch, n, percent)).distinct()
-    pairs = scratch.keep(pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    looked_at = sent(star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    pairs = scratch.keep(pairs.join(looked_at, ["a", "b"], "left_anti"))
     more = linked(texts, sketches, pairs, scratch, n, percent)
     return components(links.union(more), scratch)
 

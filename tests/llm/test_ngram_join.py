@@ -161,3 +161,22 @@ def test_links_of_sets_that_share_no_bucket_with_their_centre(spark, monkeypatch
     keys = spark.createDataFrame([(d, k) for k, ids in ((1, (0, 1, 3)), (2, (2, 3, 5, 6))) for d in ids], "id long, key long")
     got = {x.id: x.component for x in nj.resolve(texts, None, nj.buckets_of(keys, scratch), scratch, 3, 90).collect()}
     assert 5 in got and got[5] == got[6]
+
+
+def test_further_centres_are_looked_at_together(spark, monkeypatch):
+    """Four groups of near copies share a bucket: one further comparison finds the links, not one for each centre."""
+    monkeypatch.setattr(nj, "SMALL", 2)
+    linked, asked = nj.linked, []
+
+    def counted(texts, sketches, pairs, *rest):
+        asked.append(pairs.count())
+        return linked(texts, sketches, pairs, *rest)
+
+    monkeypatch.setattr(nj, "linked", counted)
+    docs = [(d, " ".join([*(f"t{d % 4}w{k}" for k in range(60)), f"x{d}"])) for d in range(16)]
+    scratch = nj.Scratch(spark)
+    texts = nj.rows(spark.createDataFrame(docs, "doc_id long, text string"))
+    keys = spark.createDataFrame([(d, 1) for d, _ in docs], "id long, key long")
+    got = {x.id: x.component for x in nj.resolve(texts, None, nj.buckets_of(keys, scratch), scratch, 3, 90).collect()}
+    assert got == {d: d % 4 for d, _ in docs}
+    assert len(asked) <= 3 and max(asked) <= 15 * nj.ROUNDS
