@@ -153,28 +153,41 @@ class Splitter:
 
 #: Bytes of a word up to which all its pairs are looked through for each merge; a longer one has them in a queue.
 _SHORT_WORD = 48
+_NONE = 1 << 62
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+def joins(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The id of each piece that two pieces join to, by the numbers of these (the first one's id << 32 | the second one's)."""
+    get, out = ranks.get, {}
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            if (a := get(piece[:k])) is not None and (b := get(piece[k:])) is not None:
+                out[a << 32 | b] = rank
+    return out
+
+
+def merge(word: bytes, ranks: dict[bytes, int], joined: dict[int, int] | None = None) -> tuple[int, ...]:
     """The ids of a word: of neighbouring pieces that join to a known one, those with the lowest rank, leftmost first."""
     if word in ranks:
         return (ranks[word],)
-    return tuple(ranks[p] for p in (_looked_through if len(word) <= _SHORT_WORD else _queued)(word, ranks))
+    if len(word) > _SHORT_WORD:
+        return tuple(ranks[p] for p in _queued(word, ranks))
+    return _looked_through([ranks[word[i : i + 1]] for i in range(len(word))], joins(ranks) if joined is None else joined)
 
 
-def _looked_through(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    none, get = 1 << 62, ranks.get
-    pieces = [word[i : i + 1] for i in range(len(word))]
-    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
-    while pairs and (low := min(pairs)) < none:
+def _looked_through(ids: list[int], joined: dict[int, int]) -> tuple[int, ...]:
+    """A piece's rank is its id, so what two pieces join to says both how early they do and what stands there then."""
+    get = joined.get
+    pairs = [get(a << 32 | b, _NONE) for a, b in itertools.pairwise(ids)]
+    while pairs and (low := min(pairs)) < _NONE:
         i = pairs.index(low)
-        pieces[i] += pieces.pop(i + 1)
-        del pairs[i]
+        ids[i] = low
+        del ids[i + 1], pairs[i]
         if i:
-            pairs[i - 1] = get(pieces[i - 1] + pieces[i], none)
+            pairs[i - 1] = get(ids[i - 1] << 32 | low, _NONE)
         if i < len(pairs):
-            pairs[i] = get(pieces[i] + pieces[i + 1], none)
-    return pieces
+            pairs[i] = get(low << 32 | ids[i + 1], _NONE)
+    return tuple(ids)
 
 
 def _queued(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -203,23 +216,28 @@ def _queued(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Codec:
     """Encodes and decodes batches of texts by the ranks of a file."""
 
-    #: Words that the cache holds before it starts anew, and bytes of the longest one in it.
+    #: Words that half of the cache holds before it takes the place of the other half, and bytes of the longest one in it.
     MOST_WORDS, LONGEST = 1 << 18, 64
 
     def __init__(self, path: str, classes: bytes):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = Splitter(classes)
+        self.joined = joins(self.ranks)
         self.known: dict[bytes, tuple[int, ...]] = {}
+        self.before: dict[bytes, tuple[int, ...]] = {}
         self.pieces: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
 
     def _ids(self, word: bytes) -> tuple[int, ...]:
-        found = merge(word, self.ranks)
+        found = self.before.get(word)
+        if found is None:
+            found = merge(word, self.ranks, self.joined)
         if len(word) <= self.LONGEST:
             if len(self.known) >= self.MOST_WORDS:
+                self.before = self.known.copy()  # words that come up again go over into the new half
                 self.known.clear()
             self.known[word] = found
         return found
@@ -258,8 +276,8 @@ def codec(path: str, classes: bytes | None = None) -> Codec:
     return Codec(path, classes or code_point_classes())
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
-    """id, ids, starts: the token ids of each whole text and the byte of the text at which each token starts.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False, places: bool = True) -> DataFrame:
+    """id, ids, starts: the token ids of each whole text and the byte of the text at which each token starts (unless `places` is False).
 
     back: decodes the ids in the same pass and adds `decoded` (binary). There is one row for each row of `docs`, repeated
     ids and rows included; a null or empty text has no ids; a null id is common.NULL_ID. Other columns are not read.
@@ -274,12 +292,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in slices(batches):
             ids, starts, cut = own.encode(b.column(1).cast(pa.string()))
             at = pa.array(cut, pa.int32())
-            columns = [b.column(0), pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(starts, pa.int32()))]
+            columns = {"id": b.column(0), "ids": pa.ListArray.from_arrays(at, pa.array(ids, pa.int32()))}
+            if places:
+                columns["starts"] = pa.ListArray.from_arrays(at, pa.array(starts, pa.int32()))
             if back:
-                columns.append(pa.array([own.decode(ids[a:z]) for a, z in itertools.pairwise(cut.tolist())], pa.binary()))
-            yield pa.record_batch(columns, names=["id", "ids", "starts", "decoded"][: len(columns)])
+                columns["decoded"] = pa.array([own.decode(ids[a:z]) for a, z in itertools.pairwise(cut.tolist())], pa.binary())
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    return each_row(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, starts array<int>" + (", decoded binary" if back else ""))
+    return each_row(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>" + ", starts array<int>" * places + ", decoded binary" * back)
 
 
 def decode(coded: DataFrame, path: str, a: int = 0, b: int | None = None) -> DataFrame:
@@ -299,7 +319,7 @@ def decode(coded: DataFrame, path: str, a: int = 0, b: int | None = None) -> Dat
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 of each row."""
-    both = encode(docs, path, id_col, text_col, True)
+    both = encode(docs, path, id_col, text_col, True, False)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(id_back("id", "doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -94,3 +94,13 @@ def test_rows(spark):
     assert byte_bpe.digests(docs.limit(0), PATH).count() == 0
     coded = byte_bpe.encode(docs.where("doc_id is not null"), PATH)
     assert {bytes(r.decoded) for r in byte_bpe.decode(coded, PATH, 2, 7).collect()} == {b"llo w", b"", b"cabca", b"llo"}
+
+
+def test_words_that_come_up_again_are_merged_once(monkeypatch):
+    """A full cache goes on as the older half: a word in steady use isn't merged anew when other words fill it."""
+    codec, merged, merge = byte_bpe.Codec(PATH, byte_bpe.code_point_classes()), [], byte_bpe.merge
+    codec.MOST_WORDS = 4
+    monkeypatch.setattr(byte_bpe, "merge", lambda word, *rest: merged.append(word) or merge(word, *rest))
+    text = "".join(f" steadyword other{k}x" for k in range(40))
+    assert codec.encode(pa.array([text]))[0].tolist() == library().encode_ordinary(text)
+    assert merged.count(b" steadyword") == 1
