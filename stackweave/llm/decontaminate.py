@@ -5,23 +5,27 @@ substituted word on an ignored offset does not hide a copy. The masked hashes of
 joined with those of the benchmark. Around each hit the document and the item are laid over each other, and the words
 that agree are counted in the best stretch of `stretch` words of the item; `agree_percent` of them have to be equal.
 
-A hit that follows another one of the same mask on the same diagonal says nothing new and is left out before the
-count. The benchmark's hashes are sent to all tasks only in blocks of at most `block_rows`: a larger benchmark takes
-several passes over the documents, and no join deals out the documents' hashes.
+Items whose words are all equal are one class: the benchmark's copies cost one line of the last join each, nothing else. No
+document's words are dealt out before its hits are known: a hit is the document's hash, a class and a diagonal, each
+diagonal once, and only documents with hits are read again and laid over their items.
+
+The benchmark's hashes are sent to all tasks if they are at most `block_rows`. Of a larger benchmark, whatever its size,
+only bits are sent, FILTER_BITS at most; the places of documents that pass them meet the hashes in a shuffled join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_row, id_back
+from .common import Scratch, each_row, id_back, sent
 
 #: The offsets that each mask holds, of a span of twelve words.
 MASKS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 3, 4, 6, 7, 9, 10), (0, 2, 3, 5, 7, 8, 10, 11))
 SPAN = 12
+#: Bits of the filter of a benchmark too large to be sent, of which a row has LINE_BITS; more hashes than these bits serve let more through.
+FILTER_BITS = 1 << 28
+LINE_BITS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -30,7 +34,7 @@ def words(text: Column) -> Column:
 
 
 def _hashed(df: DataFrame) -> DataFrame:
-    return df.select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return df.withColumn("h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
 
 
 def _key(mask: int, offsets: tuple[int, ...], at: Column, h: Column) -> Column:
@@ -38,15 +42,38 @@ def _key(mask: int, offsets: tuple[int, ...], at: Column, h: Column) -> Column:
     return F.when(inside, F.xxhash64(F.lit(mask), *(F.get(h, at + o) for o in offsets)))
 
 
-def _seeds(df: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """One row for each place and mask: id, h, pos, mask, key."""
-    at = df.select("id", "h", F.posexplode("h").alias("pos", "_"))
+def _seeds(df: DataFrame, masks: list[tuple[int, ...]], *more: str) -> DataFrame:
+    """One row for each place and mask: the columns `more`, pos, mask, key."""
+    at = df.select("*", F.posexplode_outer("h").alias("pos", "_"))  # outer: else Spark asks for size(h) > 0 first, and hashes all words twice
     keys = F.array(*(_key(m, o, F.col("pos"), F.col("h")) for m, o in enumerate(masks)))
-    return at.select("id", "h", "pos", F.posexplode(keys).alias("mask", "key")).where("key is not null")
+    return at.select(*more, "pos", F.posexplode(keys).alias("mask", "key")).where("key is not null")
+
+
+def _may_meet(found: DataFrame, seeds: DataFrame, count: int) -> DataFrame:
+    """The rows of `found` but for most of those whose key none of the `count` seeds has.
+
+    Two bits in one line of a Bloom filter stand for a key.
+    """
+    lines = min(FILTER_BITS, 1 << (32 * count).bit_length()) // LINE_BITS or 1
+    line, n_words = F.pmod("key", F.lit(lines)).cast("int").alias("line"), LINE_BITS // 64
+    places = [F.shiftrightunsigned("key", k).bitwiseAND(LINE_BITS - 1).cast("int") for k in (32, 48)]
+
+    def word(place: Column) -> Column:
+        return F.shiftright(place, 6).alias("word")
+
+    def bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63)).alias("bits")
+
+    own = seeds.select(line, F.explode(F.array(*places)).alias("place")).select("line", word(F.col("place")), bit(F.col("place")))
+    none = seeds.sparkSession.range(lines * n_words).selectExpr(f"int(id div {n_words}) AS line", f"int(id % {n_words}) AS word", "0L AS bits")
+    each = own.unionAll(none).groupBy("line", "word").agg(F.bit_or("bits").alias("bits"))
+    table = each.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("bits"))
+    held = [F.get("bits", word(p)).bitwiseAND(bit(p)) != 0 for p in places]
+    return found.withColumn("line", line).join(F.broadcast(table), "line").where(held[0] & held[1]).select(*found.columns)
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = 20, agree_percent: int = 80, block_rows: int = 500_000
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = 20, agree_percent: int = 80, block_rows: int = 500_000, scratch: Scratch | None = None
 ) -> DataFrame:
     """doc_id, item_id, n_agree, n_words of each pair of a document and a benchmark item that it contains.
 
@@ -55,39 +82,34 @@ def contaminated(
     than a mask spans has to be found as a whole first. Texts without words, null ones included, contain nothing and
     are contained in nothing. An id on several rows stands for all their texts, in either table.
     """
-    # rows are never merged: each row of a document counts for its id, and each text of an item for its item
-    items = each_row(benchmark, item_col, item_text_col).distinct()
-    named = items.select(F.xxhash64("id", "text").alias("item"), F.col("id").alias("item_id"))
-    items = _hashed(items.withColumn("id", F.xxhash64("id", "text"))).where("size(h) > 0").persist()
+    scratch = scratch or Scratch(docs.sparkSession)
+    # rows are never merged but with equal ones: each row of a document counts for its id, and each text of an item for its item
+    hashed = _hashed(each_row(benchmark, item_col, item_text_col)).withColumn("item", F.xxhash64("h"))
+    hashed = scratch.keep(hashed.where("size(h) > 0").select("item", F.col("id").alias("item_id"), "h"))
+    named = hashed.select("item", "item_id").distinct()
+    items = scratch.keep(hashed.select("item", "h").distinct())
     short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())  # fewer than SPAN
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
     whole = F.element_at(F.array(F.lit(0), *(F.lit(len(m) if k >= len(MASKS) else 0) for k, m in enumerate(masks))), F.col("mask") + 2)
-    seeds = _seeds(items, masks).where((whole == 0) & (F.size("h") >= SPAN) | (whole == F.size("h")))
-    seeds = seeds.select(F.col("id").alias("item"), F.col("pos").alias("ipos"), "mask", "key")
-    count, total = seeds.count(), items.agg(F.sum(F.size("h"))).head()[0] or 0
-    blocks = max(1, -(-count // block_rows))
-    held = items.select(F.col("id").alias("item"), F.col("h").alias("it"))
-    if total <= block_rows:
-        held = F.broadcast(held)
-
-    found = _seeds(_hashed(each_row(docs, id_col, text_col)), masks)
-    passes = []
-    for b in range(blocks):
-        part = seeds.where(F.pmod("key", F.lit(blocks)) == b) if blocks > 1 else seeds
-        passes.append(found.join(F.broadcast(part), ["mask", "key"]))
-    hits = reduce(DataFrame.unionAll, passes).join(held, "item")
-
-    def follows(offsets: tuple[int, ...]) -> Column:
-        same = [F.get("h", F.col("pos") - 1 + o) == F.get("it", F.col("ipos") - 1 + o) for o in offsets]
-        return F.coalesce(reduce(lambda a, b: a & b, same), F.lit(False)) & (F.col("pos") > 0) & (F.col("ipos") > 0)
-
-    seen = reduce(lambda c, m: c.when(F.col("mask") == m[0], follows(m[1])), list(enumerate(masks))[1:], F.when(F.col("mask") == 0, follows(masks[0])))
-    hits = hits.where(~seen).withColumn("diagonal", F.col("pos") - F.col("ipos")).withColumn("n", F.size("it"))
-    equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.when(F.get("h", F.col("diagonal") + k) == F.get("it", k), 1).otherwise(0))
-    hits = hits.select("id", "item", "n", F.least(F.lit(stretch), F.col("n")).alias("n_words"), equal.alias("equal"))
+    seeds = _seeds(items.withColumn("n", F.size("h")), masks, "item", "n").where((whole == 0) & (F.col("n") >= SPAN) | (whole == F.col("n")))
+    seeds = scratch.keep(seeds.withColumnRenamed("pos", "ipos"))
+    count = seeds.count()
+
+    texts = each_row(docs, id_col, text_col).withColumn("doc", F.xxhash64("id", "text"))
+    found = _seeds(_hashed(texts), masks, "doc")
+    hits = found.join(F.broadcast(seeds), ["mask", "key"]) if count <= block_rows else _may_meet(found, seeds, count).join(seeds, ["mask", "key"])
+    hits = scratch.keep(hits.select("doc", "item", "n", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct())
+
+    # rows that share a hash are both laid over the items of either, so nothing rests on its being different
+    texts = _hashed(texts.join(sent(hits.select("doc").distinct(), 16), "doc", "left_semi"))
+    beside = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("h", F.col("diagonal") + k))
+    laid = texts.join(hits, "doc").select("id", "item", "n", F.least(F.lit(stretch), F.col("n")).alias("n_words"), beside.alias("beside"))
+    laid = laid.join(sent(items.withColumnRenamed("h", "it"), F.size("it") * 8 + 64), "item")
+    equal = F.zip_with("beside", "it", lambda a, b: F.when(a == b, 1).otherwise(0))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("n_words") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("n_words")), F.lit(0), lambda a, x: a + x)))
-    pairs = hits.select("id", "item", "n_words", best.alias("n_agree")).where(F.col("n_agree") * 100 >= F.col("n_words") * agree_percent)
-    pairs = pairs.join(named, "item").groupBy("id", F.col("item_id").alias("item")).agg(F.max("n_agree").cast("long").alias("n_agree"), F.max("n_words").cast("long").alias("n_words"))
+    pairs = laid.select("id", "item", "n", "n_words", equal.alias("equal")).select("id", "item", "n_words", best.alias("n_agree"))
+    pairs = pairs.where(F.col("n_agree") * 100 >= F.col("n_words") * agree_percent).groupBy("id", "item").agg(F.max("n_agree").alias("n_agree"), F.max("n_words").alias("n_words"))
+    pairs = pairs.join(sent(named, 32), "item").groupBy("id", F.col("item_id").alias("item")).agg(F.max("n_agree").cast("long").alias("n_agree"), F.max("n_words").cast("long").alias("n_words"))
     return pairs.select(id_back("id", "doc_id"), id_back("item", "item_id"), "n_agree", "n_words")
 
 

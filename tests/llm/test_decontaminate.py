@@ -73,3 +73,39 @@ def test_repeated_ids_lose_no_text(spark):
     items = spark.createDataFrame([(7, first), (7, second), (None, "one two")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()}
     assert got == {(1, 7), (2, 7), (3, 7)}
+
+
+def test_a_large_benchmark_is_not_sent(spark, monkeypatch):
+    first = [(k, " ".join(f"w{k * 7 + j * j}" for j in range(30))) for k in range(8)]
+    items, docs = [(k + 100 * copy, t) for copy in range(5) for k, t in first], [(k, f"before {t} behind") for k, t in first[:5]]
+    sent, send = [], dc.F.broadcast
+    monkeypatch.setattr(dc.F, "broadcast", lambda df: (sent.append(df), send(df))[1])
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc_id, r.item_id, r.n_agree) for r in dc.contaminated(df(docs, "doc_id"), df(items, "item_id"), block_rows=50).collect()}
+    assert got == {(k, k + 100 * copy, 20) for k, _ in docs for copy in range(5)}
+    assert sent and not any({"mask", "key"} <= set(f.columns) for f in sent)  # neither at once nor one block after the other
+    assert max(f.count() for f in sent) <= len(items)
+
+
+def test_copies_of_items_add_no_hits(spark):
+    first = [(k, " ".join(f"w{k * 7 + j * j}" for j in range(30))) for k in range(3)]
+    docs, written = spark.createDataFrame([(k, f"before {t}") for k, t in first], "doc_id long, text string"), []
+
+    class Seen(dc.Scratch):
+        def keep(self, df):
+            out = super().keep(df)
+            written.append((tuple(out.columns), out.count()))
+            return out
+
+    for copies in (1, 6):
+        items = spark.createDataFrame([(k + 100 * c, t.upper() if c % 2 else t) for c in range(copies) for k, t in first], "item_id long, text string")
+        assert dc.contaminated(docs, items, scratch=Seen(spark)).count() == 3 * copies
+    hits = [n for columns, n in written if "diagonal" in columns]
+    assert len(hits) == 2 and hits[0] == hits[1] == 3
+
+
+def test_filter_loses_no_key(spark):
+    keys = spark.range(20_000).selectExpr("xxhash64(id) AS key", "id")
+    held = keys.where("id % 4 = 0")
+    left = [r.id for r in dc._may_meet(keys, held, 5000).collect()]
+    assert len(left) == len(set(left)) and set(left) >= set(range(0, 20_000, 4)) and len(left) < 5000 + 300
