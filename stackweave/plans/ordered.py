@@ -103,27 +103,53 @@ def scanned(df: DataFrame, by: list[str], order: list[str], scan: Scan, rows_per
     return placed.groupBy("_part").applyInArrow(apply, schema(scan.columns))
 
 
+def _add(parts: list[float], x: float) -> None:
+    """Adds x to a sum that is held exactly, as floats that share no bits; what isn't finite stays so."""
+    whole = x + sum(parts)
+    if not math.isfinite(whole):
+        parts[:] = [whole]
+        return
+    at = 0
+    for y in parts:
+        if abs(x) < abs(y):
+            x, y = y, x
+        both = x + y
+        rest = y - (both - x)
+        if rest:
+            parts[at] = rest
+            at += 1
+        x = both
+    parts[at:] = [x]
+
+
 class Numbered:
-    """The number of each row from 0, and running sums of columns: {new: old}; nulls add nothing."""
+    """The number of each row from 0, and running sums of columns: {new: old}; nulls add nothing.
+
+    Each sum is the exact one, rounded once: it is the same wherever ranges end, and rows that add 0 leave it as it is.
+    """
 
     def __init__(self, name: str = "n", sums: dict[str, str] | None = None):
         self.name, self.sums = name, sums or {}
         self.columns = ", ".join([f"{name} long", *(f"{c} double" for c in self.sums)])
 
     def summary(self, rows: Rows):
-        return len(next(iter(rows.values()))), *(math.fsum(v or 0.0 for v in rows[c]) for c in self.sums.values())
+        return self.combine((0, *[()] * len(self.sums)), (len(next(iter(rows.values()))), *([v or 0.0 for v in rows[c]] for c in self.sums.values())))
 
     def combine(self, before, behind):
-        return tuple(a + b for a, b in zip(before, behind, strict=True))
+        sums = [list(parts) for parts in before[1:]]
+        for parts, more in zip(sums, behind[1:], strict=True):
+            for x in more:
+                _add(parts, x)
+        return before[0] + behind[0], *map(tuple, sums)
 
     def apply(self, rows: Rows, before) -> Rows:
-        n, *start = before or (0, *[0.0] * len(self.sums))
+        n, *start = before or (0, *[()] * len(self.sums))
         out = {self.name: list(range(n, n + len(next(iter(rows.values())))))}
-        for total, (new, old) in zip(start, self.sums.items(), strict=True):
-            out[new] = []
+        for first, (new, old) in zip(start, self.sums.items(), strict=True):
+            parts, out[new] = list(first), []
             for v in rows[old]:
-                total += v or 0.0
-                out[new].append(total)
+                _add(parts, v or 0.0)
+                out[new].append(math.fsum(parts))
         return out
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -52,6 +53,28 @@ def test_numbers_and_running_sums(spark):
             assert got[key, t][0] == n and abs(got[key, t][1] - s) < 1e-9
 
 
+def test_running_sums_rest_on_no_range(spark):
+    r, data = random.Random(6), []
+    for key in "ab":
+        data += [(key, t, r.choice([0.0, 0.0, None, 0.1, 0.7, 123.37, 3e9])) for t in range(300)]
+    df, want = spark.createDataFrame(data, "k string, t long, v double"), {}
+    for key in "ab":
+        own = [v or 0.0 for k, _, v in data if k == key]
+        want |= {(key, t): math.fsum(own[: t + 1]) for t in range(300)}
+    for rows_per_task in (7, 64, 10_000):
+        e = scanned(df, ["k"], ["t"], Numbered("n", {"s": "v"}), rows_per_task=rows_per_task)
+        assert {(x.k, x.t): x.s for x in e.collect()} == want  # bit by bit, so no row without growth looks like growth
+
+
+def test_sums_that_are_not_finite():
+    scan, inf = Numbered("n", {"s": "v"}), float("inf")
+    parts = [scan.summary({"v": v}) for v in ([1.0, None], [inf, 2.0], [0.0, -inf])]
+    before = scan.combine(parts[0], parts[1])
+    assert scan.apply({"v": [inf, 2.0]}, parts[0])["s"] == [inf, inf]
+    assert scan.apply({"v": [5.0]}, before) == {"n": [4], "s": [inf]}
+    assert math.isnan(scan.apply({"v": [5.0]}, scan.combine(before, parts[2]))["s"][0])
+
+
 def test_summaries_combine_in_any_grouping():
     r, scan = random.Random(4), EmaRate("t", "v", 0.3)
     for _ in range(50):
