@@ -61,7 +61,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold a passage of the benchmark."""
-    return _without(docs, _ids(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), Scratch(spark)))
+    scratch, own = Scratch(spark), Scratch(spark)
+    dropped = _ids(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), scratch=own), scratch)
+    own.end()
+    return _without(docs, dropped)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

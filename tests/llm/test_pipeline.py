@@ -68,3 +68,17 @@ def test_repeated_ids_and_no_language(spark, tmp_path):
     got = sorted((str(r.doc_id), r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     want = [(d, t) for d, t in rows if t not in ("1234", "12", "5678") and d != 2]  # both rows of 2 equal one of 1
     assert got == sorted((str(d), len(tokens(t))) for d, t in want)
+
+
+def test_decontamination_leaves_one_table_of_ids(spark, tmp_path):
+    """All that led to the dropped ids is gone before the documents that stay are written."""
+    import glob
+
+    passage = " ".join(f"w{j}" for j in range(30))
+    spark.createDataFrame([(k, passage) for k in range(40)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "nothing of it"), (None, passage)], "doc_id long, text string")
+    tables = lambda: set(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/stackweave-*/*"))
+    before = tables()
+    left = corpus_pipeline.clean(spark, docs, str(tmp_path))
+    assert len(tables() - before) == 1
+    assert [r.doc_id for r in left.collect()] == [2]
